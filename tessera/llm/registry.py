@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, tokenfile
+from tessera.llm import packing, substring, tokenfile
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -18,12 +19,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op5_substring": op5_substring,
     "op9_token_files": op9_token_files,
 }
 
