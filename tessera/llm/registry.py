@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, substring, tokenfile
+from tessera.llm import jaccard, packing, substring, tokenfile
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -28,10 +28,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_substring": op5_substring,
     "op9_token_files": op9_token_files,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL: dict[str, str] = {}
