@@ -39,11 +39,15 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
+    if bits == 16:  # the same layout, without the detour over single bits
+        return ids.astype(">u2").tobytes()
     planes = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]
     return np.packbits(planes.ravel()).tobytes()
 
 
 def unpack_bits(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
+    if bits == 16:
+        return np.frombuffer(data, ">u2", n).astype("<u4")
     planes = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits).reshape(n, bits)
     out = np.zeros((n, 32), np.uint8)
     out[:, 32 - bits :] = planes

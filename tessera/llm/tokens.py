@@ -12,9 +12,9 @@ import os
 import re
 from array import array
 
-_RUN = re.compile(r"\s[ \n]|\0")
+_RUN = re.compile(r"[^\S \n]|[ \n][ \n]|\0")
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
-MEMO_PIECES = 600_000
+MEMO_PIECES = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -30,22 +30,29 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = []
+        memo, get = self.memo, self.memo.get
+        if len(memo) > MEMO_PIECES:
+            memo.clear()
+        cut, found, unknown = [], [], set()
         for t in texts:
             if _RUN.search(t):
-                cut.append(_BORDER.split(t))
+                pieces = _BORDER.split(t)
             else:
-                cut.append(t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        unknown = list({p for pieces in cut for p in pieces if p not in memo})
-        for i in range(0, len(unknown), 4096):
-            part = unknown[i : i + 4096]
+                pieces = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            ids = list(map(get, pieces))
+            if None in ids:
+                unknown.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
+                cut.append(pieces)
+                found.append(None)
+            else:
+                cut.append(None)
+                found.append(b"".join(ids))
+        todo = list(unknown)
+        for i in range(0, len(todo), 4096):
+            part = todo[i : i + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 memo[piece] = array("I", e.ids).tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        return [b"".join(map(get, pieces)) if x is None else x for pieces, x in zip(cut, found, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
