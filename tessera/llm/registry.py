@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, neighbours, packing, quality, substring, tokenfile
+from tessera.llm import decontaminate, jaccard, neighbours, packing, quality, substring, tokenfile
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -35,6 +35,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_substring": op5_substring,
     "op7_neighbours": op7_neighbours,
+    "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_jaccard": op10_jaccard,
 }
