@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, neighbours, packing, quality, substring, tokenfile
+from tessera.llm import decontaminate, jaccard, neighbours, packing, pii, quality, revisits, substring, tokenfile
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -26,11 +26,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = revisits.resolve(revisits.captures(_table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select(F.col("record_id").alias("page_id"), "url_key", "refers_to", "status", headers.alias("headers"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -50,11 +62,23 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_substring": op5_substring,
+    "op6_revisits": op6_revisits,
     "op7_neighbours": op7_neighbours,
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_jaccard": op10_jaccard,
 }
 
+_CAPTURES = r"""
+WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', ''), '^([^/?]*)', 1)), '^www\.', '') AS url_key,
+  regexp_extract(url, '^[A-Za-z]+://[^/]*/([a-z]*)', 1) AS etag, length(html) AS size, page_id AS t FROM pages),
+c AS (SELECT *, 'day ' || page_id AS day, KIND AS kind FROM p),
+j AS (SELECT c.page_id, c.url_key, c.etag, c.day, r.page_id AS base, r.etag AS base_etag, r.size AS base_size FROM (SELECT * FROM c WHERE kind = 'revisit') c ASOF LEFT JOIN (SELECT * FROM c WHERE kind = 'response') r ON c.url_key = r.url_key AND c.t > r.t)
+SELECT page_id, url_key, CASE WHEN etag = base_etag THEN base END AS refers_to,
+  CASE WHEN base IS NULL THEN 'unresolved' WHEN etag = base_etag THEN 'resolved' ELSE 'changed' END AS status,
+  CASE WHEN etag = base_etag THEN 'content-length=' || base_size || ';content-type=text/html;date=' || day || ';etag=' || etag ELSE 'date=' || day || ';etag=' || etag || ';server=x' END AS headers
+FROM j"""
+
 SQL: dict[str, str] = {}
