@@ -9,7 +9,8 @@ takes part in its own band and the next, where larger partners are. A set has
 more non-empty pieces than bits that may differ, so some non-empty piece of a
 linked pair is equal: the pieces' XOR of shingle hashes is the join key.
 
-Equal sets are one representative from the start. Each bucket of a key first
+Equal sets are one representative from the start. Sets that share too few keys
+with all others to be linked leave the buckets. Each bucket of a key first
 links its members to one of them; after components of the verified links, only
 pairs of a bucket in different components are left to verify. A bucket of more
 than COLD members counts only for pairs whose larger set has too few pieces in
@@ -133,7 +134,9 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
                     own = len(k)
                     if sig not in seen:
                         seen.add(sig)
-                        k = np.concatenate([k, piece_keys(s, g + 1)])
+                        after = piece_keys(s, g + 1)
+                        own |= len(after) << 32
+                        k = np.concatenate([k, after])
                         keys.append(k)
                         owners.append(sig)
                         n_keys += len(k)
@@ -196,11 +199,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            s = [pack_sorted(x) for x in shingles(batch["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["sig"], pa.array(s, pa.binary())], names=["sig", "set"])
+            keep, out = [], []
+            for i, (x, sig) in enumerate(zip(shingles(batch["text"].to_pylist()), batch["sig"].to_pylist(), strict=True)):
+                if len(x) and signature(x) == sig:  # rows of one doc_id may differ
+                    keep.append(i)
+                    out.append(pack_sorted(x))
+            yield pa.RecordBatch.from_arrays([batch["sig"].take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["sig", "set"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text").join(wanted, "doc_id").select("sig", "text")
-    return rows.mapInArrow(run, "sig long, set binary").dropDuplicates(["sig"])
+    return rows.mapInArrow(run, "sig long, set binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -221,6 +228,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def _possible(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Buckets without members that share too few keys in the band, with whatever sets, to be linked there.
+
+    A partner differs from a set of n in n / 3 shingles at most, so the two share all but n / 3 of its non-empty pieces.
+    """
+    each = buckets.select("g", "times", F.xxhash64("g", "members").alias("bucket"), F.explode("members").alias("sig"))
+    pieces_ = F.when(F.col("g") == F.col("band"), F.col("own")).otherwise(F.col("after"))
+    able = each.groupBy("sig", "g").agg(F.sum("times").alias("shared")).join(reps.select("sig", "n", "band", "own", "after"), "sig")
+    able = able.filter(F.col("shared") >= pieces_ - F.floor(F.col("n") / 3)).select("sig", "g")
+    left = each.join(able, ["sig", "g"]).groupBy("bucket", "g").agg(F.first("times").alias("times"), F.array_sort(F.collect_list("sig")).alias("members"))
+    return left.filter(F.size("members") > 1).groupBy("g", "members").agg(F.sum("times").alias("times"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     import pyarrow as pa
@@ -231,8 +251,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     blocks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = _meet(_meet_inputs(docs, blocks)).checkpoint()
     rows = met.filter("kind = 0").select("doc_id", "sig", "n", "own")
-    reps = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own"))
-    buckets = met.filter("kind = 1").groupBy("g", "members").agg(F.sum("times").alias("times"))
+    reps = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("own").alias("keys"))
+    lows = F.array(*[F.lit(int(x)) for x in LOWS[:64]])
+    band_of = (F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1).cast("long")
+    reps = reps.withColumn("own", F.col("keys").bitwiseAND((1 << 32) - 1)).withColumn("after", F.shiftright("keys", 32)).withColumn("band", band_of).drop("keys").checkpoint()
+    buckets = _possible(met.filter("kind = 1").groupBy("g", "members").agg(F.sum("times").alias("times")), reps).checkpoint()
 
     def pairs_of(frame: DataFrame) -> DataFrame:
         """Without pairs of sizes that can't be linked."""
@@ -248,9 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = components(linked)
 
     hot = buckets.filter(F.size("members") > COLD).select("g", "times", F.explode("members").alias("sig")).groupBy("sig", "g").agg(F.sum("times").alias("hot"))
-    lows = F.array(*[F.lit(int(x)) for x in LOWS[:64]])
-    band_of = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1
-    poor = reps.withColumn("g", band_of.cast("long")).join(hot, ["sig", "g"], "left").filter(F.col("own") - F.coalesce("hot", F.lit(0)) <= F.floor(F.col("n") * 2 / 7))
+    poor = reps.withColumn("g", F.col("band")).join(hot, ["sig", "g"], "left").filter(F.col("own") - F.coalesce("hot", F.lit(0)) <= F.floor(F.col("n") * 2 / 7))
     labels = reps.select("sig", "n").join(first.withColumnRenamed("id", "sig"), "sig", "left").join(poor.select("sig", F.lit(True).alias("poor")), "sig", "left")
     labels = labels.select("sig", "n", F.coalesce("component", "sig").alias("component"), F.coalesce("poor", F.lit(False)).alias("poor"))
     many = buckets.filter(F.size("members") > 2).select("members").distinct().withColumn("bucket", F.xxhash64("members")).withColumn("size", F.size("members"))
