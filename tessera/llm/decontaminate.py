@@ -27,7 +27,7 @@ from tessera.llm.align import smith_waterman
 from tessera.llm.textgrid import Words, chunks
 
 NGRAM = 4
-SPREAD = 6
+SPREAD = 3
 COVERAGE = 0.6
 MAX_ITEM_WORDS = 2_000_000
 HITS = "doc_id long, item int, item_id long, part int, grams array<int>, region array<long>, begin int"

@@ -198,15 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> dict |
     return train([rows[i]["text"] for i in order], np.array([rows[i]["y"] for i in order]))
 
 
-def add_score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of `docs` with `score` (which must not be one of them)."""
+def add_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:
+    """All columns of `docs` with the score under `name`; a column of that name is replaced."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            yield batch.append_column("score", pa.array(score(batch["text"].to_pylist(), model), pa.float64()))
+            yield batch.append_column(name, pa.array(score(batch["text"].to_pylist(), model), pa.float64()))
 
-    if "score" in docs.columns:
-        raise ValueError("docs has a column named score already")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)

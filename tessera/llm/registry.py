@@ -76,14 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-_CAPTURES = r"""
-WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://', ''), '^([^/?]*)', 1)), '^www\.', '') AS url_key,
-  regexp_extract(url, '^[A-Za-z]+://[^/]*/([a-z]*)', 1) AS etag, length(html) AS size, page_id AS t FROM pages),
-c AS (SELECT *, 'day ' || page_id AS day, KIND AS kind FROM p),
-j AS (SELECT c.page_id, c.url_key, c.etag, c.day, r.page_id AS base, r.etag AS base_etag, r.size AS base_size FROM (SELECT * FROM c WHERE kind = 'revisit') c ASOF LEFT JOIN (SELECT * FROM c WHERE kind = 'response') r ON c.url_key = r.url_key AND c.t > r.t)
-SELECT page_id, url_key, CASE WHEN etag = base_etag THEN base END AS refers_to,
-  CASE WHEN base IS NULL THEN 'unresolved' WHEN etag = base_etag THEN 'resolved' ELSE 'changed' END AS status,
-  CASE WHEN etag = base_etag THEN 'content-length=' || base_size || ';content-type=text/html;date=' || day || ';etag=' || etag ELSE 'date=' || day || ';etag=' || etag || ';server=x' END AS headers
-FROM j"""
-
 SQL: dict[str, str] = {}
