@@ -21,7 +21,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
-    return quality.add_score(docs, model).filter(F.col("score") >= quality.THRESHOLD).drop("score")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return quality.add_score(docs, model, name).filter(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
