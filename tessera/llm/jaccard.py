@@ -11,11 +11,12 @@ linked pair is equal: the pieces' XOR of shingle hashes is the join key.
 
 Equal sets are one representative from the start. Sets that share too few keys
 with all others to be linked leave the buckets. Each bucket of a key first
-links its members to one of them; after components of the verified links, only
-pairs of a bucket in different components are left to verify. A bucket of more
-than COLD members counts only for pairs whose larger set has too few pieces in
-small buckets to be sure of meeting there, so passages that many documents share make no
-pairs, and no link is lost. Verification compares the whole sets.
+links its members to one of them, where these share many keys. After components of
+the verified links, only pairs of a bucket in different components are left. Of
+these, the larger set needs no more of its keys than bits that may differ and one, and
+it takes those of the smallest buckets; keys that no other set has count first. So
+passages that many documents share seldom make pairs, and no link is lost. Pairs that share
+fewer keys than linked ones must are dropped, and verification compares the whole sets.
 
 Null or empty text: an empty set, linked with nothing, its own class. A null
 doc_id stays null and never names a class that has another id. Rows that repeat
@@ -28,14 +29,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, unpack_ints, unpack_sorted
 
 SHINGLE = 5
-COLD = 32
 FLUSH_KEYS = 1_500_000
 KEY_BITS = 50
 
@@ -241,10 +241,63 @@ def _possible(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     return left.filter(F.size("members") > 1).groupBy("g", "members").agg(F.sum("times").alias("times"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u < v) in different components that share as many keys as linked pairs must.
+
+    The larger set of a pair, with P non-empty pieces, U of them shared with no
+    set, differs in at most 2n / 7 shingles, and takes its keys of the smallest buckets up to
+    2n / 7 + n / 16 with U. Of the keys taken, T, a pair of sizes m and n shares at least T + U - (m + n) / 7.
+    """
     import pyarrow as pa
 
+    own = each.join(reps.select("sig", "n", F.col("band").alias("g"), "own"), ["sig", "g"])
+    by_sig = Window.partitionBy("sig")
+    own = own.withColumn("unshared", F.col("own") - F.sum("times").over(by_sig))
+    own = own.withColumn("before", F.coalesce(F.sum("times").over(by_sig.orderBy("size", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    taken = own.filter(F.col("before") + F.col("unshared") <= F.floor(F.col("n") * 2 / 7) + F.floor(F.col("n") / 16))
+    taken = taken.withColumn("need", F.sum("times").over(by_sig) + F.col("unshared")).select("bucket", "sig", "need")
+    member = each.join(labels, "sig").join(taken, ["bucket", "sig"], "left")
+    groups = member.groupBy("bucket").agg(
+        F.first("times").alias("times"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("need").alias("any"),
+        F.array_sort(F.collect_list(F.struct("n", "sig", "component", F.coalesce("need", F.lit(-1)).alias("need")))).alias("m"),
+    )
+    groups = groups.filter((F.col("c0") != F.col("c1")) & F.col("any").isNotNull()).select("times", "m")
+
+    def run(batches):
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def flush():
+            x = np.concatenate(parts)
+            parts.clear()
+            order = np.lexsort((x[:, 1], x[:, 0]))
+            x = x[order]
+            new = np.flatnonzero(np.r_[True, (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (x[new, 0], x[new, 1], x[new, 2], np.add.reduceat(x[:, 3], new))], names=["larger", "smaller", "least", "shared"])
+
+        for batch in batches:
+            for times, row in zip(batch["times"].to_pylist(), batch["m"], strict=True):
+                f = row.values
+                n, sig, c, need = (f.field(k).to_numpy() for k in ("n", "sig", "component", "need"))
+                for i in np.flatnonzero(need >= 0):
+                    j = np.arange(np.searchsorted(n, -(-n[i] * percent // 100)), np.searchsorted(n, n[i], "right"))
+                    j = j[c[j] != c[i]]
+                    if len(j):
+                        parts.append(np.stack([np.full(len(j), sig[i]), sig[j], need[i] - (n[j] + n[i]) // 7, np.full(len(j), times)], axis=1))
+                        held += len(j)
+                if held > 2_000_000:
+                    held = 0
+                    yield flush()
+        if parts:
+            yield flush()
+
+    found = groups.mapInArrow(run, "larger long, smaller long, least long, shared long")
+    found = found.groupBy("larger", "smaller").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).filter("shared >= least")
+    return found.select(F.least("larger", "smaller").alias("u"), F.greatest("larger", "smaller").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     if percent < 75:
         raise ValueError("bands and pieces are laid out for a similarity of 0.75 or more")
     spark = docs.sparkSession
@@ -257,43 +310,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = reps.withColumn("own", F.col("keys").bitwiseAND((1 << 32) - 1)).withColumn("after", F.shiftright("keys", 32)).withColumn("band", band_of).drop("keys").checkpoint()
     buckets = _possible(met.filter("kind = 1").groupBy("g", "members").agg(F.sum("times").alias("times")), reps).checkpoint()
 
-    def pairs_of(frame: DataFrame) -> DataFrame:
-        """Without pairs of sizes that can't be linked."""
-        n = reps.select("sig", "n")
-        p = frame.distinct().join(n.select(F.col("sig").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("sig").alias("v"), F.col("n").alias("nv")), "v")
-        return p.filter(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v")
-
-    stars = buckets.select("members").distinct().select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("v"))
-    star_pairs = pairs_of(stars).checkpoint()
+    sizes = reps.select("sig", "n")
+    stars = buckets.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("v"), "times").groupBy("u", "v").agg(F.sum("times").alias("times"))
+    stars = stars.join(sizes.select(F.col("sig").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("sig").alias("v"), F.col("n").alias("nv")), "v")
+    likely = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("times") * 8 >= F.col("nv"))
+    star_pairs = stars.filter(likely).select("u", "v").checkpoint()
     wanted = buckets.select(F.explode("members").alias("sig")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig")
     sets = _sets(docs, wanted).checkpoint()
     linked = _verified(star_pairs, sets, percent).checkpoint()
     first = components(linked)
 
-    hot = buckets.filter(F.size("members") > COLD).select("g", "times", F.explode("members").alias("sig")).groupBy("sig", "g").agg(F.sum("times").alias("hot"))
-    poor = reps.withColumn("g", F.col("band")).join(hot, ["sig", "g"], "left").filter(F.col("own") - F.coalesce("hot", F.lit(0)) <= F.floor(F.col("n") * 2 / 7))
-    labels = reps.select("sig", "n").join(first.withColumnRenamed("id", "sig"), "sig", "left").join(poor.select("sig", F.lit(True).alias("poor")), "sig", "left")
-    labels = labels.select("sig", "n", F.coalesce("component", "sig").alias("component"), F.coalesce("poor", F.lit(False)).alias("poor"))
-    many = buckets.filter(F.size("members") > 2).select("members").distinct().withColumn("bucket", F.xxhash64("members")).withColumn("size", F.size("members"))
-    member = many.select("bucket", "size", F.explode("members").alias("sig")).join(labels, "sig")
-    open_ = member.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.bool_or("poor").alias("poor"), F.max("size").alias("size"))
-    open_ = open_.filter((F.col("c0") != F.col("c1")) & ((F.col("size") <= COLD) | F.col("poor"))).select("bucket")
-
-    def cross(table: pa.Table) -> pa.Table:
-        sig, n, c, size = (table[x].to_numpy() for x in ("sig", "n", "component", "size"))
-        poor_ = np.array(table["poor"].to_pylist(), bool)
-        us, vs = [], []
-        order = np.argsort(n, kind="stable")
-        sig, n, c, poor_ = sig[order], n[order], c[order], poor_[order]
-        for i in range(1, len(sig)):  # i is the larger
-            if size[0] <= COLD or poor_[i]:
-                j = np.arange(np.searchsorted(n[:i], -(-n[i] * percent // 100)), i)
-                j = j[c[j] != c[i]]
-                us.append(np.minimum(sig[j], sig[i]))
-                vs.append(np.maximum(sig[j], sig[i]))
-        return pa.table({"u": np.concatenate(us or [np.zeros(0, np.int64)]), "v": np.concatenate(vs or [np.zeros(0, np.int64)])})
-
-    rest = member.join(open_, "bucket").groupBy("bucket").applyInArrow(cross, "u long, v long").distinct().join(star_pairs, ["u", "v"], "left_anti")
+    labels = sizes.join(first.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    each = buckets.select(F.xxhash64("g", "members").alias("bucket"), "g", F.size("members").alias("size"), "times", F.explode("members").alias("sig"))
+    rest = _crossed(each, reps, labels, percent).join(star_pairs, ["u", "v"], "left_anti")
     final = components(linked.unionByName(_verified(rest, sets, percent)))
     ranked = reps.select("sig", "rep").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = ranked.groupBy("component").agg(F.min("rep").alias("component_id"))
