@@ -147,7 +147,10 @@ def train(texts: list[str | None], labels: np.ndarray) -> dict | None:
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         return None
-    first, weight, x = features(texts)
+    parts = [features(texts[a:b]) for a, b in chunks(texts)]
+    edge = np.cumsum([0, *(len(p[1]) for p in parts)])
+    first = np.concatenate([*(p[0][:-1] + e for p, e in zip(parts, edge, strict=False)), edge[-1:]])
+    weight, x = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     mean[0], scale[0] = 0, 1
     z = (x - mean) / scale
