@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if percent < 75:
         raise ValueError("bands and pieces are laid out for a similarity of 0.75 or more")
     spark = docs.sparkSession
-    blocks = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = _meet(_meet_inputs(docs, blocks)).checkpoint()
     rows = met.filter("kind = 0").select("doc_id", "sig", "n", "own")
     reps = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("own").alias("keys"))
