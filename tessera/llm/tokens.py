@@ -12,7 +12,12 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 _RUN = re.compile(r"[^\S \n]|[ \n][ \n]|\0")
+_PIECE = re.compile(r"[ \n]\S+\Z")
+_CASE = re.compile("[\x1c-\x1f\u0130\u03a3]")  # not white space to the library; lower case by context
+_BETWEEN = "\u2665"
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 MEMO_PIECES = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
@@ -27,6 +32,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
+        words = self.tokenizer.get_vocab()
+        #: this vocabulary drops white space and lowers case, so pieces can be words in lower case
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer) and "</w>" in str(self.tokenizer.model)
+        self.begins = None
+        if not self.lower and "\u0120" in words:  # byte-level: how the vocabulary writes a space; a line break is U+010A
+            self.begins = np.zeros(max(words.values()) + 1, bool)
+            self.begins[[i for w, i in words.items() if w[0] in "\u0120\u010a"]] = True
+
+    def _encode_joined(self, unknown: set[str]) -> list[str]:
+        """Encodes pieces that begin with their only white space, many at a time; returns the others.
+
+        Byte-level ids that begin with a space or line break then mark where pieces begin.
+        """
+        joint = [p for p in unknown if _PIECE.match(p)]
+        rest = [p for p in unknown if not _PIECE.match(p)]
+        parts = [joint[i : i + 512] for i in range(0, len(joint), 512)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            edge = np.flatnonzero(self.begins[ids])
+            if len(edge) != len(part):
+                rest += part
+                continue
+            raw, cut = ids.tobytes(), [*(4 * edge).tolist(), 4 * len(ids)]
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+        return rest
+
+    def _encode_apart(self, unknown: set[str]) -> list[str]:
+        """Encodes words many at a time, with a word of one id between them that they don't hold; returns the others."""
+        mark = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        if len(mark) != 1:
+            return list(unknown)
+        joint, rest = [p for p in unknown if p and _BETWEEN not in p], [p for p in unknown if not p or _BETWEEN in p]
+        parts = [joint[i : i + 512] for i in range(0, len(joint), 512)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(x) for x in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = 4 * np.flatnonzero(ids == mark[0])
+            if len(at) != len(part) - 1:
+                rest += part
+                continue
+            raw = ids.tobytes()
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)])), strict=True))
+        return rest
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -35,7 +82,9 @@ class Encoder:
             memo.clear()
         cut, found, unknown = [], [], set()
         for t in texts:
-            if _RUN.search(t):
+            if self.lower and not _CASE.search(t):
+                pieces = t.lower().split()
+            elif _RUN.search(t):
                 pieces = _BORDER.split(t)
             else:
                 pieces = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
@@ -47,7 +96,7 @@ class Encoder:
             else:
                 cut.append(None)
                 found.append(b"".join(ids))
-        todo = list(unknown)
+        todo = self._encode_joined(unknown) if self.begins is not None else self._encode_apart(unknown) if self.lower else list(unknown)
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
