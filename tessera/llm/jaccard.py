@@ -11,7 +11,7 @@ linked pair is equal: the pieces' XOR of shingle hashes is the join key.
 
 Equal sets are one representative from the start. Sets that share too few keys
 with all others to be linked leave the buckets. Each bucket of a key first
-links its members to one of them, where these share many keys. After components of
+links its members to the most central of them, where these share many keys. After components of
 the verified links, only pairs of a bucket in different components are left. Of
 these, the larger set needs no more of its keys than bits that may differ and one, and
 it takes those of the smallest buckets; keys that no other set has count first. So
@@ -241,12 +241,40 @@ def _possible(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     return left.filter(F.size("members") > 1).groupBy("g", "members").agg(F.sum("times").alias("times"))
 
 
-def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _centrality(each: DataFrame, reps: DataFrame) -> DataFrame:
+    """How many sets share a set's pieces in a band, on average: highest for what others are copies of."""
+    total = F.when(F.col("g") == F.col("band"), F.col("own")).otherwise(F.col("after"))
+    met = each.groupBy("sig", "g").agg(F.sum(F.col("times") * F.col("size")).alias("met"))
+    return met.join(reps.select("sig", "band", "own", "after"), "sig").select("sig", "g", (F.col("met") / total).alias("centre"))
+
+
+def sketch(s: np.ndarray, g: int) -> bytes:
+    """A dense parity sketch with four bits or more for each shingle of the band's smallest set."""
+    bits = max(256, -(-4 * int(LOWS[g]) // 64) * 64)
+    at = (mix(s ^ np.uint64(0x5BD1E9955BD1E995)) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sig, g, sketch) of each set in its own band and the next."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = [(sig, g + k, sketch(unpack_sorted(x), g + k)) for sig, g, x in zip(batch["sig"].to_pylist(), batch["band"].to_pylist(), batch["set"].to_pylist(), strict=True) for k in (0, 1)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["sig", "g", "sketch"])
+
+    return sets.join(reps.select("sig", "band"), "sig").select("sig", "band", "set").mapInArrow(run, "sig long, g long, sketch binary").dropDuplicates(["sig", "g"])
+
+
+def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u < v) in different components that share as many keys as linked pairs must.
 
     The larger set of a pair, with P non-empty pieces, U of them shared with no
     set, differs in at most 2n / 7 shingles, and takes its keys of the smallest buckets up to
     2n / 7 + n / 16 with U. Of the keys taken, T, a pair of sizes m and n shares at least T + U - (m + n) / 7.
+    Dense parity sketches of the members refute pairs before any is made: their Hamming distance can't pass (m + n) / 7.
     """
     import pyarrow as pa
 
@@ -257,11 +285,10 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, percent: int)
     taken = own.filter(F.col("before") + F.col("unshared") <= F.floor(F.col("n") * 2 / 7) + F.floor(F.col("n") / 16))
     taken = taken.withColumn("need", F.sum("times").over(by_sig) + F.col("unshared")).select("bucket", "sig", "need")
     member = each.join(labels, "sig").join(taken, ["bucket", "sig"], "left")
-    groups = member.groupBy("bucket").agg(
-        F.first("times").alias("times"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("need").alias("any"),
-        F.array_sort(F.collect_list(F.struct("n", "sig", "component", F.coalesce("need", F.lit(-1)).alias("need")))).alias("m"),
-    )
-    groups = groups.filter((F.col("c0") != F.col("c1")) & F.col("any").isNotNull()).select("times", "m")
+    open_ = member.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("need").alias("any")).filter("c0 <> c1 and any is not null").select("bucket")
+    groups = member.join(open_, "bucket").join(_sketches(sets, reps), ["sig", "g"]).groupBy("bucket").agg(
+        F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("n", "sig", "component", F.coalesce("need", F.lit(-1)).alias("need"), "sketch"))).alias("m")
+    )
 
     def run(batches):
         parts: list[np.ndarray] = []
@@ -279,9 +306,11 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, percent: int)
             for times, row in zip(batch["times"].to_pylist(), batch["m"], strict=True):
                 f = row.values
                 n, sig, c, need = (f.field(k).to_numpy() for k in ("n", "sig", "component", "need"))
+                sketch = np.frombuffer(b"".join(f.field("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
                 for i in np.flatnonzero(need >= 0):
                     j = np.arange(np.searchsorted(n, -(-n[i] * percent // 100)), np.searchsorted(n, n[i], "right"))
                     j = j[c[j] != c[i]]
+                    j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= (n[j] + n[i]) // 7]
                     if len(j):
                         parts.append(np.stack([np.full(len(j), sig[i]), sig[j], need[i] - (n[j] + n[i]) // 7, np.full(len(j), times)], axis=1))
                         held += len(j)
@@ -311,18 +340,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets = _possible(met.filter("kind = 1").groupBy("g", "members").agg(F.sum("times").alias("times")), reps).checkpoint()
 
     sizes = reps.select("sig", "n")
-    stars = buckets.select(F.col("members")[0].alias("u"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("v"), "times").groupBy("u", "v").agg(F.sum("times").alias("times"))
-    stars = stars.join(sizes.select(F.col("sig").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("sig").alias("v"), F.col("n").alias("nv")), "v")
-    likely = (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent) & (F.col("times") * 8 >= F.col("nv"))
-    star_pairs = stars.filter(likely).select("u", "v").checkpoint()
+    each = buckets.select(F.xxhash64("g", "members").alias("bucket"), "g", F.size("members").alias("size"), "times", F.explode("members").alias("sig"))
+    each = each.join(_centrality(each, reps), ["sig", "g"]).checkpoint()
+
+    def stars(labels: DataFrame) -> DataFrame:
+        """In each bucket with more components than one, the most central member with those outside its component."""
+        lead = each.join(labels, "sig").select("bucket", "times", "sig", "n", "component", "centre")
+        top = lead.groupBy("bucket").agg(F.max_by(F.struct("sig", "n", "component"), F.struct("centre", "sig")).alias("lead"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+        pairs = lead.join(top.filter("c0 <> c1").drop("c0", "c1"), "bucket").filter("component <> lead.component")
+        pairs = pairs.groupBy(F.least("sig", "lead.sig").alias("u"), F.greatest("sig", "lead.sig").alias("v")).agg(F.sum("times").alias("times"), F.max(F.greatest("n", "lead.n")).alias("large"), F.min(F.least("n", "lead.n")).alias("small"))
+        return pairs.filter((F.col("small") * 100 >= F.col("large") * percent) & (F.col("times") * 8 >= F.col("small"))).select("u", "v").checkpoint()
+
+    sizes = reps.select("sig", "n")
+    star_pairs = stars(sizes.withColumn("component", F.col("sig")))
     wanted = buckets.select(F.explode("members").alias("sig")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig")
     sets = _sets(docs, wanted).checkpoint()
     linked = _verified(star_pairs, sets, percent).checkpoint()
     first = components(linked)
 
     labels = sizes.join(first.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    each = buckets.select(F.xxhash64("g", "members").alias("bucket"), "g", F.size("members").alias("size"), "times", F.explode("members").alias("sig"))
-    rest = _crossed(each, reps, labels, percent).join(star_pairs, ["u", "v"], "left_anti")
+    each = each.drop("centre")
+    rest = _crossed(each, reps, labels, sets, percent).join(star_pairs, ["u", "v"], "left_anti")
     final = components(linked.unionByName(_verified(rest, sets, percent)))
     ranked = reps.select("sig", "rep").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     least = ranked.groupBy("component").agg(F.min("rep").alias("component_id"))
