@@ -80,7 +80,7 @@ class Encoder:
         memo, get = self.memo, self.memo.get
         if len(memo) > MEMO_PIECES:
             memo.clear()
-        cut, found, unknown = [], [], set()
+        found, unknown = [], set()
         for t in texts:
             if self.lower and not _CASE.search(t):
                 pieces = t.lower().split()
@@ -89,19 +89,18 @@ class Encoder:
             else:
                 pieces = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             ids = list(map(get, pieces))
-            if None in ids:
-                unknown.update([p for p, x in zip(pieces, ids, strict=True) if x is None])
-                cut.append(pieces)
-                found.append(None)
-            else:
-                cut.append(None)
-                found.append(b"".join(ids))
+            holes = [(k, pieces[k]) for k, x in enumerate(ids) if x is None]
+            unknown.update([p for _, p in holes])
+            found.append((ids, holes))
         todo = self._encode_joined(unknown) if self.begins is not None else self._encode_apart(unknown) if self.lower else list(unknown)
         for i in range(0, len(todo), 4096):
             part = todo[i : i + 4096]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 memo[piece] = array("I", e.ids).tobytes()
-        return [b"".join(map(get, pieces)) if x is None else x for pieces, x in zip(cut, found, strict=True)]
+        for ids, holes in found:
+            for k, p in holes:
+                ids[k] = memo[p]
+        return [b"".join(ids) for ids, _ in found]
 
 
 def encoder(path: str) -> Encoder:
