@@ -36,7 +36,8 @@ from tessera.llm.components import components
 from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, unpack_ints, unpack_sorted
 
 SHINGLE = 5
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 700_000
+ROWS = 500
 KEY_BITS = 50
 
 _lows = [1]
@@ -72,6 +73,12 @@ def shingles(texts: list[str | None], size: int = SHINGLE):
             yield short[i] if i in short else np.unique(h[edge[i] : edge[i + 1]])
 
 
+def _by_rows(texts):
+    """Shingles of an Arrow column, a few rows in memory as strings at a time."""
+    for i in range(0, len(texts), ROWS):
+        yield from shingles(texts.slice(i, ROWS).to_pylist())
+
+
 def signature(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(mix(np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) ^ mix(s).sum(dtype=np.uint64) << np.uint64(1)]))[0].astype(np.int64))
@@ -123,8 +130,7 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
 
         n_keys = 0
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for doc, s in zip(batch["doc_id"].to_pylist(), shingles(texts), strict=True):
+            for doc, s in zip(batch["doc_id"].to_pylist(), _by_rows(batch["text"]), strict=True):
                 n = len(s)
                 sig = signature(s) if n else 0
                 own = 0
@@ -200,7 +206,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep, out = [], []
-            for i, (x, sig) in enumerate(zip(shingles(batch["text"].to_pylist()), batch["sig"].to_pylist(), strict=True)):
+            for i, (x, sig) in enumerate(zip(_by_rows(batch["text"]), batch["sig"].to_pylist(), strict=True)):
                 if len(x) and signature(x) == sig:  # rows of one doc_id may differ
                     keep.append(i)
                     out.append(pack_sorted(x))
@@ -314,13 +320,15 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFram
                     if len(j):
                         parts.append(np.stack([np.full(len(j), sig[i]), sig[j], need[i] - (n[j] + n[i]) // 7, np.full(len(j), times)], axis=1))
                         held += len(j)
-                if held > 2_000_000:
+                if held > 500_000:
                     held = 0
                     yield flush()
         if parts:
             yield flush()
 
-    found = groups.mapInArrow(run, "larger long, smaller long, least long, shared long")
+    # a task adds up what its buckets say of a pair, so fewer tasks make fewer rows
+    tasks = max(8, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    found = groups.coalesce(tasks).mapInArrow(run, "larger long, smaller long, least long, shared long")
     found = found.groupBy("larger", "smaller").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).filter("shared >= least")
     return found.select(F.least("larger", "smaller").alias("u"), F.greatest("larger", "smaller").alias("v")).distinct()
 

@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 LONG_WORD = 255
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _BASE = 0x9E6C63D0876A9A47 | 1
 _SEPARATOR = np.zeros(256, bool)
