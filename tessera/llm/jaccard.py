@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, unpack_ints, unpack_sorted
+from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, release_memory, small_batches, unpack_ints, unpack_sorted
 
 SHINGLE = 5
 FLUSH_KEYS = 700_000
@@ -155,6 +155,7 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
         out = flush()
         if out:
             yield out
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "block long, kind int, a binary, b binary, c binary, d binary")
 
@@ -194,6 +195,7 @@ def _meet(inputs: DataFrame) -> DataFrame:
                 nothing = pa.nulls(n, pa.int64())
                 members = pa.array([np.frombuffer(m, np.int64) for _, m in found], pa.list_(pa.int64()))
                 out.append(pa.Table.from_arrays([pa.array(np.ones(n, np.int32)), nothing, nothing, nothing, nothing, pa.array([g for g, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64()), members], schema=schema))
+        release_memory()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return inputs.groupBy("block").applyInArrow(run, "kind int, doc_id long, sig long, n long, own long, g long, times long, members array<long>")
@@ -211,6 +213,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     keep.append(i)
                     out.append(pack_sorted(x))
             yield pa.RecordBatch.from_arrays([batch["sig"].take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["sig", "set"])
+        release_memory()
 
     rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text").join(wanted, "doc_id").select("sig", "text")
     return rows.mapInArrow(run, "sig long, set binary")
@@ -325,6 +328,7 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFram
                     yield flush()
         if parts:
             yield flush()
+        release_memory()
 
     # a task adds up what its buckets say of a pair, so fewer tasks make fewer rows
     tasks = max(8, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
@@ -337,6 +341,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     if percent < 75:
         raise ValueError("bands and pieces are laid out for a similarity of 0.75 or more")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """All that runs Python is done when this returns."""
     spark = docs.sparkSession
     blocks = max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = _meet(_meet_inputs(docs, blocks)).checkpoint()

@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.textgrid import Words, chunks
+from tessera.llm.textgrid import Words, chunks, release_memory
 
 MAX_DOCS = 3000
 THRESHOLD = 0.7
 ROUNDS = 3
 STEPS = 150
 N_OWN = 14
+ROWS = 500
 
 _KIND = np.zeros((256, 6))
 _KIND[ord("A") : ord("Z") + 1, 0] = 1
@@ -207,7 +208,10 @@ def add_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataF
 
     def run(batches):
         for batch in batches:
-            yield batch.append_column(name, pa.array(score(batch["text"].to_pylist(), model), pa.float64()))
+            for i in range(0, batch.num_rows, ROWS):  # so few texts in memory as strings at a time
+                part = batch.slice(i, ROWS)
+                yield part.append_column(name, pa.array(score(part["text"].to_pylist(), model), pa.float64()))
+        release_memory()
 
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 LONG_WORD = 255
 CHUNK_BYTES = 1_000_000
@@ -154,3 +156,33 @@ def unpack_ints(b: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "8MB"):
+    """Arrow batches of at most so many rows and about so many bytes, for what runs inside.
+
+    A row of these operators may hold a whole text or the members of a group, so
+    that batches of the usual row count need too much memory on both sides.
+    """
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def release_memory() -> None:
+    """Give the freed memory of this worker back, as it waits for other tasks without ending."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
