@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every document is searched for the n-grams of all test items. How many documents
-hold each n-gram is counted over the whole corpus, and in each run of SPREAD
-n-grams of an item the rarest one is a seed (the smallest count, ties to the
-first), so a copied stretch of SPREAD + NGRAM - 1 words has a seed however
-often the item was copied. Passages around seeds are aligned with the item; a
+Every document is searched for the n-grams of all test items, and each n-gram is
+a seed, so a copied stretch of NGRAM words is enough however often the item
+was copied. Passages around seeds are aligned with the item; a
 document is contaminated by an item if the words of the item that match reach
-`coverage` of its words.
+`coverage` of its words. A copy without NGRAM words in a row left intact has no seed
+and is not found.
 
 The index of test items is sent to all executors only up to MAX_ITEM_WORDS
 words; beyond that the items are taken in parts of that size, one after another.
@@ -27,10 +26,9 @@ from tessera.llm.align import smith_waterman
 from tessera.llm.textgrid import Words, chunks
 
 NGRAM = 4
-SPREAD = 3
 COVERAGE = 0.6
 MAX_ITEM_WORDS = 2_000_000
-HITS = "doc_id long, item int, item_id long, part int, grams array<int>, region array<long>, begin int"
+FOUND = "doc_id long, item_id long, score double, start long, end long"
 
 
 def _index(items: list[tuple[int, str]]):
@@ -68,10 +66,10 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
     spark = docs.sparkSession
     words, gram_hash, gram_item, gram_place = _index(items)
     if not len(gram_hash):
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, start long, end long")
+        return spark.createDataFrame([], FOUND)
     distinct = np.unique(gram_hash)
     shared = spark.sparkContext.broadcast((words, gram_hash, gram_item, gram_place, distinct, [i for i, _ in items]))
-    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int32()), ("item_id", pa.int64()), ("part", pa.int32()), ("grams", pa.list_(pa.int32())), ("region", pa.list_(pa.int64())), ("begin", pa.int32())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def find(batches):
         words, gram_hash, gram_item, gram_place, distinct, item_ids = shared.value
@@ -91,52 +89,26 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
                 pos, gram = at[likely], k
                 low, high = np.searchsorted(gram_hash, distinct[gram], "left"), np.searchsorted(gram_hash, distinct[gram], "right")
                 rows = []
-                hits = [(int(w.text[p]), int(gram_item[x]), int(p), int(g), int(gram_place[x])) for p, g, lo, hi in zip(pos, gram, low, high, strict=True) for x in range(lo, hi)]
+                hits = [(int(w.text[p]), int(gram_item[x]), int(p), int(gram_place[x])) for p, lo, hi in zip(pos, low, high, strict=True) for x in range(lo, hi)]
                 hits.sort()
                 i = 0
                 while i < len(hits):
                     doc, item, p, *_ = hits[i]
                     m = len(words[item])
-                    j, grams = i, []
+                    j = i
                     while j < len(hits) and hits[j][:2] == (doc, item) and hits[j][2] - (hits[j - 1][2] if j > i else p) <= m:
-                        grams.append(hits[j][3])
                         j += 1
-                    begin = max(int(w.first[doc]), min(x[2] - x[4] for x in hits[i:j]) - m // 4 - 2)
-                    end = min(int(w.first[doc + 1]), max(x[2] - x[4] for x in hits[i:j]) + m + m // 4 + 2)
-                    rows.append((ids[a + doc], item, item_ids[item], i - j, sorted(set(grams)), w.hash[begin:end].view(np.int64), begin - int(w.first[doc])))
+                    begin = max(int(w.first[doc]), min(x[2] - x[3] for x in hits[i:j]) - m // 4 - 2)
+                    end = min(int(w.first[doc + 1]), max(x[2] - x[3] for x in hits[i:j]) + m + m // 4 + 2)
                     i = j
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    hits = docs.select("doc_id", "text").mapInArrow(find, HITS).checkpoint()
-    # at most a row for each n-gram of a part of the items
-    seen = dict(hits.select("doc_id", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect())
-    rare = np.zeros(len(distinct), bool)
-    count = np.array([seen.get(i, 0) for i in range(len(distinct))])
-    of = np.searchsorted(distinct, gram_hash)
-    by = np.lexsort((gram_place, gram_item))
-    item, gram = gram_item[by], of[by]
-    for i in np.unique(item):
-        g = gram[item == i]
-        for s in range(max(1, len(g) - SPREAD + 1)):
-            run = g[s : s + SPREAD]
-            rare[run[np.argmin(count[run])]] = True
-    seeds = spark.sparkContext.broadcast(rare)
-
-    def score(batches):
-        words = shared.value[0]
-        rare = seeds.value
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                if not rare[r["grams"]].any():
-                    continue
-                a, b = words[r["item"]], np.array(r["region"], np.int64).view(np.uint64)
-                if len(np.intersect1d(a, b)) < 0.5 * coverage * len(np.unique(a)):
-                    continue
-                _, matched, _, _, s, e = smith_waterman(a, b)
-                if matched >= coverage * len(a):
-                    rows.append((r["doc_id"], r["item_id"], matched / len(a), r["begin"] + s, r["begin"] + e))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "item_id", "score", "start", "end"])
-
-    return hits.select("doc_id", "item", "item_id", "grams", "region", "begin").mapInArrow(score, "doc_id long, item_id long, score double, start long, end long")
+                    own, region = words[item], w.hash[begin:end]
+                    if len(np.intersect1d(own, region)) < 0.5 * coverage * len(np.unique(own)):
+                        continue
+                    _, matched, _, _, s, e = smith_waterman(own, region)
+                    if matched >= coverage * m:
+                        at_doc = begin - int(w.first[doc])
+                        rows.append((ids[a + doc], item_ids[item], matched / m, at_doc + s, at_doc + e))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(find, FOUND)

@@ -268,6 +268,23 @@ def test_decontamination_finds_exact_and_edited(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def best_share(item, text):
+    return smith_waterman(np.array([hash(w) for w in item]), np.array([hash(w) for w in text]))[1] / len(item)
+
+
+@pytest.mark.parametrize(("size", "every"), [(40, 5), (40, 6), (15, 5), (15, 6)])
+def test_decontamination_finds_thickly_edited_equals_brute_force(spark, size, every):
+    rng = random.Random(size + every)
+    items = [[f"t{i}_{rng.randrange(1000)}" for _ in range(size)] for i in range(2 * every)]  # one edited copy of each, an exact one of half of them
+    filler = lambda: [f"f{rng.randrange(1000)}" for _ in range(60)]
+    texts = [filler() + [w if (k + i) % every else f"other{k}" for k, w in enumerate(item)] + filler() for i, item in enumerate(items)]
+    texts += [filler() + item + filler() for item in items[every:]] + [filler() + items[0][: size // 2], filler()]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), rows).collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if best_share(item, t) >= decontaminate.COVERAGE}
+    assert got == want and len(want) == 3 * every
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(6)
     for _ in range(30):
