@@ -180,7 +180,7 @@ def _marginals(f, chain, skip, model) -> np.ndarray:
 def all_spans(text: str, model: dict | None, confidence: float = CONFIDENCE):
     """(base spans, added spans)."""
     base = base_spans(text)
-    if model is None or not (base and (_DIGIT.search(text) or "@" in text)):
+    if model is None or not (_DIGIT.search(text) or "@" in text):
         return base, []
     tokens, f, labels, chain, skip = _graph(text, base)
     if not len(tokens):

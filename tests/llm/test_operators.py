@@ -246,6 +246,16 @@ def test_pii_skip_edges_add_spans(spark):
     assert p.columns == docs.columns and p.filter("text rlike '@[a-z0-9]+[.]example'").count() == 0
 
 
+def test_pii_without_base_spans():
+    w = np.zeros((18, 5))
+    w[4, 4] = w[5, 4] = 8  # numbers of four digits and more are phones
+    model = {"w": w, "chain": np.zeros((5, 5)), "skip": np.zeros((5, 5))}
+    for text in ("call 3775550271 today", "a@b.cd or call 3775550271 today"):
+        at = text.index("377")
+        assert pii.all_spans(text, model)[1] == [(3, at, at + 10)]
+    assert pii.all_spans("no such words", model) == ([], [])
+
+
 def test_loopy_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(1)
     f, model = rng.normal(size=(3, 18)), {"w": rng.normal(size=(18, 5)) / 3, "chain": rng.normal(size=(5, 5)), "skip": np.zeros((5, 5))}
