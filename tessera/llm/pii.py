@@ -4,7 +4,8 @@ Patterns give the base spans. Tokens (words with a digit or an @; all others can
 only be outside) are labelled outside, email, ip, card or phone: neighbouring
 tokens share a chain potential, and tokens with equal digits (seven or more at the end) or
 equal letters share a skip potential, each with the next such token however
-far. Loopy sum-product messages give marginals; a token that no base span
+far. Loopy sum-product messages, passed along whole paths of chain or of skip edges
+in turns until they no longer change, give marginals; a token that no base span
 touches becomes a span if one kind's marginal reaches `confidence`. Weights are fitted by
 pseudo-likelihood on the base labels of a bounded sample (MAX_DOCS documents,
 the first by a hash of the id among those with a digit or an @).
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS = 1500
 CONFIDENCE = 0.95
-SWEEPS = 6
+SETTLED = 1e-6
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -150,30 +151,46 @@ def train(texts: list[str]) -> dict | None:
     return {"w": w, "chain": t, "skip": s}
 
 
+def _along(a, b, node, pot):
+    """Exact messages into b along paths of edges a -> b, where no two edges share an a or a b; edges are doubled in length until all reach their path's start."""
+    ends_at = np.full(len(node), -1)
+    ends_at[b] = np.arange(len(b))
+    before = ends_at[a]
+    product = node[a][:, :, None] * pot
+    product /= product.max(axis=(1, 2), keepdims=True)
+    while (more := np.flatnonzero(before >= 0)).size:
+        longer = product[before[more]] @ product[more]
+        jump = before[before[more]]
+        product[more] = longer / longer.max(axis=(1, 2), keepdims=True)
+        before[more] = jump
+    out = product.sum(axis=1)
+    return out / out.sum(axis=1, keepdims=True)
+
+
 def _marginals(f, chain, skip, model) -> np.ndarray:
-    """Loopy sum-product, damped by half."""
+    """Loopy sum-product: exact passes along all paths of one kind of edges, then of the other, until settled.
+
+    A round carries a message along a whole path. Rounds are bounded by the
+    number of tokens, so that messages may also change between the kinds of edges at each token; later ones are damped by half.
+    """
     node = np.exp(np.clip(f @ model["w"], -30, 30))
     node /= node.sum(axis=1, keepdims=True)
-    a = np.concatenate([chain[:, 0], skip[:, 0]])
-    b = np.concatenate([chain[:, 1], skip[:, 1]])
-    if not len(a):
-        return node
-    pot = np.concatenate([np.broadcast_to(np.exp(np.clip(model[x], -8, 8)), (len(e), 5, 5)) for x, e in (("chain", chain), ("skip", skip))])
-    forward = np.full((len(a), 5), 0.2)
-    back = np.full((len(a), 5), 0.2)
-    for _ in range(SWEEPS):
-        log = np.log(node)
-        np.add.at(log, b, np.log(forward))
-        np.add.at(log, a, np.log(back))
-        belief = np.exp(log - log.max(axis=1, keepdims=True)) + 1e-12
-        to_b = np.einsum("ei,eij->ej", belief[a] / back, pot)
-        to_a = np.einsum("ej,eij->ei", belief[b] / forward, pot)
-        forward = np.maximum(0.5 * forward + 0.5 * to_b / to_b.sum(axis=1, keepdims=True), 1e-9)
-        back = np.maximum(0.5 * back + 0.5 * to_a / to_a.sum(axis=1, keepdims=True), 1e-9)
-    log = np.log(node)
-    np.add.at(log, b, np.log(forward))
-    np.add.at(log, a, np.log(back))
-    p = np.exp(log - log.max(axis=1, keepdims=True))
+    kinds = [(e, np.exp(np.clip(model[x], -8, 8))) for x, e in (("chain", chain), ("skip", skip)) if len(e)]
+    into = [np.ones_like(node) for _ in kinds]  # product of the messages into each token by edges of a kind
+    for turn in range(50 + 2 * len(node)):
+        change = 0.0
+        for k, (e, pot) in enumerate(kinds):
+            rest = node * into[1 - k] if len(kinds) == 2 else node
+            rest = rest / rest.sum(axis=1, keepdims=True)
+            new = np.ones_like(node)
+            new[e[:, 1]] = _along(e[:, 0], e[:, 1], rest, pot)
+            new[e[:, 0]] *= _along(e[:, 1], e[:, 0], rest, pot.T)
+            new /= new.sum(axis=1, keepdims=True)
+            change = max(change, np.abs(new - into[k]).max())
+            into[k] = new if turn < 20 else 0.5 * (new + into[k])
+        if len(kinds) < 2 or change < SETTLED:
+            break
+    p = node * np.prod(into, axis=0)
     return p / p.sum(axis=1, keepdims=True)
 
 

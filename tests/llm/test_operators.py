@@ -266,6 +266,35 @@ def test_loopy_messages_are_exact_on_a_chain():
     assert np.allclose(p[1], w.sum(axis=(0, 2)) / w.sum(), atol=0.03)
 
 
+def test_one_informative_mention_reaches_fifty():
+    w, skip = np.zeros((18, 5)), np.full((5, 5), -2.0)
+    w[10, 4] = 30  # a plus sign says phone, nothing else says anything
+    np.fill_diagonal(skip, 8)
+    model = {"w": w, "chain": np.zeros((5, 5)), "skip": skip}
+    text = "+4991701234567" + " or so 01701234567" * 50
+    base, added = pii.all_spans(text, model)
+    assert [k for k, _, _ in base] == [3] and len(added) == 50 and {k for k, _, _ in added} == {3}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_loopy_messages_settle(seed):
+    rng = np.random.default_rng(seed)
+    f, model = rng.normal(size=(7, 18)), {"w": rng.normal(size=(18, 5)) / 4, "chain": rng.normal(size=(5, 5)) / 2, "skip": rng.normal(size=(5, 5)) / 2}
+    chain, skip = np.array([[0, 1], [1, 2], [3, 4], [4, 5]]), np.array([[1, 4], [4, 6], [2, 3]])
+    model["skip"] += model["skip"].T
+    p = pii._marginals(f, chain, skip, model)
+    edges = [(a, b, np.exp(model["chain"])) for a, b in chain] + [(a, b, np.exp(model["skip"])) for a, b in skip]
+    node = np.exp(f @ model["w"])
+    m = {(a, b): np.ones(5) for x, y, _ in edges for a, b in ((x, y), (y, x))}
+    for _ in range(400):  # plain messages, an edge at a time
+        for x, y, pot in edges:
+            for a, b, t in ((x, y, pot), (y, x, pot.T)):
+                v = node[a] * np.prod([m[c, d] for c, d in m if d == a and c != b], axis=0) @ t if any(d == a and c != b for c, d in m) else node[a] @ t
+                m[a, b] = v / v.sum()
+    want = np.array([node[i] * np.prod([m[c, d] for c, d in m if d == i], axis=0) for i in range(7)])
+    assert np.allclose(p, want / want.sum(axis=1, keepdims=True), atol=1e-4)
+
+
 def test_decontamination_finds_exact_and_edited(spark):
     rng = random.Random(9)
     item = [f"t{rng.randrange(1000)}" for _ in range(40)]
