@@ -1,13 +1,16 @@
-"""Exact vector search: a broadcast query side of a checked size against a scanned corpus."""
+"""Exact vector search: one query against a scanned corpus, or any number of queries in blocks against blocks of the corpus."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 
-MAX_QUERIES = 1000
+BLOCK = 512
+MAX_PARTITIONS = 64
+MARGIN = 1e-9
 
 
 def top_k(corpus: DataFrame, query: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
@@ -24,15 +27,114 @@ def top_k(corpus: DataFrame, query: DataFrame, k: int, exclude_self: bool = True
     )
 
 
+def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
+    """Blocks of at most BLOCK rows by id: ids, widths (-1: no vector, or one with null elements) and values as bytes."""
+    import pyarrow as pa
+
+    names = [f"{prefix}_{c}" for c in ("ids", "widths", "values")]
+
+    def pack(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = sorted(zip(batch["vec_id"][i : i + BLOCK].to_pylist(), batch["embedding"][i : i + BLOCK].to_pylist(), strict=True), key=lambda r: r[0])
+                vectors = [None if v is None or None in v else v for _, v in part]
+                widths = np.array([-1 if v is None else len(v) for v in vectors], np.int64)
+                values = np.concatenate([np.zeros(0), *(np.array(v, float) for v in vectors if v)])
+                data = (np.array([r[0] for r in part], np.int64), widths, values)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=names)
+
+    rows = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    n = min(MAX_PARTITIONS, max(1, -(-rows.count() // BLOCK)))
+    return rows.repartition(n).mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
+
+
+def _unpack(ids: bytes, widths: bytes, values: bytes):
+    """Ids, and for each width the places of its vectors, the vectors and their norms."""
+    width, value = np.frombuffer(widths, np.int64), np.frombuffer(values)
+    ends = np.cumsum(np.maximum(width, 0))
+    out = {}
+    for w in np.unique(width[width > 0]):
+        at = np.flatnonzero(width == w)
+        v = value[(ends[at] - w)[:, None] + np.arange(w)]
+        square = np.zeros(len(at))
+        for d in range(w):
+            square += v[:, d] * v[:, d]
+        out[int(w)] = at, v, np.sqrt(square)
+    return np.frombuffer(ids, np.int64), out
+
+
+def _nearest_of_one_width(q, c, k: int):
+    """_nearest by a matrix product that leaves all rows within MARGIN of the k-th, scored exactly then; None if a vector is unknown, extreme or of another width."""
+    (q_ids, q_by), (c_ids, c_by) = q, c
+    if len(q_by) != 1 or q_by.keys() != c_by.keys():
+        return None
+    ((at, a, na),), ((to, b, nb),) = q_by.values(), c_by.values()
+    if len(at) < len(q_ids) or len(to) < len(c_ids) or not all(((x > 1e-100) & (x < 1e100)).all() for x in (na, nb)):
+        return None
+    rough = (a / na[:, None]) @ (b / nb[:, None]).T
+    other = q_ids[:, None] != c_ids[None]
+    rough[~other] = -2
+    last = -np.partition(-rough, min(k, len(c_ids)) - 1, axis=1)[:, min(k, len(c_ids)) - 1]
+    i, j = np.nonzero((rough >= last[:, None] - MARGIN) & other)
+    dot = np.zeros(len(i))
+    for d in range(a.shape[1]):
+        dot += a[i, d] * b[j, d]
+    score = dot / (na[i] * nb[j])
+    order = np.lexsort((j, -score, i))
+    i, j, score = i[order], j[order], score[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[best], j[best], score[best], np.ones(int(best.sum()), bool)
+
+
+def _nearest(q, c, k: int):
+    """The k nearest rows of block c for each of block q: places in q and c, scores, which scores are known.
+
+    Products are added in the order of the elements, as scalar.cosine does, so that equal vectors tie.
+    """
+    (q_ids, q_by), (c_ids, c_by) = q, c
+    if (found := _nearest_of_one_width(q, c, k)) is not None:
+        return found
+    score, known = np.zeros((len(q_ids), len(c_ids))), np.zeros((len(q_ids), len(c_ids)), bool)
+    for w in q_by.keys() & c_by.keys():
+        (i, a, na), (j, b, nb) = q_by[w], c_by[w]
+        dot, term = np.zeros((len(i), len(j))), np.empty((len(i), len(j)))
+        for d in range(w):
+            np.multiply(a[:, d, None], b[None, :, d], out=term)
+            dot += term
+        size = na[:, None] * nb[None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score[np.ix_(i, j)] = dot / size
+        known[np.ix_(i, j)] = size != 0
+    other = q_ids[:, None] != c_ids[None]
+    key = np.where(np.isnan(score), -np.inf, -score)  # NaN is the largest, as in Spark
+    key = np.where(other, np.where(known, key, 1e300), np.inf)
+    best = np.argsort(key, axis=1, kind="stable")[:, :k]
+    i, j = np.repeat(np.arange(len(q_ids)), best.shape[1]), best.ravel()
+    keep = other[i, j]
+    i, j = i[keep], j[keep]
+    return i, j, score[i, j], known[i, j]
+
+
 def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows of each query; at most MAX_QUERIES queries, as they are broadcast."""
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: use the partitioned index instead")
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = corpus.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", scalar.cosine(F.col("embedding"), F.col("q")).alias("score"))
+    """The k nearest rows of each query by cosine, for any number of queries.
+
+    Every block of queries meets every block of the corpus; only the k nearest
+    rows of a query in a block go on. A score is null, and ranked last, if a vector is null,
+    has a null element, is zero, or is of another width.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):  # a pair of blocks at a time as Python objects
+                q, c = (_unpack(*(batch[f"{x}_{y}"][n].as_py() for y in ("ids", "widths", "values"))) for x in "qc")
+                i, j, score, known = _nearest(q, c, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(c[0][j]), pa.array(score, pa.float64(), mask=~known)], names=["query_id", "vec_id", "score"])
+
+    pairs = _blocks(queries, "q").crossJoin(_blocks(corpus, "c"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    near = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
 def not_indexed(files: DataFrame, index: DataFrame, key: str = "fingerprint") -> DataFrame:

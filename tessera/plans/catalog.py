@@ -56,6 +56,12 @@ def batch(spark: SparkSession, d: str) -> DataFrame:
     return search.batch_top_k(e, e.filter("vec_id < 25"), 5).withColumn("score", F.round("score", 6))
 
 
+def all_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The batch search with every row as a query."""
+    e = table(spark, d, "embeddings")
+    return search.batch_top_k(e, e, 5).withColumn("score", F.round("score", 6))
+
+
 def asof(spark: SparkSession, d: str) -> DataFrame:
     """The latest earlier order of the customer, for each order."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -73,6 +79,7 @@ _PASSWORDS = ["short", "alllowercase", "lowerUPPER", "lowerUP1", "lowerUP1!", "1
 QUERIES: dict[str, Query] = {
     "l3_topk_cosine": topk,
     "l3_batch_topk": batch,
+    "l3_all_topk": all_topk,
     "s1_generated": lambda s, d: search_results(s).withColumn("file", scalar.basename(F.col("path"))),
     "f3_similarity_band": lambda s, d: search_results(s).groupBy(scalar.similarity_band(F.col("similarity")).alias("band")).agg(F.count("*").alias("n")),
     "a2_log_summary": lambda s, d: activity_log(s).agg(F.count("*").alias("n"), F.sum("results").alias("total"), F.count_if(F.col("results") == 0).alias("empty")),
@@ -141,6 +148,7 @@ SQL = {
     "ext_session_window": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "l3_topk_cosine": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id ORDER BY score DESC, vec_id LIMIT 10), p AS (SELECT *, CAST(round(100 * greatest(0.0, score)) AS INT) AS percent FROM s) SELECT query_id, vec_id, round(score, 6) AS score, percent, CASE WHEN percent >= 88 THEN 'high' WHEN percent >= 72 THEN 'mid' ELSE 'low' END AS band FROM p",
     "l3_batch_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 25), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5",
+    "l3_all_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5",
     "s1_generated": r"SELECT i + 1 AS id, printf('asset_%03d.jpg', i + 1) AS name, 'D:\assets\asset_' || (i + 1) || '.jpg' AS path, CAST(greatest(54, 97 - 3 * i) AS INT) AS similarity, 'asset_' || (i + 1) || '.jpg' AS file FROM range(16) t(i)",
     "f3_similarity_band": "SELECT CASE WHEN s >= 88 THEN 'high' WHEN s >= 72 THEN 'mid' ELSE 'low' END AS band, count(*) AS n FROM (SELECT greatest(54, 97 - 3 * i) AS s FROM range(16) t(i)) GROUP BY 1",
     "a2_log_summary": "SELECT count(*) AS n, CAST(sum(v) AS BIGINT) AS total, count(*) FILTER (v = 0) AS empty FROM (VALUES (24), (12), (0), (47), (8), (31)) t(v)",
