@@ -102,7 +102,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
                     end = min(int(w.first[doc + 1]), max(x[2] - x[3] for x in hits[i:j]) + m + m // 4 + 2)
                     i = j
                     own, region = words[item], w.hash[begin:end]
-                    if len(np.intersect1d(own, region)) < 0.5 * coverage * len(np.unique(own)):
+                    if np.isin(own, region).sum() < coverage * m:  # no alignment matches more words
                         continue
                     _, matched, _, _, s, e = smith_waterman(own, region)
                     if matched >= coverage * m:

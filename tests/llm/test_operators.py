@@ -324,6 +324,13 @@ def test_decontamination_finds_thickly_edited_equals_brute_force(spark, size, ev
     assert got == want and len(want) == 3 * every
 
 
+def test_decontamination_of_a_repetitive_item(spark):
+    item = ["the"] * 25 + [f"t{k}" for k in range(25)]
+    copy = item[:30] + [f"other{k}" for k in range(20)]
+    got = decontaminate.contaminated(frame(spark, [(1, " ".join(copy)), (2, " ".join(copy[:29]))]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(1, 0.6)]
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(6)
     for _ in range(30):
