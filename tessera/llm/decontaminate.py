@@ -10,8 +10,8 @@ and is not found.
 The index of test items is sent to all executors only up to MAX_ITEM_WORDS
 words; beyond that the items are taken in parts of that size, one after another.
 
-Null texts hold nothing. Items of fewer than NGRAM words say too little and
-are ignored. Repeated rows of documents or
+Null texts hold nothing. An item of fewer than NGRAM words is a single shorter n-gram,
+so only exact copies of it are found. Items without words are ignored. Repeated rows of documents or
 items are rows of their own. A null doc_id stays null. Empty tables give no rows; extra
 columns are ignored.
 """
@@ -32,14 +32,20 @@ FOUND = "doc_id long, item_id long, score double, start long, end long"
 
 
 def _index(items: list[tuple[int, str]]):
-    """Per item its words' hashes; sorted n-gram hashes with item and place."""
+    """Per item its words' hashes; by n-gram size sorted n-gram hashes with item and place."""
     w = Words([t for _, t in items], fold=True)
     words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(items))]
-    at, h = w.windows(NGRAM)
-    item = w.text[at]
-    place = at - w.first[item]
-    order = np.argsort(h, kind="stable")
-    return words, h[order], item[order].astype(np.int64), place[order].astype(np.int64)
+    lengths = np.array([len(x) for x in words], np.int64)
+    grams = {}
+    for size in range(1, NGRAM + 1):
+        at, h = w.windows(size)
+        item = w.text[at]
+        mine = np.minimum(lengths[item], NGRAM) == size
+        at, h, item = at[mine], h[mine], item[mine]
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            grams[size] = h[order], item[order].astype(np.int64), (at - w.first[item])[order].astype(np.int64)
+    return words, grams
 
 
 def _parts(items: DataFrame):
@@ -64,32 +70,33 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
     import pyarrow as pa
 
     spark = docs.sparkSession
-    words, gram_hash, gram_item, gram_place = _index(items)
-    if not len(gram_hash):
+    words, grams = _index(items)
+    if not grams:
         return spark.createDataFrame([], FOUND)
-    distinct = np.unique(gram_hash)
-    shared = spark.sparkContext.broadcast((words, gram_hash, gram_item, gram_place, distinct, [i for i, _ in items]))
+    shared = spark.sparkContext.broadcast((words, grams, [i for i, _ in items]))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def find(batches):
-        words, gram_hash, gram_item, gram_place, distinct, item_ids = shared.value
-        small = np.zeros(1 << 20, bool)
-        small[distinct >> np.uint64(44)] = True
+        words, grams, item_ids = shared.value
+        sized = []
+        for size, (gram_hash, gram_item, gram_place) in grams.items():
+            distinct = np.unique(gram_hash)
+            small = np.zeros(1 << 20, bool)
+            small[distinct >> np.uint64(44)] = True
+            sized.append((size, gram_hash, gram_item, gram_place, distinct, small))
         for batch in batches:
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for a, b in chunks(texts):
                 w = Words(texts[a:b], fold=True)
-                at, h = w.windows(NGRAM)
-                likely = np.flatnonzero(small[h >> np.uint64(44)])
-                k = np.minimum(np.searchsorted(distinct, h[likely]), len(distinct) - 1)
-                real = distinct[k] == h[likely]
-                likely, k = likely[real], k[real]
-                if not len(likely):
-                    continue
-                pos, gram = at[likely], k
-                low, high = np.searchsorted(gram_hash, distinct[gram], "left"), np.searchsorted(gram_hash, distinct[gram], "right")
-                rows = []
-                hits = [(int(w.text[p]), int(gram_item[x]), int(p), int(gram_place[x])) for p, lo, hi in zip(pos, low, high, strict=True) for x in range(lo, hi)]
+                rows, hits = [], []
+                for size, gram_hash, gram_item, gram_place, distinct, small in sized:
+                    at, h = w.windows(size)
+                    likely = np.flatnonzero(small[h >> np.uint64(44)])
+                    k = np.minimum(np.searchsorted(distinct, h[likely]), len(distinct) - 1)
+                    real = distinct[k] == h[likely]
+                    pos, gram = at[likely[real]], distinct[k[real]]
+                    low, high = np.searchsorted(gram_hash, gram, "left"), np.searchsorted(gram_hash, gram, "right")
+                    hits += [(int(w.text[p]), int(gram_item[x]), int(p), int(gram_place[x])) for p, lo, hi in zip(pos, low, high, strict=True) for x in range(lo, hi)]
                 hits.sort()
                 i = 0
                 while i < len(hits):

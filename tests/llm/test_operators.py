@@ -331,6 +331,13 @@ def test_decontamination_of_a_repetitive_item(spark):
     assert [(r["doc_id"], r["score"]) for r in got] == [(1, 0.6)]
 
 
+def test_decontamination_of_short_items(spark):
+    docs = frame(spark, [(1, "f1 f2 One two three f3"), (2, "one two f1 three"), (3, "f1 f2"), (4, None), (5, "two three")])
+    items = spark.createDataFrame([(7, "one two three"), (8, "two three"), (9, "THREE"), (10, " "), (11, "f1 one two three")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["score"], r["start"], r["end"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 7): (1, 2, 5), (1, 8): (1, 3, 5), (1, 9): (1, 4, 5), (2, 9): (1, 3, 4), (5, 8): (1, 0, 2), (5, 9): (1, 1, 2)}
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(6)
     for _ in range(30):
