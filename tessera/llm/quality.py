@@ -7,8 +7,8 @@ good, weighted by the lines' lengths. Training is by gradient ascent on the
 conditional likelihood of a bounded sample of labelled documents (MAX_DOCS, the
 first by a hash of the id): all lines of a good document are good; lines of a
 bad one begin as bad and are then re-labelled by the model, the worst line
-staying bad, as a bad document may hold good lines. A last logistic step maps the worst part and
-the mean of a document to its score.
+staying bad, as a bad document may hold good lines. A last logistic step maps the mean
+of a document to its score.
 
 Null and empty texts are one empty line and get its score. Without training
 rows of both labels every score is 0.5. Null labels are ignored; repeated rows
@@ -137,7 +137,7 @@ def _ascend(x, first, y, weight, theta, trans):
 
 
 def _document(p, weight, first):
-    """(1, logit of the weighted mean, log of the bad weight) of each document."""
+    """The weighted mean of each document, and (1, its logit)."""
     total = np.add.reduceat(weight, first[:-1])
     mean = np.add.reduceat(p * weight, first[:-1]) / total
     clipped = np.clip(mean, 0.002, 0.998)
