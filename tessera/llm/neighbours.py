@@ -1,22 +1,30 @@
-"""Approximate nearest neighbours by inner product: stable projections, kd-trees, chi-square stopping.
+"""Approximate nearest neighbours by inner product: stable projections, a kd-tree of cells, chi-square stopping.
 
 Vectors get one more component that brings them to the largest norm, so the
 largest inner product is the smallest distance. A few Gaussian (2-stable)
-projections are indexed by a kd-tree in each block of candidates; a block of
-queries visits the leaves of a tree in the order of their projected distance
-and verifies what they hold on the original vectors. With the k-th distance d
-so far and the next leaf at projected distance r, r**2 / d**2 of a better
-neighbour would follow a chi-square law with as many degrees as projections, so
-a query stops once that law's distribution function at r**2 / d**2 reaches `confidence`.
-
-Every row is indexed. Vectors that are null or zero, hold nulls or non-finite
-components, or have another width than most take no part. Fewer candidates than
-k: all of them. A null vec_id takes no part. Repeated rows are candidates of
-their own. Empty tables give no rows; extra columns are ignored.
+projections are indexed by one kd-tree, fitted on a bounded sample (SAMPLE rows, the
+first by a hash of the vector); every row is dealt to the cell that holds it, and large cells
+are cut into chunks of CHUNK_BYTES by a hash. A query first searches its own cell. With the k-th
+distance d so far and something at projected distance r, r**2 / d**2 of a better neighbour
+would follow a chi-square law with as many degrees as projections, so nothing with
+r**2 / d**2 beyond that law's quantile at `confidence` is looked at: cells by the
+distance to the box of their rows, and in a cell single rows. These are verified on the original
+vectors in rings of rising projected distance, each ring with the k-th distance that
+those before it left, until the test holds.
+
+Equal vectors are one query, and only the k + 1 smallest ids of equal vectors are
+candidates, as no others can be among the k nearest of any row: so one very common vector costs what a rare one does.
+Scores of the rows returned are added in the order of the components, so equal vectors tie.
+
+Every row is indexed. Vectors that are null or zero, or hold nulls or non-finite
+components, take no part, nor do rows without vec_id. Vectors meet those of their own width. Fewer candidates than
+k: all of them. Rows that repeat both id and vector count once; an id with several vectors is
+searched for with each, and another id is returned once, with its best score. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -24,11 +32,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
-PROJECTIONS = 12
-LEAF = 64
-CONFIDENCE = 0.97
-BLOCK = 8192
-QUERY_BLOCK = 512
+PROJECTIONS = 24
+CONFIDENCE = 0.95
+SAMPLE = 20_000
+SAMPLE_A_CELL = 16
+CHUNK_BYTES = 4 << 20
+RINGS = (0.25, 0.5, 0.75, 1.0)
+ROWS = 128
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -49,121 +59,216 @@ def chi_square_quantile(p: float, degrees: int) -> float:
     return high
 
 
-class Tree:
-    """A kd-tree over projections: leaves of about LEAF points with their boxes."""
-
-    def __init__(self, points: np.ndarray):
-        leaves = [np.arange(len(points))]
-        while max(map(len, leaves)) > LEAF:
-            split = []
-            for x in leaves:
-                if len(x) <= LEAF:
-                    split.append(x)
-                    continue
-                axis = int(np.argmax(np.ptp(points[x], axis=0)))
-                order = x[np.argpartition(points[x, axis], len(x) // 2)]
-                split += [order[: len(x) // 2], order[len(x) // 2 :]]
-            leaves = split
-        self.leaves = leaves
-        self.low = np.array([points[x].min(axis=0) for x in leaves])
-        self.high = np.array([points[x].max(axis=0) for x in leaves])
-
-    def distances(self, q: np.ndarray) -> np.ndarray:
-        """Squared distance of each query to each leaf's box."""
-        out = np.zeros((len(q), len(self.leaves)))
-        for j in range(q.shape[1]):
-            gap = np.maximum(np.maximum(self.low[None, :, j] - q[:, None, j], q[:, None, j] - self.high[None, :, j]), 0)
-            out += gap * gap
-        return out
-
-
-def search_block(ids, vectors, query_ids, queries, top: float, k: int, projections: np.ndarray, limit: float):
-    """The k best of a block for each query as (query index, id, score) arrays."""
-    norm2 = np.einsum("ij,ij->i", vectors, vectors)
-    lifted = np.c_[vectors, np.sqrt(np.maximum(top * top - norm2, 0))]
-    tree = Tree(lifted @ projections)
-    q0 = np.c_[queries, np.zeros(len(queries))] @ projections
-    q_norm2 = np.einsum("ij,ij->i", queries, queries)
-    box = tree.distances(q0)
-    order = np.argsort(box, axis=1)
-    width = max(map(len, tree.leaves))
-    members = np.full((len(tree.leaves), width), -1)
-    for i, x in enumerate(tree.leaves):
-        members[i, : len(x)] = x
-    best_s = np.full((len(queries), k), -np.inf)
-    best_i = np.full((len(queries), k), np.iinfo(np.int64).max)
-    active = np.arange(len(queries))
-    for step in range(order.shape[1]):
-        leaf = order[active, step]
-        far = q_norm2[active] + top * top - 2 * best_s[active, k - 1]  # squared distance of the k-th
-        going = ~(box[active, leaf] >= limit * np.maximum(far, 0)) | np.isinf(best_s[active, k - 1])
-        active, leaf = active[going], leaf[going]
-        if not len(active):
-            break
-        for x in np.unique(leaf):
-            rows = active[leaf == x]
-            m = members[x][members[x] >= 0]
-            s = queries[rows] @ vectors[m].T
-            i = np.broadcast_to(ids[m], s.shape)
-            s = np.where(i == query_ids[rows, None], -np.inf, s)
-            s = np.concatenate([best_s[rows], s], axis=1)
-            i = np.concatenate([best_i[rows], i], axis=1)
-            pick = np.lexsort((i, -s), axis=1)[:, :k] if s.shape[1] <= 2 * k else _largest(s, i, k)
-            best_s[rows], best_i[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-    found = np.isfinite(best_s)
-    at = np.nonzero(found)
-    return at[0], best_i[found], best_s[found]
-
-
-def _largest(s: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
-    """The k largest of each row, ties to the smaller id, largest first."""
-    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    if ((s >= edge).sum(axis=1) == k).all():
-        part = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        inner = np.lexsort((np.take_along_axis(i, part, 1), -np.take_along_axis(s, part, 1)), axis=1)
-        return np.take_along_axis(part, inner, 1)
-    return np.lexsort((i, -s), axis=1)[:, :k]
-
-
-def nearest(vectors: DataFrame, query_modulus: int = 20, k: int = K, confidence: float = CONFIDENCE, block: int = BLOCK) -> DataFrame:
+class Cells:
+    """A kd-tree over projections of a sample: the largest leaf is cut at its median, along its widest axis, until there are `count`."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        axis, cut, child = [-1], [0.0], [(-1, -1)]
+        heap = [(-len(sample), 0, np.arange(len(sample)))]
+        leaves = 1
+        while leaves < count and heap:
+            _, node, rows = heapq.heappop(heap)
+            x = sample[rows]
+            a = int(np.argmax(np.ptp(x, axis=0))) if len(rows) > 1 else 0
+            values = np.unique(x[:, a]) if len(rows) > 1 else np.zeros(1)
+            if len(values) < 2:
+                continue
+            c = max(np.median(x[:, a]), values[1])
+            left = x[:, a] < c
+            axis[node], cut[node], child[node] = a, c, (len(axis), len(axis) + 1)
+            for part in (rows[left], rows[~left]):
+                heapq.heappush(heap, (-len(part), len(axis), part))
+                axis.append(-1), cut.append(0.0), child.append((-1, -1))
+            leaves += 1
+        self.axis, self.cut, self.child = np.array(axis), np.array(cut), np.array(child)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The leaf of each point."""
+        at = np.zeros(len(points), np.int64)
+        while (i := np.flatnonzero(self.axis[at] >= 0)).size:
+            right = points[i, self.axis[at[i]]] >= self.cut[at[i]]
+            at[i] = self.child[at[i], right.astype(int)]
+        return at
+
+
+class Space:
+    """What projects vectors of one width: the largest norm and the projections."""
+
+    def __init__(self, width: int, top: float):
+        self.top = top
+        self.matrix = np.random.default_rng([17, width]).standard_normal((width + 1, PROJECTIONS))
+
+    def rows(self, v: np.ndarray) -> np.ndarray:
+        lift = np.sqrt(np.maximum(self.top * self.top - np.einsum("ij,ij->i", v, v), 0))
+        return v @ self.matrix[:-1] + lift[:, None] * self.matrix[-1]
+
+    def queries(self, q: np.ndarray) -> np.ndarray:
+        return q @ self.matrix[:-1]
+
+    def square(self, q: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Squared distance of each query to what has the inner product `kth` with it, and a little more for rounding."""
+        size = np.einsum("ij,ij->i", q, q) + self.top * self.top
+        return np.maximum(size - 2 * kth, 0) + 1e-9 * size
+
+
+def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float):
+    """The k best rows of a chunk for each query: query places, ids, scores, and how many rows were verified in all.
+
+    kth: the k-th best inner product that a query already has, -inf without.
+    """
+    p, out, verified = space.rows(v), [], 0
+    p2 = np.einsum("ij,ij->i", p, p)
+    for begin in range(0, len(q), ROWS):
+        part = q[begin : begin + ROWS]
+        z = space.queries(part)
+        far = np.maximum(np.einsum("ij,ij->i", z, z)[:, None] + p2[None] - 2 * (z @ p.T), 0)
+        best = kth[begin : begin + ROWS].copy()
+        score = np.full(far.shape, -np.inf)
+        done = np.zeros(far.shape, bool)
+        first = min(len(ids), max(4 * k, 64))
+        if np.isinf(best).any():  # nothing to test against yet: the rows nearest in projection
+            i = np.flatnonzero(np.isinf(best))
+            j = np.argpartition(far[i], first - 1, axis=1)[:, :first]
+            done[i[:, None], j] = True
+            score[i[:, None], j] = np.einsum("ijk,ik->ij", v[j], part[i])
+            if first >= k:
+                best[i] = np.maximum(best[i], -np.partition(-score[i], k - 1, axis=1)[:, k - 1])
+        for ring in RINGS:
+            with np.errstate(invalid="ignore"):
+                i, j = np.nonzero(~(far > (ring * limit * space.square(part, best))[:, None]) & ~done)
+            if not len(i):
+                continue
+            done[i, j] = True
+            score[i, j] = np.einsum("ij,ij->i", part[i], v[j])
+            if len(ids) >= k:
+                best = np.maximum(best, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        verified += int(done.sum())
+        slack = 1e-9 * (np.linalg.norm(part, axis=1) * space.top)
+        i, j = np.nonzero(done & (score >= (best - slack)[:, None]))
+        exact = np.zeros(len(i))
+        for d in range(v.shape[1]):
+            exact += part[i, d] * v[j, d]
+        order = np.lexsort((ids[j], -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((begin + i[keep], ids[j[keep]], exact[keep]))
+    a, b, c = zip(*out, strict=True) if out else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(c), verified
+
+
+def _matrices(batch, column: str):
+    """(width, rows, matrix) of an Arrow column of vectors, for each width in it."""
+    values, sizes = batch[column], np.array(batch[column].value_lengths())
+    flat, ends = values.flatten().to_numpy(), np.cumsum(sizes)
+    for w in np.unique(sizes):
+        rows = np.flatnonzero(sizes == w)
+        yield int(w), rows, flat[(ends[rows] - w)[:, None] + np.arange(w)]
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    good = vectors.filter("vec_id is not null and embedding is not null")
+    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("v"))
+    good = good.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    return good.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(5), "v").alias("h2"))
+
+
+def nearest(vectors: DataFrame, query_modulus: int = 20, k: int = K, confidence: float = CONFIDENCE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose vec_id `query_modulus` divides."""
     import pyarrow as pa
 
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    good = vectors.filter("vec_id is not null and embedding is not null").select("vec_id", v.alias("v"))
-    good = good.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    good, limit = _usable(vectors), chi_square_quantile(confidence, PROJECTIONS)
+    same = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    rows = good.withColumn("place", F.dense_rank().over(same)).filter(F.col("place") <= k + 1).dropDuplicates(["vec_id", "h1", "h2"])
+    asked = good.filter(F.col("vec_id") % query_modulus == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
+    asks = asked.select("h1", "h2").distinct().withColumn("asked", F.lit(True))
+    rows = rows.join(asks, ["h1", "h2"], "left").select("vec_id", "v", "h1", "h2", (F.col("asked").isNotNull() & (F.col("place") == 1)).alias("asked")).checkpoint()
+
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    facts = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm2).alias("top")).orderBy(F.desc("n"), "d").limit(1).collect()
-    d, n, top = (facts[0]["d"], facts[0]["n"], math.sqrt(facts[0]["top"])) if facts else (1, 1, 1.0)
-    good = good.filter(F.size("v") == d)
-    n_blocks = -(-n // block)
-    projections = np.random.default_rng(17).standard_normal((d + 1, PROJECTIONS))
-    limit = chi_square_quantile(confidence, PROJECTIONS)
-
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
-    candidates = good.withColumn("block", part)
-    queries = good.filter(F.col("vec_id") % query_modulus == 0).withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, n // query_modulus // QUERY_BLOCK))))
-
-    def blob(table: pa.Table) -> pa.Table:
-        x = np.ascontiguousarray(table["v"].combine_chunks().flatten().to_numpy())
-        return pa.table({"part": table["part"][:1], "ids": [table["vec_id"].to_numpy().tobytes()], "x": [x.tobytes()]})
-
-    blocks_of_queries = queries.groupBy("part").applyInArrow(blob, "part long, ids binary, x binary")
-    sent = blocks_of_queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"), "ids", "x")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows:
-            ids = left["vec_id"].to_numpy()
-            x = left["v"].combine_chunks().flatten().to_numpy().reshape(-1, d)
-            for q_ids, q in zip(right["ids"].to_pylist(), right["x"].to_pylist(), strict=True):
-                q_ids = np.frombuffer(q_ids, np.int64)
-                at, i, s = search_block(ids, x, q_ids, np.frombuffer(q, np.float64).reshape(-1, d), top, k, projections, limit)
-                out[0].append(q_ids[at]), out[1].append(i), out[2].append(s)
-        cat = lambda a, t: np.concatenate(a) if a else np.zeros(0, t)
-        return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "score": cat(out[2], float)})
-
-    found = candidates.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, "query_id long, vec_id long, score double")
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    facts = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n"), F.max(norm2).alias("top")).collect()  # a row for each width
+    spaces = {r["w"]: Space(r["w"], math.sqrt(r["top"])) for r in facts}
+
+    def project(batches):
+        for batch in batches:
+            for w, at, m in _matrices(batch, "v"):
+                p = spaces[w].rows(m)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w)), pa.array(list(p), pa.list_(pa.float64()))], names=["w", "p"])
+
+    sample: dict[int, list] = {}
+    for r in rows.orderBy("h1", "h2", "vec_id").limit(SAMPLE).select("v").mapInArrow(project, "w long, p array<double>").collect():
+        sample.setdefault(r["w"], []).append(r["p"])
+    sizes = {r["w"]: max(64, chunk_bytes // (8 * r["w"])) for r in facts}
+    trees = {r["w"]: Cells(np.array(s), min(-(-r["n"] // sizes[r["w"]]), -(-len(s) // SAMPLE_A_CELL))) for r in facts for s in [sample.get(r["w"], [[0.0] * PROJECTIONS])]}
+
+    def deal(batches):
+        for batch in batches:
+            cell, width = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for w, at, m in _matrices(batch, "v"):
+                cell[at], width[at] = trees[w].of(spaces[w].rows(m)), w
+            yield batch.append_column("w", pa.array(width)).append_column("cell", pa.array(cell))
+
+    dealt = rows.mapInArrow(deal, "vec_id long, v array<double>, h1 long, h2 long, asked boolean, w long, cell long")
+    counts = dealt.groupBy("w", "cell").count().collect()  # SAMPLE / SAMPLE_A_CELL cells of a width at most
+    counts = F.broadcast(vectors.sparkSession.createDataFrame([(r["w"], r["cell"], -(-r["count"] // sizes[r["w"]])) for r in counts], "w long, cell long, parts long"))
+    dealt = dealt.join(counts, ["w", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id", "h1"), "parts")).drop("parts")
+
+    def pack(table: pa.Table) -> pa.Table:
+        (w, _, v), *_ = _matrices(table.combine_chunks().to_batches()[0], "v")
+        ids, p, q = table["vec_id"].to_numpy(), spaces[w].rows(v), table["asked"].to_numpy()
+        names = {"h1": table["h1"].to_numpy()[q], "h2": table["h2"].to_numpy()[q], "q": v[q], "ids": ids, "v": v, "low": p.min(axis=0), "high": p.max(axis=0)}
+        return pa.table({"w": table["w"][:1], "cell": table["cell"][:1]} | {c: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for c, x in names.items()})
+
+    blobs = ", ".join(f"{c} binary" for c in ("h1", "h2", "q", "ids", "v", "low", "high"))
+    chunks = dealt.groupBy("w", "cell", "chunk").applyInArrow(pack, f"w long, cell long, {blobs}").checkpoint()
+
+    # the box of each cell's rows, from those of its chunks
+    def boxes(table: pa.Table) -> pa.Table:
+        low, high = (np.stack([np.frombuffer(x) for x in table[c].to_pylist()]) for c in ("low", "high"))
+        return pa.table({"w": table["w"][:1], "cell": table["cell"][:1], "low": [low.min(axis=0).tolist()], "high": [high.max(axis=0).tolist()]})
+
+    box: dict[int, tuple] = {}
+    for r in chunks.select("w", "cell", "low", "high").groupBy("w", "cell").applyInArrow(boxes, "w long, cell long, low array<double>, high array<double>").collect():
+        for x, y in zip(box.setdefault(r["w"], ([], [], [])), (r["cell"], r["low"], r["high"]), strict=True):
+            x.append(y)
+    box = {w: tuple(map(np.array, x)) for w, x in box.items()}
+
+    def search(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):  # a pair of blobs at a time
+                w = batch["w"][n].as_py()
+                h1, h2, ids = (np.frombuffer(batch[c][n].as_py(), np.int64) for c in ("h1", "h2", "ids"))
+                q, v = (np.frombuffer(batch[c][n].as_py()).reshape(-1, w) for c in ("q", "v"))
+                kth = np.frombuffer(batch["kth"][n].as_py()) if batch["kth"][n].is_valid else np.full(len(h1), -np.inf)
+                i, found, score, _ = search_chunk(spaces[w], ids, v, h1, q, kth, k + 1, limit)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[i]), pa.array(h2[i]), pa.array(found), pa.array(score)], names=["h1", "h2", "vec_id", "score"])
+
+    def searched(queries: DataFrame) -> DataFrame:
+        met = queries.join(chunks.select("w", "cell", "ids", "v"), ["w", "cell"]).select("w", "h1", "h2", "q", "kth", "ids", "v")
+        return met.mapInArrow(search, "h1 long, h2 long, vec_id long, score double")
+
+    home = searched(chunks.filter(F.length("q") > 0).select("w", "cell", "h1", "h2", "q", F.lit(None).cast("binary").alias("kth")))
+    best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
+    home = home.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).drop("rank").checkpoint()
+    bounds = home.groupBy("h1", "h2").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("kth"))
+
+    def route(batches):
+        """Queries for each cell other than their own that may hold something nearer."""
+        for batch in batches:
+            h1, h2, kth = (batch[c].to_numpy() for c in ("h1", "h2", "kth"))
+            for w, at, q in _matrices(batch, "v"):
+                z, (cell, low, high) = spaces[w].queries(q), box[w]
+                own, reach = trees[w].of(spaces[w].rows(q)), limit * spaces[w].square(q, kth[at])
+                for c, lo, hi in zip(cell, low, high, strict=True):
+                    gap = np.maximum(np.maximum(lo - z, z - hi), 0)
+                    i = np.flatnonzero((own != c) & ~(np.einsum("ij,ij->i", gap, gap) > reach))
+                    for begin in range(0, len(i), 512):
+                        x = i[begin : begin + 512]
+                        data = [h1[at[x]], h2[at[x]], q[x], kth[at[x]]]
+                        yield pa.RecordBatch.from_arrays([pa.array([w]), pa.array([c]), *(pa.array([np.ascontiguousarray(y).tobytes()], pa.binary()) for y in data)], names=["w", "cell", "h1", "h2", "q", "kth"])
+
+    sent = rows.filter("asked").select("h1", "h2", "v").join(bounds, ["h1", "h2"]).mapInArrow(route, "w long, cell long, h1 binary, h2 binary, q binary, kth binary")
+    found = home.unionByName(searched(sent)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1)
+
+    met = asked.join(found.select("h1", "h2", "vec_id", "score"), ["h1", "h2"]).filter("vec_id <> query_id")
+    met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

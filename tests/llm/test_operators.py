@@ -120,24 +120,63 @@ def test_components(spark):
 def test_neighbours_recall_and_ties(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((900, 16)).astype(np.float32)
-    x[100:110] = x[40]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (None, x[0].tolist())]
+    x[100:160] = x[40]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(40, x[40].tolist(), 2), (2000, None, 1), (2020, [0.0] * 16, 1), (2040, [float("nan")] * 16, 1), (2060, [1.0, None] * 8, 1), (None, x[0].tolist(), 1)]
+    rows += [(3000, [1.0, 2.0], 1), (3001, [3.0, 4.0], 1)]  # of another width
     got = defaultdict(list)
-    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=300).orderBy("query_id", "rank").collect():
+    frame = spark.createDataFrame([(i, v, k, k, k, k) for i, v, k in rows], "vec_id long, embedding array<float>, v int, cell int, chunk int, place int")
+    for r in neighbours.nearest(frame, chunk_bytes=300 * 16 * 8).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got.pop(3000) == [(3001, 11.0)]
     y, hit = x.astype(float), 0
     for q in range(0, 900, 20):
-        s = y @ y[q]
+        s = np.zeros(900)
+        for d in range(16):
+            s += y[:, d] * y[q, d]
         s[q] = -np.inf
         best = np.lexsort((np.arange(900), -s))[:20]
         hit += len(set(best) & {i for i, _ in got[q]})
-        assert [i for i, _ in got[q]] == [i for i, _ in sorted(got[q], key=lambda p: (-round(p[1], 9), p[0]))]
-        assert all(abs(s[i] - v) < 1e-9 for i, v in got[q])
+        assert all(s[i] == v for i, v in got[q]) and [i for i, _ in got[q]] == [i for i, _ in sorted(got[q], key=lambda p: (-p[1], p[0]))]
+        if q in range(100, 160) or q == 40:  # equal vectors are all found, the smallest ids first
+            assert [i for i, _ in got[q]] == best.tolist()
     assert len(got) == 45 and hit >= 0.9 * 45 * 20
     assert neighbours.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).count() == 1
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_query_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids, hit = np.stack(table["embedding"]).astype(float), table["vec_id"].to_numpy(), 0
+    got = registry.op7_neighbours(spark, "/root/testdata/sf0.1").toPandas().groupby("query_id")["vec_id"].apply(set)
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(ids[np.lexsort((ids, -s))[:20]]) & got[ids[q]])
+    assert len(got) == (ids % 20 == 0).sum() and hit >= 0.9 * 20 * len(got)
+
+
+def test_neighbours_stop_prunes_rows_that_differ_little():
+    """Random unit vectors are the hardest: with a tree of few cells, rows must be ruled out one by one."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((8192, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    space, ids, q = neighbours.Space(64, 1.0), np.arange(8192), v[:256]
+    limit = neighbours.chi_square_quantile(neighbours.CONFIDENCE, neighbours.PROJECTIONS)
+    at, found, score, verified = neighbours.search_chunk(space, ids, v, ids[:256], q, np.full(256, -np.inf), 21, limit)
+    best = np.argsort(-(q @ v.T), axis=1, kind="stable")[:, :21]
+    assert verified < 0.5 * 256 * 8192
+    assert sum(len(set(found[at == i]) & set(best[i])) for i in range(256)) >= 0.9 * 256 * 21
+
+
+def test_cells_hold_their_points():
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 3, (500, 4)).astype(float)  # with many ties
+    tree = neighbours.Cells(points, 16)
+    of = tree.of(points)
+    assert len(np.unique(of)) == 16 and np.bincount(of).max() < 200
+    assert len(np.unique(neighbours.Cells(np.ones((50, 4)), 8).of(points))) == 1
+
+
 def reference_ids(path, text):
     t = encoder(path).tokenizer
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
