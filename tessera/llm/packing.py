@@ -1,6 +1,8 @@
 """Sequence packing: first-fit decreasing by a tournament tree, in randomised groups of documents.
 
-Documents are dealt into groups by a hash of their id. A group's documents are
+Documents are dealt to tasks by a hash of the whole row and of the input partition
+that holds it, so neither a null id nor a row repeated many times comes to one task alone.
+A task takes its documents in groups of about GROUP_CHARS characters, so it never holds more. A group's documents are
 cut into pieces of `size` tokens and one remainder each; full pieces are
 sequences of their own, and remainders go, longest first, to the first open
 sequence with room, which a tournament tree over the room left finds in
@@ -8,22 +10,22 @@ O(log n). What the emptiest sequences hold is then cut to fill the others, so
 each group leaves one sequence with padding at most.
 
 Nulls in text count as empty (a piece of the end id alone); a null id is a
-document like any other; repeated rows are packed once each. An empty table
-gives no rows. Extra columns are ignored.
+document like any other; repeated rows are packed once each. A document longer than a group is a group of
+its own. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.textgrid import chunks
 from tessera.llm.tokens import encoder
 
 SIZE = 2048
-GROUP_DOCS = 1024
+GROUP_CHARS = 4_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -92,34 +94,45 @@ def pack(lengths: list[int], size: int = SIZE) -> list[list[tuple[int, int, int]
     return full + [b for b in bins if b]
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, group_docs: int = GROUP_DOCS, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, group_chars: int = GROUP_CHARS, end_id: int = END_ID) -> DataFrame:
     """A row for each piece; `vocabulary` is the path of a tokenizer file that all workers can read."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
-    groups = max(1, -(-docs.count() // group_docs))
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
-        enc = encoder(vocabulary)
-        ids, group = table["doc_id"].to_pylist(), table["g"][0].as_py()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-        texts = table["text"]
-        end = end_id.to_bytes(4, "little")
+    def run(batches):
+        enc, end, sequence = encoder(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId() << 32
+        ids: list[int | None] = []
         tokens: list[bytes] = []
-        for i in range(0, len(order), 64):
-            tokens += [x + end for x in enc.ids([texts[j].as_py() or "" for j in order[i : i + 64]])]
-        rows: list[tuple] = []
-        for k, pieces in enumerate(pack([len(t) // 4 for t in tokens], size)):
-            at = 0
-            for d, start, n in pieces:
-                rows.append((ids[order[d]], start, n, zlib.crc32(tokens[d][4 * start : 4 * (start + n)]), len(tokens[d]) // 4, (group << 32) + k, at))
-                at += n
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)})
-
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(7)), F.lit(groups)).alias("g"))
-    return keyed.groupBy("g").applyInArrow(run, SCHEMA)
-
-
-def padding(sequences: Iterator[int], size: int = SIZE) -> int:
-    """Padding of sequences of these lengths: none at a power of two, else up to `size`."""
-    return sum(0 if n & (n - 1) == 0 else size - n for n in sequences)
+
+        def group():
+            nonlocal sequence
+            rows: list[tuple] = []
+            for pieces in pack([len(t) // 4 for t in tokens], size):
+                at = 0
+                for d, start, n in pieces:
+                    rows.append((ids[d], start, n, zlib.crc32(tokens[d][4 * start : 4 * (start + n)]), len(tokens[d]) // 4, sequence, at))
+                    at += n
+                sequence += 1
+            ids.clear(), tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=names)
+
+        held = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = [t or "" for t in part["text"].to_pylist()]
+                for a, b in chunks(texts, group_chars):
+                    n = sum(map(len, texts[a:b])) + b - a
+                    if held and held + n > group_chars:
+                        yield group()
+                        held = 0
+                    held += n
+                    ids += part["doc_id"][a:b].to_pylist()
+                    tokens += [x + end for x in enc.ids(texts[a:b])]
+        if ids:
+            yield group()
+
+    row = F.xxhash64("doc_id", "text", F.spark_partition_id())
+    return docs.select("doc_id", "text", row.alias("h")).repartition("h").select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -1,20 +1,21 @@
 """Token files: ids of fixed width, in the fewest bits that hold the vocabulary.
 
-A shard holds the documents of one range of ids in ascending order:
+Rows are sorted over all partitions by doc_id, and each task writes its range as
+shards of about SHARD_CHARS characters, one after another:
 
-    header   magic "BPK1", bits, number of blocks, documents, ids (4 x uint64 after the magic's 8 bytes)
+    header   magic "BPK2", bits, number of blocks, documents, ids, documents without an id (5 x uint64 after the magic's 8 bytes)
     blocks   uint64 byte offset of each block of BLOCK ids, from the start of the file
     bounds   uint64 number of ids before each document, and the total
-    doc ids  int64 each
+    doc ids  int64 each; the last ones, as many as the header says, are null
     payload  blocks of BLOCK ids, each beginning on a byte
 
 so one document needs only the blocks that its bounds name. Files are written
 under a name of the attempt and listed in a manifest that the job returns, so
 what a lost or repeated task leaves behind is never read.
 
-Nulls in text count as empty (the end id alone). A null doc_id sorts last (as the
-largest int64). Repeated ids are documents of their own, in order of their text.
-An empty table gives no files and no rows. Extra columns are ignored.
+Nulls in text count as empty (the end id alone). Null ids sort last. Repeated
+ids are documents of their own, in the order of a hash of their text; equal rows in any, so
+an id of many rows is spread over tasks. An empty table gives no files and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.textgrid import chunks
 from tessera.llm.tokens import encoder
 
 BLOCK = 4096
 SHARD_CHARS = 24_000_000
-MAGIC = b"BPK1\0\0\0\0"
-LAST = (1 << 63) - 1
+MAGIC = b"BPK2\0\0\0\0"
+HEAD = 48
 
 
 def bits_for(vocabulary: int) -> int:
@@ -54,14 +56,15 @@ def unpack_bits(data: bytes | memoryview, n: int, bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(">u4").ravel().astype("<u4")
 
 
-def encode_shard(doc_ids: list[int], tokens: list[bytes], bits: int) -> bytes:
+def encode_shard(doc_ids: list[int | None], tokens: list[bytes], bits: int) -> bytes:
+    """`doc_ids` in file order, nulls last."""
     ids = np.frombuffer(b"".join(tokens), "<u4")
     bounds = np.concatenate([[0], np.cumsum([len(t) // 4 for t in tokens])]).astype("<u8")
     blocks = [pack_bits(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
-    head = np.array([bits, len(blocks), len(doc_ids), len(ids)], "<u8")
-    begin = len(MAGIC) + head.nbytes + 8 * len(blocks) + bounds.nbytes + 8 * len(doc_ids)
+    head = np.array([bits, len(blocks), len(doc_ids), len(ids), sum(i is None for i in doc_ids)], "<u8")
+    begin = HEAD + 8 * len(blocks) + bounds.nbytes + 8 * len(doc_ids)
     at = (begin + np.concatenate([[0], np.cumsum([len(b) for b in blocks])[:-1]])).astype("<u8") if blocks else np.zeros(0, "<u8")
-    return b"".join([MAGIC, head.tobytes(), at.tobytes(), bounds.tobytes(), np.array(doc_ids, "<i8").tobytes(), *blocks])
+    return b"".join([MAGIC, head.tobytes(), at.tobytes(), bounds.tobytes(), np.array([i or 0 for i in doc_ids], "<i8").tobytes(), *blocks])
 
 
 class Shard:
@@ -69,10 +72,11 @@ class Shard:
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
         self.data = memoryview(data)
-        self.bits, n_blocks, n_docs, self.n_ids = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
-        self.blocks = np.frombuffer(data, "<u8", n_blocks, 40)
-        self.bounds = np.frombuffer(data, "<u8", n_docs + 1, 40 + 8 * n_blocks)
-        self.doc_ids = np.frombuffer(data, "<i8", n_docs, 40 + 8 * n_blocks + 8 * (n_docs + 1))
+        self.bits, n_blocks, n_docs, self.n_ids, nulls = (int(x) for x in np.frombuffer(data, "<u8", 5, 8))
+        self.blocks = np.frombuffer(data, "<u8", n_blocks, HEAD)
+        self.bounds = np.frombuffer(data, "<u8", n_docs + 1, HEAD + 8 * n_blocks)
+        ids = np.frombuffer(data, "<i8", n_docs, HEAD + 8 * n_blocks + 8 * (n_docs + 1)).tolist()
+        self.doc_ids: list[int | None] = ids[: n_docs - nulls] + [None] * nulls
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """Ids start to end, from the blocks that hold them alone."""
@@ -96,41 +100,63 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tokens-{uuid.uuid4().hex}"
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """Writes the shards and returns the manifest: shard, file, n_docs, n_ids."""
-    import pyarrow as pa
+def _store(folder: str):
+    """The file system of a folder that driver and executors share, and the path in it."""
+    from pyarrow import fs
 
-    clean = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chars = clean.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    n = max(1, -(-chars // shard_chars))
-    cuts = clean.select("doc_id").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    names = F.array(*[F.lit(x) for x in cuts]) if cuts else F.array().cast("array<bigint>")
-    shard = F.size(F.filter(names, lambda x: x <= F.col("doc_id")))
+    for other in ("s3a://", "s3n://"):
+        folder = folder.replace(other, "s3://", 1) if folder.startswith(other) else folder
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
-    def run(table: pa.Table) -> pa.Table:
-        from pyarrow import fs
 
-        enc = encoder(vocabulary)
-        ids, texts, k = table["doc_id"].to_pylist(), table["text"], table["shard"][0].as_py()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], "")) if len(set(ids)) == len(ids) else sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_py()))
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """Writes the shards and returns the manifest: part and place (their order), file, n_docs, n_ids."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        enc, end, part = encoder(vocabulary), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        store, at = _store(folder)
+        ids: list[int | None] = []
         tokens: list[bytes] = []
-        end = end_id.to_bytes(4, "little")
-        for i in range(0, len(order), 64):
-            tokens += [x + end for x in enc.ids([texts[j].as_py() for j in order[i : i + 64]])]
-        name = f"shard-{k:08d}-{uuid.uuid4().hex}.bpk"
-        store, at = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        store.create_dir(at, recursive=True)
-        with store.open_output_stream(f"{at}/{name}.part") as out:
-            out.write(encode_shard([ids[i] for i in order], tokens, bits_for(enc.vocabulary)))
-        store.move(f"{at}/{name}.part", f"{at}/{name}")
-        return pa.table({"shard": [k], "file": [name], "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([sum(map(len, tokens)) // 4], pa.int64())})
+        held = place = 0
+
+        def shard():
+            nonlocal held, place
+            name = f"shard-{part:08d}-{place:06d}-{uuid.uuid4().hex}.bpk"
+            store.create_dir(at, recursive=True)
+            with store.open_output_stream(f"{at}/{name}.part") as out:
+                out.write(encode_shard(ids, tokens, bits_for(enc.vocabulary)))
+            store.move(f"{at}/{name}.part", f"{at}/{name}")
+            row = pa.RecordBatch.from_pydict({"part": [part], "place": [place], "file": [name], "n_docs": [len(ids)], "n_ids": [sum(map(len, tokens)) // 4]})
+            ids.clear(), tokens.clear()
+            held, place = 0, place + 1
+            return row
 
-    return clean.withColumn("shard", shard.cast("long")).groupBy("shard").applyInArrow(run, "shard long, file string, n_docs long, n_ids long").checkpoint()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                rows = batch.slice(i, 64)
+                texts = [t or "" for t in rows["text"].to_pylist()]
+                for a, b in chunks(texts, shard_chars):
+                    n = sum(map(len, texts[a:b])) + b - a
+                    if held and held + n > shard_chars:
+                        yield shard()
+                    held += n
+                    ids += rows["doc_id"][a:b].to_pylist()
+                    tokens += [x + end for x in enc.ids(texts[a:b])]
+        if ids:
+            yield shard()
+
+    chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
+    n = max(1, min(chars, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-chars // shard_chars))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.spark_partition_id().alias("from"))
+    order = (F.asc_nulls_last("doc_id"), "h", "from")
+    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return ranged.mapInArrow(run, "part long, place long, file string, n_docs long, n_ids long").checkpoint()
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """A row for each document: shard, doc_id, before (ids before it in the shard), n_tokens, ids_crc32."""
+    """A row for each document: part and place of its shard, doc_id, before (ids before it in the shard), n_tokens, ids_crc32."""
     import pyarrow as pa
 
     schema = "file string, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -146,22 +172,25 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     ids = s.ids(base, int(s.bounds[stop])).tobytes()
                     for i in range(begin, stop):
                         a, b = int(s.bounds[i]), int(s.bounds[i + 1])
-                        rows.append((path.rsplit("/", 1)[-1], int(s.doc_ids[i]), a, b - a, zlib.crc32(ids[4 * (a - base) : 4 * (b - base)])))
+                        rows.append((path.rsplit("/", 1)[-1], s.doc_ids[i], a, b - a, zlib.crc32(ids[4 * (a - base) : 4 * (b - base)])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["file", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     if manifest.isEmpty():
-        return spark.createDataFrame([], "shard long, " + schema)
+        return spark.createDataFrame([], "part long, place long, " + schema)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bpk").load(folder).select("path", "content")
-    return files.mapInArrow(run, schema).join(manifest.select("file", "shard"), "file")
+    return files.mapInArrow(run, schema).join(manifest.select("file", "part", "place"), "file")
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, folder: str | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Writes the token files, reads them back and adds each document's global start."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
-    manifest = write(docs, folder, vocabulary)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard only
-    starts = manifest.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    rows = read(spark, folder, manifest).join(starts, "shard")
-    return rows.select(F.nullif("doc_id", F.lit(LAST)).alias("doc_id"), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    manifest = write(docs, folder, vocabulary, shard_chars=shard_chars)
+    # ids before each part, then before each shard of a part: both windows see rows of the manifest only
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_base"))
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = manifest.join(parts, "part").select("part", "place", (F.col("part_base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("base"))
+    rows = read(spark, folder, manifest).join(starts, ["part", "place"])
+    return rows.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

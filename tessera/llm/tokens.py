@@ -3,7 +3,9 @@
 Both vocabularies cut a text at the border between a character that isn't white
 space and a space or line break after it, so the pieces between such borders
 can be encoded once and their ids reused. Pieces are found with Python's notion
-of white space, which holds all that the libraries take for it.
+of white space, which holds all that the libraries take for it. A text that holds
+one of the vocabulary's added tokens (such as <|endoftext|>) is left to the library whole,
+so its ids are always those of `Tokenizer.from_file(path).encode(text, add_special_tokens=False)`.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.memo: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         words = self.tokenizer.get_vocab()
@@ -82,6 +85,9 @@ class Encoder:
             memo.clear()
         found, unknown = [], set()
         for t in texts:
+            if self.added and self.added.search(t):
+                found.append(([array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()], []))
+                continue
             if self.lower and not _CASE.search(t):
                 pieces = t.lower().split()
             elif _RUN.search(t):

@@ -1,13 +1,15 @@
+import functools
 import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import decontaminate, jaccard, licenses, neighbours, packing, pii, quality, registry, revisits, substring, tokenfile
 from tessera.llm.align import smith_waterman
@@ -177,21 +179,41 @@ def test_cells_hold_their_points():
     assert len(np.unique(neighbours.Cells(np.ones((50, 4)), 8).of(points))) == 1
 
 
+@functools.cache
+def plain_tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def reference_ids(path, text):
-    t = encoder(path).tokenizer
+    t = plain_tokenizer(path)
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+SPECIAL = "a <|endoftext|> b<|startoftext|>c <|ENDOFTEXT|> |endoftext|> <|endoftext|><|endoftext|>"
+
+
 def test_token_files_round_trip(spark, odd_docs):
-    docs = frame(spark, made_up(30)).unionByName(odd_docs.select("doc_id", "text").filter("doc_id is null or doc_id > 100 or text is null"))
-    got = tokenfile.encode_documents(docs, WORD).orderBy("start").collect()
-    want = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""))
+    largest = (1 << 63) - 1
+    docs = frame(spark, [*made_up(30), (500, SPECIAL), (501, "many rows of one id"), (501, "another"), (largest, "the largest id"), (-3, "a negative id")]).unionByName(odd_docs.select("doc_id", "text"))
+    got = tokenfile.encode_documents(docs, WORD, shard_chars=2000).orderBy("start").collect()
+    rows = docs.collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)) == [(g["doc_id"] is None, g["doc_id"] or 0) for g in got]
+    crc = lambda i, t: (i, len(reference_ids(WORD, t)), zlib.crc32(np.array(reference_ids(WORD, t), "<u4").tobytes()))
+    assert Counter(crc(r["doc_id"], r["text"]) for r in rows) == Counter((g["doc_id"], g["n_tokens"], g["ids_crc32"]) for g in got)
     at = 0
-    for g, (i, text) in zip(got, want, strict=True):
-        ids = reference_ids(WORD, text)
-        assert (g["doc_id"], g["start"], g["n_tokens"]) == (i, at, len(ids))
-        assert g["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    for g in got:
+        assert g["start"] == at
+        at += g["n_tokens"]
+
+
+def test_token_file_query_equals_tokenizer(spark):
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
+    at, want = 0, []
+    for i, t in docs:
+        ids = reference_ids(WORD, t)
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
+    assert sorted(map(tuple, registry.op9_token_files(spark, DATA).collect())) == want
 
 
 @pytest.mark.parametrize("bits", [1, 7, 13, 16, 17, 32])
@@ -208,26 +230,53 @@ def test_bit_packing_and_random_access(bits):
 def test_memo_equals_tokenizer():
     for path in (BYTE, WORD):
         e = encoder(path)
-        for t in ["a   b \n c\n\n d  e\t f", "  x ", "", "\n", "a\x1c b", "don't  stop's it's.", " ", "é ́x 　 y", "<|endoftext|> a", "a\0b c", "😀 ß. A,b"]:
-            assert np.frombuffer(e.ids([t])[0], "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        for t in ["a   b \n c\n\n d  e\t f", "  x ", "", "\n", "a\x1c b", "don't  stop's it's.", " ", "é ́x 　 y", "<|endoftext|> a", SPECIAL, "a\0b c", "😀 ß. A,b"]:
+            assert np.frombuffer(e.ids([t])[0], "<u4").tolist() == reference_ids(path, t)[:-1]
 
 
-def test_packing(spark, odd_docs):
-    docs = frame(spark, made_up(300)).unionByName(odd_docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
-    rows = packing.pack_documents(docs, BYTE, group_docs=100).collect()
-    at, pieces = defaultdict(list), defaultdict(list)
+def check_packing(rows, docs):
+    """Gapless sequences of at most 2048; each document's pieces, and those of rows of one id together, hold its ids."""
+    at, crcs = defaultdict(list), defaultdict(list)
     for r in rows:
         at[r["sequence_id"]].append((r["offset"], r["length"]))
-        pieces[r["doc_id"]].append(r)
+        crcs[r["doc_id"]].append((r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]))
     for v in at.values():
         v.sort()
         assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:], strict=False)) and sum(v[-1]) <= 2048
-    one = {i: t for i, t in docs.groupBy("doc_id").agg(F.first("text"), F.count("*").alias("k")).filter("k = 1").select("doc_id", "first(text)").collect()}
-    for i, t in one.items():
-        ids, p = reference_ids(BYTE, t), sorted(pieces[i], key=lambda r: r["start"])
-        assert [x["start"] for x in p] == [sum(y["length"] for y in p[:k]) for k in range(len(p))]
-        assert sum(x["length"] for x in p) == len(ids) == p[0]["doc_tokens"]
-        assert all(x["ids_crc32"] == zlib.crc32(np.array(ids[x["start"] : x["start"] + x["length"]], "<u4").tobytes()) for x in p)
+    texts = defaultdict(list)
+    for i, t in docs:
+        texts[i].append(reference_ids(BYTE, t))
+    assert texts.keys() == crcs.keys()
+    for i, many in texts.items():
+        cut = sorted({(n, s + k) for n, s, k, _ in crcs[i]} | {(n, s) for n, s, *_ in crcs[i]})
+        assert sum(k for _, _, k, _ in crcs[i]) == sum(map(len, many))
+        for ids in many:
+            edge = [s for n, s in cut if n == len(ids)]
+            assert edge[0] == 0 and edge[-1] == len(ids)
+        possible = Counter()
+        for ids in many:
+            for n, s, k, c in set(crcs[i]):
+                if n == len(ids) and zlib.crc32(np.array(ids[s : s + k], "<u4").tobytes()) == c:
+                    possible[n, s, k, c] += 1
+        assert all(possible[x] >= 1 for x in crcs[i])
+
+
+def test_packing(spark, odd_docs):
+    docs = frame(spark, [*made_up(300), (400, SPECIAL)]).unionByName(odd_docs.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    rows = packing.pack_documents(docs, BYTE, group_chars=20_000).collect()
+    check_packing(rows, [tuple(r) for r in docs.collect()])
+
+
+def test_packing_query(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    rows = registry.op3_packing(spark, DATA).collect()
+    check_packing(rows, docs)
+    used = sum(r["length"] for r in rows)
+    sequences = defaultdict(int)
+    for r in rows:
+        sequences[r["sequence_id"]] += r["length"]
+    tasks = len({s >> 32 for s in sequences})
+    assert sum(2048 - n for n in sequences.values()) <= 2048 * tasks and used == sum(sequences.values())
 
 
 def test_first_fit_and_padding():
@@ -275,14 +324,69 @@ def test_pii_base_spans(spark):
     assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(text)] == want and len({k for k, *_ in want}) == 4
 
 
-def test_pii_skip_edges_add_spans(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = pii.fit(docs)
-    text = "call +1 (377) 555-0271 now. Two lines on, 4111111111111111 and 4111111111111111 too, so nothing new"
-    base, added = pii.all_spans(text, model)
-    assert set(base) >= {(3, 5, 22)} and not set(base) & set(added)
-    p = pii.redact(docs.limit(50), model)
-    assert p.columns == docs.columns and p.filter("text rlike '@[a-z0-9]+[.]example'").count() == 0
+def plain_base(text):
+    """The contract's base spans, with the regular expressions alone."""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m[0].split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits(m)))) % 10 == 0),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, (r, ok) in enumerate(rules) for m in re.finditer(r, text) if ok(m)]
+
+
+def test_pii_query_equals_brute_force(spark):
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        spans = plain_base(r["text"] or "")
+        name = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        want[r["doc_id"]] = [sum(k == j for k, *_ in spans) for j in range(4)], hashlib.sha256(name.encode()).hexdigest(), set(filter(None, name.split(",")))
+    got = registry.op4_pii(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: ([r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]], r["base_sha256"]) for r in got} == {i: w[:2] for i, w in want.items()}
+    assert all(want[r["doc_id"]][2] <= set(r["spans"].split(",")) for r in got) and any(n for w in want.values() for n in w[0])
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_pii_skip_edges_add_spans(spark, fitted):
+    """Repeats of a number are found through their skip edges alone: without these the field finds none."""
+    without = {**fitted, "skip": np.zeros((5, 5))}
+    text = "call +1 (377) 555-0271 now." + " Other words stand here." * 200 + " And 377 555-0271 later on."
+    base, added = pii.all_spans(text, fitted)
+    at = text.index("377 555")
+    assert base == [(3, 5, 22)] and added == [(3, at, at + 12)] and pii.all_spans(text, without) == (base, [])
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    n = [pii.find(docs, m).agg(F.sum("n_added")).first()[0] for m in (fitted, without)]
+    assert n[0] > n[1]
+    numbers = "order 3775550271, again 3775550271, 17.5 kg in 2019, 1234567812345678"
+    assert pii.all_spans(numbers, fitted) == ([], [])
+
+
+def test_pii_odd_rows_with_a_model(spark, odd_docs, fitted):
+    got = pii.find(odd_docs, fitted).collect()
+    assert len(got) == odd_docs.count() and all(r["spans"] == r["base"] == "" and r["n_added"] == 0 for r in got)
+    clean = pii.redact(odd_docs, fitted)
+    assert clean.columns == odd_docs.columns and clean.exceptAll(odd_docs).count() == 0
+    extra = spark.createDataFrame([(1, "a@b.cd or a@b.cd", "x"), (1, "a@b.cd or a@b.cd", "x"), (None, "+49 170 1234567", "y")], "doc_id long, text string, spans string")
+    assert [tuple(r) for r in pii.redact(extra, fitted).orderBy(F.desc("doc_id")).collect()] == [(1, "<EMAIL> or <EMAIL>", "x")] * 2 + [(None, "<PHONE>", "y")]
+    assert pii.find(extra.limit(0), fitted).count() == 0 and pii.fit(extra.limit(0)) is None
+
+
+def test_loopy_marginals_are_near_enumeration():
+    rng = np.random.default_rng(3)
+    f, model = rng.normal(size=(4, 18)) / 2, {"w": rng.normal(size=(18, 5)) / 4, "chain": rng.normal(size=(5, 5)) / 3}
+    model["skip"] = 0.6 * np.eye(5)
+    chain, skip = np.array([[0, 1], [1, 2], [2, 3]]), np.array([[0, 2], [1, 3]])
+    node, want, z = f @ model["w"], np.zeros((4, 5)), 0.0
+    for y in np.ndindex(5, 5, 5, 5):
+        p = np.exp(sum(node[i, y[i]] for i in range(4)) + sum(model["chain"][y[a], y[b]] for a, b in chain) + sum(model["skip"][y[a], y[b]] for a, b in skip))
+        z += p
+        want[range(4), y] += p
+    assert np.abs(pii._marginals(f, chain, skip, model) - want / z).max() < 0.03
 
 
 def test_pii_without_base_spans():
