@@ -1,14 +1,15 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that keeps a document's labels consistent.
 
 Patterns give the base spans. Tokens (words with a digit or an @; all others can
-only be outside) are labelled outside, email, ip, card or phone: neighbouring
-tokens share a chain potential, and tokens with equal digits (seven or more at the end) or
+only be outside) are labelled outside, email, ip, card or phone: those that a base span touches
+are observed, neighbouring tokens share a chain potential, and tokens with equal digits (seven or more at the end) or
 equal letters share a skip potential, each with the next such token however
 far. Loopy sum-product messages, passed along whole paths of chain or of skip edges
 in turns until they no longer change, give marginals; a token that no base span
-touches becomes a span if one kind's marginal reaches `confidence`. Weights are fitted by
+touches becomes a span if one kind's marginal reaches `confidence`, and parts of one number become one span. Weights are fitted by
 pseudo-likelihood on the base labels of a bounded sample (MAX_DOCS documents,
-the first by a hash of the id among those with a digit or an @).
+the first by a hash of the id among those with a digit or an @) and on bare repeats of
+its numbers, which only what they repeat tells apart.
 
 Null and empty texts have no spans. Counts are of base spans, which are never
 taken away. A null doc_id stays null; repeated rows get equal results; an empty table gives
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS = 1500
+STEPS = 600
 CONFIDENCE = 0.95
 SETTLED = 1e-6
+CERTAIN = 1e-9
+AGREE = 2.0  # the mean of the prior of equal labels at a skip edge
+DIGITS = (0, 0, 19, 15)  # most of a card, most of a phone
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -122,32 +127,67 @@ def _graph(text: str, base: list[tuple[int, int, int]]):
     return tokens, f, labels, edge(chain), edge(skip)
 
 
+def _with_repeats(text: str):
+    """Features, labels and edges of a training text to which bare repeats of its numbers are added, each with the label of what it repeats.
+
+    Also whether a label is unknown: a token without a base label that repeats a labelled one may be anything.
+    """
+    base = base_spans(text)
+    tokens, _, labels, _, _ = _graph(text, base)
+    kind = {(s, e): k + 1 for k, s, e in base if k != 0}
+    kind |= {x: 0 for x, y in zip(tokens, labels.tolist(), strict=True) if not y}
+    bare, truth = [], []
+    for (s, e), label in sorted(kind.items()):
+        d = "".join(c for c in text[s:e] if "0" <= c <= "9")
+        if len(d) < 7 or any(c.isalpha() for c in text[s:e]):
+            continue
+        forms = [text[s:e]] * 2 if label == 2 else [d[-10:], f"{d[-10:-7]} {d[-7:-4]}-{d[-4:]}", f"{d[-7:-4]}-{d[-4:]}"] if label == 4 else [d, d]
+        bare += forms
+        truth += [label] * sum(1 + (" " in x.strip()) for x in forms)
+    whole = "\n;\n".join([text, *bare])
+    tokens, f, y, c, k = _graph(whole, base)
+    own = int(np.searchsorted([s for s, _ in tokens], len(text)))
+    known = y > 0
+    for e in (k, k[::-1]):  # along the paths of equal tokens, forwards and back
+        for i, j in e:
+            known[i] = known[j] = known[i] or known[j]
+    unknown = known & (y == 0)
+    y[own:], unknown[own:] = truth, False
+    return f, y, c, k, unknown
+
+
 def train(texts: list[str]) -> dict | None:
-    fs, ls, cs, ks, at = [], [], [], [], 0
+    """Pseudo-likelihood of the base labels.
+
+    The patterns' features explain every label that patterns give, so nothing would be left for the skip edges to
+    explain: each text is fitted with bare repeats of its numbers, which no pattern finds and only what they repeat tells apart.
+    """
+    fs, ls, cs, ks, us, at = [], [], [], [], [], 0
     for t in texts:
-        _, f, y, c, k = _graph(t, base_spans(t))
+        f, y, c, k, u = _with_repeats(t)
         if len(f):
-            fs.append(f), ls.append(y), cs.append(c + at), ks.append(k + at)
+            fs.append(f), ls.append(y), cs.append(c + at), ks.append(k + at), us.append(u)
             at += len(f)
     if not at:
         return None
     f, y, c, k = np.concatenate(fs), np.concatenate(ls), np.concatenate(cs), np.concatenate(ks)
-    hot = np.eye(5)[y]
-    w, t, s = np.zeros((f.shape[1], 5)), np.zeros((5, 5)), np.zeros((5, 5))
+    told = ~np.concatenate(us)
+    hot = np.eye(5)[y] * told[:, None]  # the vote of a token
+    w, t, s = np.zeros((f.shape[1], 5)), np.zeros((5, 5)), AGREE * np.eye(5)
     vw, vt, vs = 0 * w + 1e-8, 0 * t + 1e-8, 0 * s + 1e-8
-    for _ in range(300):
+    for _ in range(STEPS):
         z = f @ w
         for e, m in ((c, t), (k, s)):
-            np.add.at(z, e[:, 1], m[y[e[:, 0]]])
-            np.add.at(z, e[:, 0], m[:, y[e[:, 1]]].T)
+            np.add.at(z, e[:, 1], hot[e[:, 0]] @ m)
+            np.add.at(z, e[:, 0], hot[e[:, 1]] @ m.T)
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = hot - p
+        g = (np.eye(5)[y] - p) * told[:, None]
         gt, gs = (hot[e[:, 0]].T @ g[e[:, 1]] + g[e[:, 0]].T @ hot[e[:, 1]] for e in (c, k))
         gs = (gs + gs.T) / 2
-        for x, gx, v in ((w, f.T @ g - 0.1 * w, vw), (t, gt - 0.1 * t, vt), (s, gs - 0.1 * s, vs)):
+        for x, gx, v in ((w, f.T @ g - 0.01 * w, vw), (t, gt - 0.01 * t, vt), (s, gs - 0.01 * (s - AGREE * np.eye(5)), vs)):
             v += gx * gx
-            x += 0.4 * gx / np.sqrt(v)
+            x += gx / np.sqrt(v)
     return {"w": w, "chain": t, "skip": s}
 
 
@@ -167,14 +207,17 @@ def _along(a, b, node, pot):
     return out / out.sum(axis=1, keepdims=True)
 
 
-def _marginals(f, chain, skip, model) -> np.ndarray:
+def _marginals(f, chain, skip, model, labels=None) -> np.ndarray:
     """Loopy sum-product: exact passes along all paths of one kind of edges, then of the other, until settled.
 
     A round carries a message along a whole path. Rounds are bounded by the
     number of tokens, so that messages may also change between the kinds of edges at each token; later ones are damped by half.
+    Tokens with a base label (`labels`, above 0) are observed.
     """
     node = np.exp(np.clip(f @ model["w"], -30, 30))
     node /= node.sum(axis=1, keepdims=True)
+    if labels is not None:
+        node[labels > 0] = CERTAIN + np.eye(5)[labels[labels > 0]]
     kinds = [(e, np.exp(np.clip(model[x], -8, 8))) for x, e in (("chain", chain), ("skip", skip)) if len(e)]
     into = [np.ones_like(node) for _ in kinds]  # product of the messages into each token by edges of a kind
     for turn in range(50 + 2 * len(node)):
@@ -202,7 +245,7 @@ def all_spans(text: str, model: dict | None, confidence: float = CONFIDENCE):
     tokens, f, labels, chain, skip = _graph(text, base)
     if not len(tokens):
         return base, []
-    p = _marginals(f, chain, skip, model)
+    p = _marginals(f, chain, skip, model, labels)
     added = []
     for i in np.flatnonzero((labels == 0) & (p[:, 1:].max(axis=1) >= confidence)):
         s, e = tokens[i]
@@ -211,7 +254,11 @@ def all_spans(text: str, model: dict | None, confidence: float = CONFIDENCE):
         while s < e and not (text[s].isalnum() or text[s] == "+"):
             s += 1
         if s < e:
-            added.append((int(np.argmax(p[i])) - 1, s, e))
+            kind = int(np.argmax(p[i])) - 1
+            if added and added[-1][0] == kind and s - added[-1][2] <= 2 and sum(x.isdigit() for x in text[added[-1][1] : e]) <= DIGITS[kind]:
+                added[-1] = (kind, added[-1][1], e)  # parts of one number
+            else:
+                added.append((kind, s, e))
     return base, added
 
 
