@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, licenses, neighbours, packing, pii, quality, revisits, substring, tokenfile
+from tessera.llm import decontaminate, jaccard, licenses, neighbours, oracles, packing, pii, quality, revisits, substring, tokenfile
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -44,7 +44,8 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = revisits.resolve(revisits.captures(_table(spark, sf_dir, "pages")))
     headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return out.select(F.col("record_id").alias("page_id"), "url_key", "refers_to", "status", headers.alias("headers"))
+    page = F.floor(F.col("record_id") / 3).cast("long")
+    return out.select("record_id", page.alias("page_id"), "url_key", "refers_to", "status", headers.alias("headers"))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL

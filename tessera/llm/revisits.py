@@ -8,8 +8,8 @@ captures are cut into slices of time, so a task gets a slice of a URL; the last
 response of each slice is carried on over the slices in a second pass over
 one row for each URL and slice.
 
-Null URLs are captures of no URL and never resolve; ties of time go by
-record_id; repeated rows resolve each. Empty tables give no rows; extra columns
+Captures without URL or without time are of no URL or no time: their revisits never resolve, and their responses serve none.
+Ties of time go by record_id; repeated rows resolve each. Null headers are none. Empty tables give no rows; extra columns
 are ignored. All of it is DataFrame functions.
 """
 
@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 #: Header fields that a 304 answer may bring up to date (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
 SLICES = 64
+SLICE_ROWS = 1_000_000
 
 
 def canonical_url(url: Column) -> Column:
-    """Without scheme, www, default port, fragment, tracking parameters and last slash; host in lower case."""
-    u = F.regexp_replace(url, r"#.*$", "")
-    u = F.regexp_replace(u, r"^[A-Za-z]+://", "")
-    u = F.regexp_replace(u, r"([?&])utm_[a-z]+=[^&]*", "$1")
-    u = F.regexp_replace(u, r"[?&]+$", "")
-    u = F.regexp_replace(u, r"/$", "")
-    u = F.concat(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), F.regexp_extract(u, r"^[^/?]*(.*)$", 1))
-    return F.regexp_replace(u, r"^www\.", "")
+    """Without scheme, www, default port, fragment, tracking (utm_) and empty parameters and the path's last slash; host in lower case."""
+    u = F.regexp_replace(url, r"(?s)#.*$", "")
+    scheme, rest = F.lower(F.regexp_extract(u, r"^([A-Za-z]+)://", 1)), F.regexp_replace(u, r"^[A-Za-z]+://", "")
+    host = F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1))
+    host = F.when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(F.regexp_replace(host, r":80$", ""))
+    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/$", "")
+    kept = F.filter(F.split(F.regexp_extract(rest, r"(?s)\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.startswith("utm_"))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), path, query)
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -39,11 +41,13 @@ def resolve(records: DataFrame) -> DataFrame:
 
     Returns record_id, url_key, refers_to, status (resolved, changed, unresolved), headers.
     """
-    r = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("time"), "kind", "headers")
-    bounds = r.agg(F.min("time").alias("t0"), F.max("time").alias("t1")).first()
+    headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    all_ = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("time"), "kind", headers.alias("headers"))
+    r = all_.filter("url_key is not null and time is not null")
+    bounds = r.agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count("*").alias("n")).first()
     t0, t1 = (bounds["t0"] or 0), (bounds["t1"] or 0)
-    slice_ = F.floor((F.coalesce("time", F.lit(t0)) - t0) * SLICES / (t1 - t0 + 1)).cast("int")
-    r = r.withColumn("slice", slice_)
+    width = (t1 - t0) // max(SLICES, -(-bounds["n"] // SLICE_ROWS)) + 1
+    r = r.withColumn("slice", F.floor((F.col("time") - t0) / F.lit(width)))
     full = F.when(F.col("kind") == "response", F.struct("record_id", F.col("headers").alias("full_headers")))
     w = Window.partitionBy("url_key", "slice").orderBy("time", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     here = r.withColumn("near", F.last(full, ignorenulls=True).over(w))
@@ -55,20 +59,39 @@ def resolve(records: DataFrame) -> DataFrame:
     out = here.filter("kind = 'revisit'").join(carried, ["url_key", "slice"], "left").withColumn("base", F.coalesce("near", "carry"))
     own, stored = F.col("headers"), F.col("base.full_headers")
     tag = F.coalesce(own["etag"] == stored["etag"], own["last-modified"] == stored["last-modified"], F.lit(False))
-    status = F.when(F.col("url_key").isNull() | F.col("base").isNull(), "unresolved").when(tag, "resolved").otherwise("changed")
+    status = F.when(F.col("base").isNull(), "unresolved").when(tag, "resolved").otherwise("changed")
     permitted = F.map_filter(own, lambda k, v: k.isin(PERMITTED))
     kept = F.map_filter(stored, lambda k, v: ~F.map_contains_key(permitted, k))
     merged = F.when(F.col("status") == "resolved", F.map_concat(kept, permitted)).otherwise(own)
     refers = F.when(F.col("status") == "resolved", F.col("base.record_id"))
-    return out.withColumn("status", status).select("record_id", "url_key", refers.alias("refers_to"), "status", merged.alias("headers"))
+    out = out.withColumn("status", status).select("record_id", "url_key", refers.alias("refers_to"), "status", merged.alias("headers"))
+    lost = all_.filter("kind = 'revisit' and (url_key is null or time is null)")
+    return out.unionByName(lost.select("record_id", "url_key", F.lit(None).cast(out.schema["refers_to"].dataType).alias("refers_to"), F.lit("unresolved").alias("status"), "headers"))
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Pages as captures of their site in order of page_id: every third, by a hash, is a revisit; its tag is that of the site's language section."""
-    host = F.regexp_extract(canonical_url(F.col("url")), r"^([^/?]*)", 1)
-    section = F.regexp_extract("url", r"^[A-Za-z]+://[^/]*/([a-z]*)", 1)
-    kind = F.when(F.crc32(F.col("page_id").cast("string")) % 3 == 0, "revisit").otherwise("response")
-    day = F.format_string("day %d", F.col("page_id"))
-    response = F.create_map(F.lit("etag"), section, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.length("html").cast("string"), F.lit("date"), day)
-    revisit = F.create_map(F.lit("etag"), section, F.lit("date"), day, F.lit("server"), F.lit("x"))
-    return pages.select(F.col("page_id").alias("record_id"), F.concat(F.lit("http://"), host, F.lit("/")).alias("url"), F.col("page_id").alias("time"), kind.alias("kind"), F.when(kind == "revisit", revisit).otherwise(response).alias("headers"))
+    """An archive made of pages, as the tables hold none; three captures of each.
+
+    The page itself, every fifth time as a revisit of what was never stored; a later revisit under another
+    form of its URL, every seventh with a new entity tag; and the front page of its site, every third time as
+    a revisit, with its language section as tag, so that busy sites have very many captures of one URL.
+    """
+    id_, url = F.col("page_id"), F.col("url")
+    every = lambda n: id_ % n == 0
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]*)", 1))
+    section = F.regexp_extract(url, r"^[A-Za-z]+://[^/]*/([a-z]*)", 1)
+    plain = F.regexp_replace(url, r"#.*$", "")
+    other = F.when(every(2), F.regexp_replace(plain, r"^[a-z]+://(www\.)?", "https://WWW.")).otherwise(F.regexp_replace(plain, r"^[a-z]+://(www\.)?", "http://"))
+    other = F.concat(other, F.when(F.contains(url, F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=mail#again"))
+    tag = F.md5("html")
+    parts = [
+        (0, url, 4 * id_, F.when(every(5), "revisit").otherwise("response"), tag),
+        (1, other, 4 * id_ + 1 + 4 * (id_ % 1000), F.lit("revisit"), F.when(every(7), "new").otherwise(tag)),
+        (2, F.concat(F.lit("http://"), host, F.lit(":80/")), 4 * id_ + 2, F.when(every(3), "revisit").otherwise("response"), section),
+    ]
+    fields = [F.struct((3 * id_ + k).alias("record_id"), u.alias("url"), t.alias("time"), kind.alias("kind"), e.alias("tag")) for k, u, t, kind, e in parts]
+    rows = pages.select("page_id", F.length("html").cast("string").alias("size"), F.explode(F.array(*fields)).alias("c")).select("page_id", "size", "c.*")
+    day = F.format_string("day %d", "time")
+    response = F.create_map(F.lit("etag"), "tag", F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), "size", F.lit("date"), day)
+    revisit = F.create_map(F.lit("etag"), "tag", F.lit("date"), day, F.lit("server"), F.lit("x"))
+    return rows.select("record_id", "url", "time", "kind", F.when(F.col("kind") == "revisit", revisit).otherwise(response).alias("headers"))
