@@ -39,6 +39,9 @@ SHINGLE = 5
 FLUSH_KEYS = 700_000
 ROWS = 500
 KEY_BITS = 50
+BLOCK_CHARS = 24_000_000
+NO_ID = 1 << 62  # a flag beside the counts of keys
+SALTS = 16
 
 _lows = [1]
 while _lows[-1] < 1 << 40:
@@ -94,6 +97,11 @@ def piece_keys(s: np.ndarray, g: int) -> np.ndarray:
         return key[x != 0] >> np.uint64(70 - KEY_BITS) << np.uint64(6) | np.uint64(g)
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """Rows by id and whether it is none; a row without doc_id is known by a hash of its text."""
+    return docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.isnull("doc_id").alias("none"), "text")
+
+
 def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
     import pyarrow as pa
 
@@ -130,7 +138,7 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
 
         n_keys = 0
         for batch in batches:
-            for doc, s in zip(batch["doc_id"].to_pylist(), _by_rows(batch["text"]), strict=True):
+            for doc, none, s in zip(batch["id"].to_pylist(), batch["none"].to_pylist(), _by_rows(batch["text"]), strict=True):
                 n = len(s)
                 sig = signature(s) if n else 0
                 own = 0
@@ -146,7 +154,7 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
                         keys.append(k)
                         owners.append(sig)
                         n_keys += len(k)
-                ids.append((doc if doc is not None else (1 << 63) - 1, sig, n, own))
+                ids.append((doc, sig, n, own | NO_ID * none))
                 if n_keys > FLUSH_KEYS or len(ids) > 200_000:
                     out = flush()
                     n_keys = 0
@@ -157,14 +165,14 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
             yield out
         release_memory()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "block long, kind int, a binary, b binary, c binary, d binary")
+    return _identified(docs).mapInArrow(run, "block long, kind int, a binary, b binary, c binary, d binary")
 
 
 def _meet(inputs: DataFrame) -> DataFrame:
-    """Rows of documents (kind 0), and of buckets: distinct sets of members (kind 1) with how many keys have them."""
+    """Rows of documents (kind 0: id, and whether it is none), and of buckets: distinct sets of members (kind 1) with how many keys have them."""
     import pyarrow as pa
 
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("g", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("g", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_pylist()
@@ -198,11 +206,11 @@ def _meet(inputs: DataFrame) -> DataFrame:
         release_memory()
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    return inputs.groupBy("block").applyInArrow(run, "kind int, doc_id long, sig long, n long, own long, g long, times long, members array<long>")
+    return inputs.groupBy("block").applyInArrow(run, "kind int, id long, sig long, n long, own long, g long, times long, members array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, shingles) of the representatives in `wanted` (doc_id, sig)."""
+    """(sig, shingles) of the representatives in `wanted` (id, none, sig)."""
     import pyarrow as pa
 
     def run(batches):
@@ -215,8 +223,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["sig"].take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=["sig", "set"])
         release_memory()
 
-    rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text").join(wanted, "doc_id").select("sig", "text")
-    return rows.mapInArrow(run, "sig long, set binary")
+    rows = _identified(docs).join(wanted, ["id", "none"]).select("sig", "text")
+    return rows.mapInArrow(run, "sig long, set binary").dropDuplicates(["sig"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,9 +338,7 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFram
             yield flush()
         release_memory()
 
-    # a task adds up what its buckets say of a pair, so fewer tasks make fewer rows
-    tasks = max(8, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
-    found = groups.coalesce(tasks).mapInArrow(run, "larger long, smaller long, least long, shared long")
+    found = groups.mapInArrow(run, "larger long, smaller long, least long, shared long")
     found = found.groupBy("larger", "smaller").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).filter("shared >= least")
     return found.select(F.least("larger", "smaller").alias("u"), F.greatest("larger", "smaller").alias("v")).distinct()
 
@@ -347,11 +353,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """All that runs Python is done when this returns."""
-    spark = docs.sparkSession
-    blocks = max(128, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(128, -(-chars // BLOCK_CHARS))
     met = _meet(_meet_inputs(docs, blocks)).checkpoint()
-    rows = met.filter("kind = 0").select("doc_id", "sig", "n", "own")
-    reps = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("own").alias("keys"))
+    keys, none = F.col("own").bitwiseAND(NO_ID - 1), F.col("own").bitwiseAND(NO_ID) > 0
+    rows = met.filter("kind = 0").select("id", none.alias("none"), "sig", "n", keys.alias("keys"))
+    reps = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("none", "id")).alias("rep"), F.first("n").alias("n"), F.max("keys").alias("keys"))
     lows = F.array(*[F.lit(int(x)) for x in LOWS[:64]])
     band_of = (F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1).cast("long")
     reps = reps.withColumn("own", F.col("keys").bitwiseAND((1 << 32) - 1)).withColumn("after", F.shiftright("keys", 32)).withColumn("band", band_of).drop("keys").checkpoint()
@@ -371,7 +378,7 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
 
     sizes = reps.select("sig", "n")
     star_pairs = stars(sizes.withColumn("component", F.col("sig")))
-    wanted = buckets.select(F.explode("members").alias("sig")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id"), "sig")
+    wanted = buckets.select(F.explode("members").alias("sig")).distinct().join(reps, "sig").select("rep.id", "rep.none", "sig")
     sets = _sets(docs, wanted).checkpoint()
     linked = _verified(star_pairs, sets, percent).checkpoint()
     first = components(linked)
@@ -381,8 +388,9 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     rest = _crossed(each, reps, labels, sets, percent).join(star_pairs, ["u", "v"], "left_anti")
     final = components(linked.unionByName(_verified(rest, sets, percent)))
     ranked = reps.select("sig", "rep").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    least = ranked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = ranked.join(least, "component").select("sig", "component_id")
-    last = F.lit((1 << 63) - 1)
-    out = rows.join(classes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.select(F.nullif("doc_id", last).alias("doc_id"), "n_shingles", F.nullif("component_id", last).alias("component_id"))
+    # the smallest id of a class goes to each of its sets; classes may be large, so their keys are salted
+    least = ranked.groupBy("component").agg(F.min("rep").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = ranked.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(least, ["component", "salt"]).select("sig", "least")
+    doc_id = lambda x: F.when(~F.col(f"{x}none"), F.col(f"{x}id"))
+    out = rows.join(classes, "sig", "left")
+    return out.select(doc_id("").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, doc_id("least.")).otherwise(doc_id("")).alias("component_id"))

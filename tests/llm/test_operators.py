@@ -91,6 +91,18 @@ def test_jaccard_equals_brute_force(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect())) == brute_classes(rows)
 
 
+def test_null_and_largest_ids(spark):
+    """A null doc_id is not the largest int64, and rows without id are told apart."""
+    last, text = (1 << 63) - 1, " ".join(f"k{i}" for i in range(40))
+    rows = [(None, text), (last, text), (None, text + " end"), (None, "other words " * 20), (None, text), (last, "a b")]
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 36, last), (last, 36, last), (None, 37, last), (None, 2, None), (None, 36, last), (last, 1, last)], key=str)
+    assert jaccard.near_duplicates(frame(spark, [(None, text), (None, text + " end")])).filter("component_id is null").count() == 2
+    out = [tuple(r) for r in substring.remove_repeats(frame(spark, [*rows, (5, text)])).collect()]
+    assert sorted(r[:3] for r in out if r[0] is not None) == [(5, 40, 0), (last, 2, 0), (last, 40, 40)]
+    assert sorted(r[1:3] for r in out if r[0] is None) == [(40, 0), (40, 40), (40, 40), (41, 40)]
+
+
 def test_jaccard_large_buckets(spark):
     rng = random.Random(1)
     base = [f"u{rng.randrange(10**6)}" for _ in range(150)]
@@ -117,6 +129,8 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {9: 1, 8: 1, 7: 1, 1: 1, 20: 20, 21: 20, 22: 20, 30: 30, 31: 30}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(1, 300)], "u long, v long")).collect()
+    assert len(chain) == 300 and {r["component"] for r in chain} == {1}
 
 
 def test_neighbours_recall_and_ties(spark):
