@@ -1,9 +1,9 @@
 """Removal of passages that also start in a document with a smaller id: count-min prefilter, then exact grouping.
 
-1. Documents are dealt into groups by id. Each group adds the windows of its
+1. Documents are dealt into groups by a hash of id and text, so a null or repeated id is in all of them. Each group adds the windows of its
    documents to a count-min sketch (`depth` rows, width in proportion to the
    input), sent as sorted cells of counters that stop at two; counters are of
-   documents. Blocks of cells are merged over all groups. The merged counters
+   documents. Blocks of cells, as many as the input needs, are merged over all groups. The merged counters
    never fall below the true counts, so no repeated window is lost.
 2. Each group gets back which of its own cells are repeated, and sends the
    windows that all rows estimate as repeated, once each with the smallest id
@@ -12,8 +12,8 @@
 3. Groups apply the bits and cover the words.
 
 Nothing but documents moves whole, and a window, however frequent, is one entry
-for each group. Words are byte runs other than space and 0x09-0x0D. Null texts
-have no words; a null doc_id counts as the largest; rows with one id don't
+for each group. Words are byte runs other than space and 0x09-0x0D. Null and empty texts
+have no words; a null doc_id counts as the largest int64; rows with one id don't
 remove each other's words. An empty table gives no rows; extra columns are ignored.
 """
 
@@ -31,7 +31,8 @@ WINDOW = 13
 DEPTH = 2
 CELLS_A_WINDOW = 8
 GROUP_CHARS = 12_000_000
-LAST = (1 << 63) - 1
+BLOCK_CHARS = 24_000_000
+LAST = (1 << 63) - 1  # where a null id stands among ids
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -45,10 +46,11 @@ def _cuts(blocks: int, bits: int) -> np.ndarray:
     return np.array([-(-(b << bits) // blocks) for b in range(1, blocks)], np.uint64)
 
 
-def _ordered(table) -> tuple[np.ndarray, object]:
+def _ordered(table):
+    """Ids, texts and ids that may be null, by id."""
     ids = table["doc_id"].fill_null(LAST).to_numpy() if table.num_rows else np.zeros(0, np.int64)
     order = np.argsort(ids, kind="stable")
-    return ids[order], table["text"].take(order)
+    return ids[order], table["text"].take(order), table["doc_id"].take(order)
 
 
 def _parts(texts, size: int):
@@ -66,12 +68,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS))
-    blocks = groups
+    blocks = max(16, -(-chars // BLOCK_CHARS))
     width = max(16, (CELLS_A_WINDOW * chars // 6).bit_length())
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(LAST))), F.lit(groups)).alias("g"))
+    some = docs.filter("text is not null and text <> ''")
+    keyed = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"))
+    blank = docs.filter("text is null or text = ''").select("doc_id", *(F.lit(x).cast(t).alias(c) for c, t, x in (("n_words", "long", 0), ("n_removed", "long", 0), ("kept", "string", ""))))
 
     def sketch(table: pa.Table) -> pa.Table:
-        ids, texts = _ordered(table)
+        _, texts, _ = _ordered(table)
         hs, ds = [], []
         for a, w, at, h in _parts(texts, window):
             hs.append(h)
@@ -142,7 +146,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
         schema = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("least", pa.binary())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, texts = _ordered(left)
+        ids, texts, _ = _ordered(left)
         *_, h1, h2, least = entries(texts, ids, right)
         edge, g, rows = [0, *np.searchsorted(h1, _cuts(blocks, 64)), len(h1)], left["g"][0].as_py(), []
         for b in range(blocks):
@@ -169,7 +173,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         if not left.num_rows:
             return schema.empty_table()
-        ids, texts = _ordered(left)
+        ids, texts, named = _ordered(left)
+        named = named.to_pylist()
         blocks_in = np.array(right["block"].to_pylist(), np.int64)
         info = right.filter(pa.array(blocks_in >= 0))
         words, places, d, entry, _, _, least = entries(texts, ids, info)
@@ -190,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
                 k = kept[x:y]
                 left_over = int(k.sum())
                 split = w.data[w.start[x] : w.end[y - 1]].split() if left_over else []
-                out[0].append(None if ids[a + i] == LAST else int(ids[a + i]))
+                out[0].append(named[a + i])
                 out[1].append(int(y - x))
                 out[2].append(int(y - x) - left_over)
                 out[3].append(b" ".join(split if left_over == y - x else compress(split, k)).decode("utf-8", "replace"))
@@ -200,4 +205,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
     flags = cells.groupBy("block").applyInArrow(merge, "g long, block long, data binary")
     sent = keyed.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(send, "block long, g long, h1 binary, h2 binary, least binary")
     bits = sent.groupBy("block").applyInArrow(decide, "g long, block long, data binary")
-    return keyed.groupBy("g").cogroup(flags.unionByName(bits).groupBy("g")).applyInArrow(cover, OUT)
+    return keyed.groupBy("g").cogroup(flags.unionByName(bits).groupBy("g")).applyInArrow(cover, OUT).unionByName(blank)
