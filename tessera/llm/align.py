@@ -1,44 +1,54 @@
-"""Local alignment of word sequences in a band, a row of the band at a time."""
+"""Local alignment of word sequences, a row at a time in the memory of two rows of the band."""
 
 from __future__ import annotations
 
 import numpy as np
 
+_UNIT = 1 << 20  # a cell is its score times this, and the number of matched words
 
-def smith_waterman(a: np.ndarray, b: np.ndarray, centre: int | None = None, half: int | None = None, match: int = 2, mismatch: int = -1, gap: int = -1):
+
+def _pass(a: np.ndarray, b: np.ndarray, centre: int | None, half: int, scores: tuple[int, int, int], anchored: bool):
+    """The best cell (value, i, j). Anchored paths begin before the first words of both; others anywhere."""
+    hit, miss, gap = scores[0] * _UNIT + 1, scores[1] * _UNIT, scores[2] * _UNIT
+    n, m, nowhere = len(a), len(b), -(1 << 60) if anchored else 0
+    slope = gap * np.arange(m + 1, dtype=np.int64)
+    before, row = np.full(m + 2, nowhere, np.int64), np.full(m + 2, nowhere, np.int64)
+    if anchored:
+        end = m if centre is None else min(m, centre + half)
+        before[: end + 1] = slope[: end + 1]
+    best = (0, 0, 0)
+    for i in range(1, n + 1):
+        low, high = (1, m) if centre is None else (max(1, i + centre - half), min(m, i + centre + half))
+        if low > high:
+            if low > m:
+                break
+            before, row = row, before
+            continue
+        x = np.maximum(before[low - 1 : high] + np.where(b[low - 1 : high] == a[i - 1], hit, miss), before[low : high + 1] + gap)
+        if not anchored:
+            np.maximum(x, 0, out=x)
+        elif low == 1:
+            row[0] = i * gap if centre is None or abs(i + centre) <= half else nowhere
+            x[0] = max(x[0], row[0] + gap)
+        x = np.maximum.accumulate(x - slope[: len(x)]) + slope[: len(x)]
+        row[low : high + 1] = x
+        k = int(np.argmax(x))
+        if x[k] > best[0]:
+            best = (int(x[k]), i, low + k)
+        before, row = row, before
+    return best
+
+
+def smith_waterman(a: np.ndarray, b: np.ndarray, centre: int | None = None, half: int = 0, match: int = 2, mismatch: int = -1, gap: int = -1):
     """Best local alignment of a and b: (score, matched words of a, a start, a end, b start, b end).
 
-    With `centre` and `half` only cells with |j - i - centre| <= half count.
-    Each row is computed at once: the gap along b is a running maximum.
+    Of equal scores, one with the most matched words. With `centre` and `half` only cells with |j - i - centre| <= half
+    count, and only these are computed. A second pass, backwards from the end of the best alignment, finds its start.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
+    scores = (match, mismatch, gap)
+    value, i, j = _pass(a, b, centre, half, scores, False)
+    if not value:
         return 0, 0, 0, 0, 0, 0
-    score = np.zeros((n + 1, m + 1), np.int32)
-    slope = -gap * np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        row = np.maximum(score[i - 1, 1:] + gap, score[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch))
-        row = np.maximum(row, 0)
-        if centre is not None:
-            low, high = max(0, i - 1 + centre - half), min(m, i + centre + half)
-            row[:low] = 0
-            row[max(high, 0) :] = 0
-        full = np.r_[np.int32(0), row]
-        full = np.maximum(full, np.maximum.accumulate(full + slope) - slope)
-        if centre is not None:
-            full[: low + 1] = 0
-            full[max(high, 0) + 1 :] = 0
-        score[i] = np.maximum(full, 0)
-    i, j = np.unravel_index(int(np.argmax(score)), score.shape)
-    best, a_end, b_end, matched = int(score[i, j]), int(i), int(j), 0
-    while score[i, j] > 0:
-        s = score[i, j]
-        hit = a[i - 1] == b[j - 1]
-        if s == score[i - 1, j - 1] + (match if hit else mismatch):
-            matched += int(hit)
-            i, j = i - 1, j - 1
-        elif s == score[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, int(i), a_end, int(j), b_end
+    back = None if centre is None else j - i - centre
+    _, x, y = _pass(a[:i][::-1], b[:j][::-1], back, half, scores, True)
+    return value // _UNIT, value % _UNIT, i - x, i, j - y, j

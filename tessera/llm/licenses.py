@@ -5,17 +5,19 @@ successive hashes the smallest is a fingerprint, so a common run of
 GRAM + WINDOW - 1 words has a common fingerprint. Fingerprints that a document
 shares with a template name a candidate and a diagonal; the document's words
 around it are aligned with the template in a band of that diagonal. A template is
-reported where at least `coverage` of its words match. Words are compared in
-lower case without the marks around them.
+reported where at least `coverage` of its words match, with that share and the span. Words are compared in
+lower case without the marks around them. A template that holds another (a whole licence and
+its first paragraph) is reported beside it: spans may overlap.
 
 Null and empty texts hold nothing; a null doc_id stays null; repeated rows are
 scanned each; an empty table gives no rows; extra columns are ignored. The
-index is of the fixed templates, or of those given, MAX_TEMPLATE_WORDS words at most.
+index is of the fixed templates, or of those given; beyond MAX_TEMPLATE_WORDS words they are scanned in parts.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ GRAM = 3
 WINDOW = 2
 COVERAGE = 0.8
 BAND = 8
+DRIFT = 10  # a tenth of a template may be left out or put in before a copy leaves the band
 MAX_TEMPLATE_WORDS = 200_000
 
 #: Public license notices by SPDX name; fixed texts.
@@ -44,6 +47,19 @@ TEMPLATES = {
     "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+_AS_IS = "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD_CLAUSES = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, ' + _AS_IS
+
+#: Whole public licences by SPDX name; fixed texts.
+TEMPLATES |= {
+    "MIT": TEMPLATES["MIT/grant"] + ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause": f"{TEMPLATES['BSD/grant']} {_BSD_CLAUSES} {_BSD_END}",
+    "BSD-3-Clause": f"{TEMPLATES['BSD/grant']} {_BSD_CLAUSES} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
+    "ISC": TEMPLATES["ISC/grant"] + ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Apache-2.0/boilerplate": TEMPLATES["Apache-2.0/header"] + ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+}
 
 _MARKS = re.compile(r"[\"'(),.:;]+")
 
@@ -52,38 +68,56 @@ def _words(texts: list[str]) -> Words:
     return Words([_MARKS.sub(" ", t) for t in texts], fold=True)
 
 
-def winnow(h: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """Places of the smallest hash of each window (the last of equals)."""
-    if len(h) <= size:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))]) if len(h) else np.zeros(0, int)
+def winnow(h: np.ndarray, text: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Places of the smallest hash (the last of equals) of each window of one text, and of texts of fewer hashes."""
+    count = np.bincount(text, minlength=1)
+    first = np.cumsum(count) - count
+    few = [first[t] + count[t] - 1 - np.argmin(h[first[t] : first[t] + count[t]][::-1]) for t in np.flatnonzero((count > 0) & (count < size))]
+    if len(h) < size:
+        return np.array(few, int)
     view = np.lib.stride_tricks.sliding_window_view(h, size)
-    return np.unique(np.arange(len(view)) + size - 1 - np.argmin(view[:, ::-1], axis=1))
+    places = np.arange(len(view)) + size - 1 - np.argmin(view[:, ::-1], axis=1)
+    return np.unique(np.r_[places[text[: len(view)] == text[size - 1 :]], np.array(few, int)])
+
+
+def _parts(templates: dict[str, str]):
+    part: dict[str, str] = {}
+    words = 0
+    for name in sorted(templates):
+        n = len(templates[name].split())
+        if part and words + n > MAX_TEMPLATE_WORDS:
+            yield part
+            part, words = {}, 0
+        part[name] = templates[name]
+        words += n
+    yield part
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start and end (characters of the text, end exclusive)."""
+    return reduce(DataFrame.unionByName, (_scan(docs, part, coverage) for part in _parts(templates)))
+
+
+def _scan(docs: DataFrame, templates: dict[str, str], coverage: float) -> DataFrame:
     import pyarrow as pa
 
     names = sorted(templates)
     w = _words([templates[k] for k in names])
-    if len(w) > MAX_TEMPLATE_WORDS:
-        raise ValueError("too many templates for one index: scan them in parts")
     words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(names))]
     index: dict[int, list[tuple[int, int]]] = {}
     at, h = w.windows(GRAM)
-    for i in range(len(names)):
-        mine = np.flatnonzero(w.text[at] == i)
-        for p in winnow(h[mine]):
-            index.setdefault(int(h[mine[p]]), []).append((i, int(at[mine[p]] - w.first[i])))
+    for p in winnow(h, w.text[at]):
+        i = int(w.text[at[p]])
+        index.setdefault(int(h[p]), []).append((i, int(at[p] - w.first[i])))
     keys = np.array(sorted(index), np.uint64)
 
     def rows_of(doc_ids, texts):
         w = _words(texts)
         at, h = w.windows(GRAM)
-        # a fingerprint of a template is one of the document wherever the window around it is common;
-        # taking all the document's hashes finds those and, at the edges of a copy, a few more
-        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = np.flatnonzero(keys[k] == h)
+        chosen = winnow(h, w.text[at])
+        at, h = at[chosen], h[chosen]
+        k = np.clip(np.searchsorted(keys, h), 0, max(0, len(keys) - 1))
+        hit = np.flatnonzero(keys[k] == h) if len(keys) else []
         places: dict[tuple[int, int], list[int]] = {}
         for x in hit:
             p = int(at[x])
@@ -96,8 +130,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float
             for g in sorted(set(diagonals)):
                 if g <= done:
                     continue
-                begin, end = max(first, g - BAND), min(last, g + len(t) + BAND)
-                _, matched, _, _, s, e = smith_waterman(t, w.hash[begin:end], centre=g - begin, half=BAND)
+                half = BAND + len(t) // DRIFT
+                begin, end = max(first, g - half), min(last, g + len(t) + half)
+                _, matched, _, _, s, e = smith_waterman(t, w.hash[begin:end], centre=g - begin, half=half)
                 if matched >= coverage * len(t):
                     out.append((d, i, matched / len(t), begin + s - first, begin + e - first))
                     done = begin + e - 1

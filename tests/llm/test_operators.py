@@ -495,15 +495,29 @@ def test_decontamination_of_short_items(spark):
     assert got == {(1, 7): (1, 2, 5), (1, 8): (1, 3, 5), (1, 9): (1, 4, 5), (2, 9): (1, 3, 4), (5, 8): (1, 0, 2), (5, 9): (1, 1, 2)}
 
 
+def plain_alignment(a, b, centre=None, half=0):
+    """Highest (score, matched words), with the whole table in memory."""
+    s = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            s[i, j] = (0, 0)
+            if i and j and (centre is None or abs(j - i - centre) <= half):
+                hit = a[i - 1] == b[j - 1]
+                x, y, z = s[i - 1, j - 1], s[i - 1, j], s[i, j - 1]
+                s[i, j] = max((0, 0), (x[0] + (2 if hit else -1), x[1] + hit), (y[0] - 1, y[1]), (z[0] - 1, z[1]))
+    return max(s.values())
+
+
 def test_alignment_equals_plain_recursion():
     rng = np.random.default_rng(6)
-    for _ in range(30):
+    for turn in range(200):
         a, b = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 12))
-        s = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                s[i, j] = max(0, s[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), s[i - 1, j] - 1, s[i, j - 1] - 1)
-        assert smith_waterman(a, b)[0] == s.max()
+        band = (None, 0) if turn % 2 else (int(rng.integers(-4, 8)), int(rng.integers(0, 4)))
+        score, matched, a0, a1, b0, b1 = smith_waterman(a, b, *band)
+        assert (score, matched) == plain_alignment(a, b, *band)
+        part = plain_alignment(a[a0:a1], b[b0:b1], None if band[0] is None else band[0] + a0 - b0, band[1])
+        assert part == (score, matched) and (not score or (a[a0] == b[b0] and a[a1 - 1] == b[b1 - 1]))
+    assert smith_waterman(a[:0], b)[0] == smith_waterman(a, b[:0])[0] == 0
 
 
 def test_licenses(spark):
@@ -516,6 +530,84 @@ def test_licenses(spark):
     assert [r["license"] for r in licenses.scan(frame(spark, [(1, "x " * 50 + changed + " y" * 50)])).collect()] == ["MIT/grant"]
 
 
+def test_license_query_equals_brute_force(spark):
+    """Every template against every document by whole alignments: the query finds those of 0.8 and more."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    plain = lambda t: re.findall(r"[^\x20\x09-\x0D]+", licenses._MARKS.sub(" ", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+    own = {k: np.array([hash(w) for w in plain(t)]) for k, t in licenses.TEMPLATES.items()}
+    want = {}
+    for i, t in docs:
+        h = np.array([hash(w) for w in plain(t)], int)
+        for k, x in own.items():
+            if np.isin(x, h).sum() >= licenses.COVERAGE * len(x):
+                share = smith_waterman(x, h)[1] / len(x)
+                if share >= licenses.COVERAGE:
+                    want[i, k] = share
+    got = registry.op2_licenses(spark, DATA).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == set(want) and want
+    assert all(r["coverage"] <= want[r["doc_id"], r["license"]] for r in got)
+
+
+def test_licenses_whole_texts_ties_and_parts(spark, odd_docs):
+    whole = licenses.TEMPLATES["BSD-3-Clause"]
+    words_ = whole.split()
+    edited = " ".join(w for k, w in enumerate(words_) if k % 11)
+    docs = frame(spark, [(1, "Copyright X.\n" + whole), (2, "y " * 300 + edited + " z" * 300), (3, " ".join(words_[: len(words_) // 2]))])
+    got = defaultdict(set)
+    for r in licenses.scan(docs).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert got[1] == {"BSD-3-Clause", "BSD-2-Clause", "BSD/grant"} and got[2] >= {"BSD-3-Clause", "BSD/grant"} and got[3] == {"BSD/grant"}
+    same = {"a": "one two three four five six", "b": "one two three four five six"}  # ties: both are reported
+    assert sorted(tuple(r)[:3] for r in licenses.scan(frame(spark, [(1, "x one two three four five six"), (1, "x one two three four five six")]), same).collect()) == [(1, "a", 1.0), (1, "a", 1.0), (1, "b", 1.0), (1, "b", 1.0)]
+    long = " ".join(f"t{k}" for k in range(3000))
+    assert licenses.scan(frame(spark, [(1, "x " * 9000 + long)]), {"long": long}).count() == 1
+    before, licenses.MAX_TEMPLATE_WORDS = licenses.MAX_TEMPLATE_WORDS, 100
+    try:
+        assert {r["license"] for r in licenses.scan(docs.filter("doc_id = 1")).collect()} == got[1]
+    finally:
+        licenses.MAX_TEMPLATE_WORDS = before
+    assert licenses.scan(odd_docs, {}).count() == 0
+
+
+def test_winnowing_keeps_a_fingerprint_of_each_run():
+    rng = np.random.default_rng(5)
+    h, text = rng.integers(0, 9, 300).astype(np.uint64), np.sort(rng.integers(0, 40, 300))
+    for size in (2, 4):
+        kept = set(licenses.winnow(h, text, size).tolist())
+        for i in range(301 - size):
+            if text[i] == text[i + size - 1]:
+                assert kept & set(range(i, i + size))
+        assert {int(text[k]) for k in kept} == set(text.tolist())
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    docs = [(r[0], decontaminate_words(r[1])) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r[0], decontaminate_words(r[1])) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            runs = {tuple(x[k : k + 4]) for k in range(len(x) - 3)}
+            if x and np.isin(x, t).sum() >= decontaminate.COVERAGE * len(x) and any(tuple(t[k : k + 4]) in runs for k in range(len(t) - 3)):
+                share = smith_waterman(x, t)[1] / len(x)
+                if share >= decontaminate.COVERAGE:
+                    want[d, i] = share
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in registry.op8_decontamination(spark, DATA).collect()}
+    assert got == want and want
+
+
+def decontaminate_words(t):
+    return np.array([hash(w) for w in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))], int)
+
+
+def test_decontamination_of_odd_rows(spark, odd_docs):
+    item = " ".join(f"w{i}" for i in range(500, 540))  # in the long texts, which repeat it 30 times
+    items = spark.createDataFrame([(1, item, "x"), (1, item, "y"), (2, None, "z"), (None, "one two", "u")], "item_id long, text string, grams string")
+    got = decontaminate.contaminated(odd_docs.withColumn("item", F.lit(1)), items).collect()
+    assert all(r["score"] == 1 for r in got) and sum(r["doc_id"] == 4 for r in got) == 2
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(5, 1), (6, 1), (4, None)}
+    assert decontaminate.contaminated(odd_docs.limit(0), items).count() == 0
+
+
 @pytest.mark.parametrize(
     ("form", "key"),
     [
