@@ -78,6 +78,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
 
     def find(batches):
         words, grams, item_ids = shared.value
+        lengths = np.array([len(x) for x in words], np.int64)
         sized = []
         for size, (gram_hash, gram_item, gram_place) in grams.items():
             distinct = np.unique(gram_hash)
@@ -96,25 +97,24 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
                     real = distinct[k] == h[likely]
                     pos, gram = at[likely[real]], distinct[k[real]]
                     low, high = np.searchsorted(gram_hash, gram, "left"), np.searchsorted(gram_hash, gram, "right")
-                    hits += [(int(w.text[p]), int(gram_item[x]), int(p), int(gram_place[x])) for p, lo, hi in zip(pos, low, high, strict=True) for x in range(lo, hi)]
-                hits.sort()
-                i = 0
-                while i < len(hits):
-                    doc, item, p, *_ = hits[i]
-                    m = len(words[item])
-                    j = i
-                    while j < len(hits) and hits[j][:2] == (doc, item) and hits[j][2] - (hits[j - 1][2] if j > i else p) <= m:
-                        j += 1
-                    begin = max(int(w.first[doc]), min(x[2] - x[3] for x in hits[i:j]) - m // 4 - 2)
-                    end = min(int(w.first[doc + 1]), max(x[2] - x[3] for x in hits[i:j]) + m + m // 4 + 2)
-                    i = j
-                    own, region = words[item], w.hash[begin:end]
+                    many = high - low
+                    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+                    hits.append(np.stack([np.repeat(w.text[pos], many).astype(np.int64), gram_item[entry], np.repeat(pos, many), np.repeat(pos, many) - gram_place[entry]]))
+                doc, item, pos, first = x = np.concatenate(hits, axis=1)
+                doc, item, pos, first = x[:, np.lexsort((pos, item, doc))]
+                # hits of one item in one text, no further apart than the item is long
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > lengths[item[1:]])]) if len(doc) else np.zeros(0, int)
+                least, most = (np.minimum.reduceat(first, new), np.maximum.reduceat(first, new)) if len(new) else (new, new)
+                for d, it, p0, p1 in zip(doc[new].tolist(), item[new].tolist(), least.tolist(), most.tolist(), strict=True):
+                    m = int(lengths[it])
+                    begin, end = max(int(w.first[d]), p0 - m // 4 - 2), min(int(w.first[d + 1]), p1 + m + m // 4 + 2)
+                    own, region = words[it], w.hash[begin:end]
                     if np.isin(own, region).sum() < coverage * m:  # no alignment matches more words
                         continue
                     _, matched, _, _, s, e = smith_waterman(own, region)
                     if matched >= coverage * m:
-                        at_doc = begin - int(w.first[doc])
-                        rows.append((ids[a + doc], item_ids[item], matched / m, at_doc + s, at_doc + e))
+                        at_doc = begin - int(w.first[d])
+                        rows.append((ids[a + d], item_ids[it], matched / m, at_doc + s, at_doc + e))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
