@@ -12,7 +12,7 @@ words; beyond that the items are taken in parts of that size, one after another.
 
 Null texts hold nothing. An item of fewer than NGRAM words is a single shorter n-gram,
 so only exact copies of it are found. Items without words are ignored. Repeated rows of documents or
-items are rows of their own. A null doc_id stays null. Empty tables give no rows; extra
+items are rows of their own. A null doc_id or item_id stays null. Empty tables give no rows; extra
 columns are ignored.
 """
 
@@ -54,7 +54,7 @@ def _parts(items: DataFrame):
     n = max(1, -(-total // MAX_ITEM_WORDS))
     for part in range(n):
         chosen = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part)
-        yield sorted((r["item_id"], r["text"]) for r in chosen.collect())
+        yield sorted(((r["item_id"], r["text"]) for r in chosen.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
