@@ -42,7 +42,7 @@ KEY_BITS = 50
 BLOCK_CHARS = 24_000_000
 NO_ID = 1 << 62  # a flag beside the counts of keys
 SALTS = 16
-MEMBERS_A_TASK = 200_000
+MEMBERS_A_TASK = 25_000
 
 _lows = [1]
 while _lows[-1] < 1 << 40:
