@@ -587,11 +587,13 @@ def test_decontamination_query_equals_brute_force(spark):
     for d, t in docs:
         for i, x in items:
             runs = {tuple(x[k : k + 4]) for k in range(len(x) - 3)}
-            if x and np.isin(x, t).sum() >= decontaminate.COVERAGE * len(x) and any(tuple(t[k : k + 4]) in runs for k in range(len(t) - 3)):
+            if len(x) and np.isin(x, t).sum() >= decontaminate.COVERAGE * len(x) and any(tuple(t[k : k + 4]) in runs for k in range(len(t) - 3)):
                 share = smith_waterman(x, t)[1] / len(x)
                 if share >= decontaminate.COVERAGE:
                     want[d, i] = share
-    got = {(r["doc_id"], r["item_id"]): r["score"] for r in registry.op8_decontamination(spark, DATA).collect()}
+    got = defaultdict(float)
+    for r in registry.op8_decontamination(spark, DATA).collect():
+        got[r["doc_id"], r["item_id"]] = max(got[r["doc_id"], r["item_id"]], r["score"])
     assert got == want and want
 
 
