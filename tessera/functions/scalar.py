@@ -35,10 +35,19 @@ def or_default(c: Column, default: str) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
-def translate(c: Column, **params: str) -> Column:
-    for k, v in params.items():
-        c = F.replace(c, F.lit("{{" + k + "}}"), F.lit(v))
-    return c
+def truthy(c: Column) -> Column:
+    """Neither null nor empty."""
+    return F.coalesce(c, F.lit("")) != ""
+
+
+def get_or(m: Column, key: str, default: str) -> Column:
+    """The value of a key, which may be null; the default only where the map lacks the key."""
+    return F.when(F.map_contains_key(m, key), F.element_at(m, key)).otherwise(default)
+
+
+def with_entry(m: Column, condition: Column, key: str, value: Column) -> Column:
+    """The map with one more entry where the condition holds."""
+    return F.when(condition, F.map_concat(m, F.create_map(F.lit(key), value))).otherwise(m)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,11 +62,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def l2_normalise(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
-
-
 def head_fingerprint(content: Column, head: int = 65536) -> Column:
     return F.sha2(F.substring(content, 1, head), 256)
 

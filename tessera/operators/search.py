@@ -14,8 +14,10 @@ MARGIN = 1e-9
 
 
 def top_k(corpus: DataFrame, query: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
-    """The k rows nearest to the only row of `query` by cosine, with percent and band."""
-    q = F.broadcast(query.limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    """The k rows nearest to the only row of `query` by cosine, with percent and band; more rows are an error, batch_top_k takes them."""
+    one = F.when(F.count("*").over(Window.partitionBy()) > 1, F.raise_error(F.lit("top_k takes one query: use batch_top_k"))).otherwise(F.lit(True))
+    query = query.limit(2).withColumn("one", one).filter("one")
+    q = F.broadcast(query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
     rows = corpus.join(q, F.col("vec_id") != F.col("query_id") if exclude_self else F.lit(True))
     score = scalar.cosine(F.col("embedding"), F.col("q"))
     return (

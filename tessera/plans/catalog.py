@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import search
+from tessera.plans import relational
 from tessera.sources.tables import TABLES, activity_log, register, search_results, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +54,7 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
 
 def batch(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return search.batch_top_k(e, e.filter("vec_id < 25"), 5).withColumn("score", F.round("score", 6))
+    return search.batch_top_k(e, e.filter("vec_id % 20 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
 def all_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ def all_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.batch_top_k(e, e, 5).withColumn("score", F.round("score", 6))
 
 
-def asof(spark: SparkSession, d: str) -> DataFrame:
+def previous(spark: SparkSession, d: str) -> DataFrame:
     """The latest earlier order of the customer, for each order."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("before"))
@@ -90,7 +91,7 @@ QUERIES: dict[str, Query] = {
     "d2_duplicate_groups": lambda s, d: _documents(s, d).groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"),
     "l5_recent": lambda s, d: table(s, d, "events").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id"),
     "p5_json_field": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
-    "ext_asof_join": asof,
+    "ext_previous_order": previous,
     "ext_daily_window": lambda s, d: table(s, d, "events").groupBy(F.window("ts", "1 day").start.cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n")),
 }
 
@@ -114,16 +115,12 @@ QUERIES |= {
     "s12_health": lambda s, d: s.sql("SELECT 'ok' AS status"),
     "p2_envelope": lambda s, d: _texts(s).select("id", F.to_json(scalar.envelope(F.col("c") != "", F.concat(F.lit("row "), "id"), F.struct("id"))).alias("envelope")),
     "p3_rename": lambda s, d: table(s, d, "customer").withColumnsRenamed({"c_custkey": "custKey", "c_name": "name"}).select("custKey", "name"),
-    "p7_drop_key": lambda s, d: _texts(s).select("id", F.size(F.map_keys(F.map_filter(F.create_map(F.lit("a"), "c", F.lit("b"), "c"), lambda k, v: k != "a"))).cast("long").alias("left")),
     "p9_cyclic": lambda s, d: s.range(16).select("id", F.element_at(F.array(*map(F.lit, "abcdef")), (F.col("id") % 6 + 1).cast("int")).alias("colour")),
     "a3_checks_met": lambda s, d: s.createDataFrame([(x,) for x in _PASSWORDS], "p string").select("p", F.size(F.filter(F.array(*[F.col("p").rlike(r) for r in ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")]), lambda x: x)).cast("long").alias("met")),
     "c6_basename": lambda s, d: _texts(s).select("id", scalar.basename(F.col("c")).alias("name")),
     "c7_strip": lambda s, d: _texts(s).select("id", F.btrim("c", F.lit(" \t\r\n")).alias("c")),
     "c10_unquote": lambda s, d: _texts(s).select("id", F.replace("c", F.lit('"'), F.lit("")).alias("c")),
     "c11_join": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("joined")),
-    "c20_title": lambda s, d: table(s, d, "nation").select("n_nationkey", F.initcap(F.lit("weak")).alias("title")),
-    "c21_translate": lambda s, d: _texts(s).select("id", scalar.translate(F.lit("Welcome, {{name}}"), name="Ada").alias("text")),
-    "c25_normalise": lambda s, d: s.range(4).select("id", F.round(F.zip_with(F.array(*[F.col("id").cast("double")] * 3), F.array(*map(F.lit, (0.1, 0.2, 0.3))), lambda x, m: (x - m) / 0.5)[2], 6).alias("blue")),
     "d7_width": lambda s, d: table(s, d, "embeddings").groupBy(F.size("embedding").cast("long").alias("width")).agg(F.count("*").alias("n")),
     "d9_l2_topk": _l2,
     "ext_session_window": lambda s, d: table(s, d, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"),
@@ -133,21 +130,17 @@ SQL = {
     "s12_health": "SELECT 'ok' AS status",
     "p2_envelope": """SELECT id, '{"success":' || (c <> '') || ',"message":"row ' || id || '","data":{"id":' || id || '}}' AS envelope FROM TEXTS""",
     "p3_rename": 'SELECT c_custkey AS "custKey", c_name AS name FROM customer',
-    "p7_drop_key": "SELECT id, CAST(1 AS BIGINT) AS left FROM TEXTS",
     "p9_cyclic": "SELECT i AS id, substr('abcdef', i % 6 + 1, 1) AS colour FROM range(16) t(i)",
     "a3_checks_met": "SELECT p, CAST(regexp_matches(p, '[A-Z]')::INT + regexp_matches(p, '[a-z]')::INT + regexp_matches(p, '[0-9]')::INT + regexp_matches(p, '[^A-Za-z0-9]')::INT AS BIGINT) AS met FROM (VALUES " + ", ".join(f"('{x}')" for x in _PASSWORDS) + ") v(p)",
     "c6_basename": r"SELECT id, string_split(c, '\')[-1] AS name FROM TEXTS",
     "c7_strip": "SELECT id, trim(c, ' ' || chr(9) || chr(13) || chr(10)) AS c FROM TEXTS",
     "c10_unquote": "SELECT id, replace(c, '\"', '') AS c FROM TEXTS",
     "c11_join": "SELECT s_suppkey, concat_ws('|', s_name, s_nationkey::VARCHAR) AS joined FROM supplier",
-    "c20_title": "SELECT n_nationkey, 'Weak' AS title FROM nation",
-    "c21_translate": "SELECT id, replace('Welcome, {{name}}', '{{name}}', 'Ada') AS text FROM TEXTS",
-    "c25_normalise": "SELECT i AS id, round((i - 0.3::DOUBLE) / 0.5::DOUBLE, 6) AS blue FROM range(4) t(i)",
     "d7_width": "SELECT len(embedding) AS width, count(*) AS n FROM embeddings GROUP BY 1",
     "d9_l2_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1) SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, q WHERE vec_id <> 1 ORDER BY d, vec_id LIMIT 10)",
     "ext_session_window": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM s GROUP BY user_id, k",
     "l3_topk_cosine": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id ORDER BY score DESC, vec_id LIMIT 10), p AS (SELECT *, CAST(round(100 * greatest(0.0, score)) AS INT) AS percent FROM s) SELECT query_id, vec_id, round(score, 6) AS score, percent, CASE WHEN percent >= 88 THEN 'high' WHEN percent >= 72 THEN 'mid' ELSE 'low' END AS band FROM p",
-    "l3_batch_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 25), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5",
+    "l3_batch_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5",
     "l3_all_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5",
     "s1_generated": r"SELECT i + 1 AS id, printf('asset_%03d.jpg', i + 1) AS name, 'D:\assets\asset_' || (i + 1) || '.jpg' AS path, CAST(greatest(54, 97 - 3 * i) AS INT) AS similarity, 'asset_' || (i + 1) || '.jpg' AS file FROM range(16) t(i)",
     "f3_similarity_band": "SELECT CASE WHEN s >= 88 THEN 'high' WHEN s >= 72 THEN 'mid' ELSE 'low' END AS band, count(*) AS n FROM (SELECT greatest(54, 97 - 3 * i) AS s FROM range(16) t(i)) GROUP BY 1",
@@ -159,7 +152,7 @@ SQL = {
     "d2_duplicate_groups": "SELECT sha256(text) AS fingerprint, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "l5_recent": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "p5_json_field": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "ext_asof_join": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders",
+    "ext_previous_order": "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders",
     "ext_daily_window": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 } | SHARED
 _LITERALS = ", ".join("({}, '{}')".format(i, c.replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '")) for i, c in _TEXTS)
@@ -174,4 +167,5 @@ def _shared(text: str) -> Query:
     return run
 
 
-QUERIES |= {k: _shared(v) for k, v in SHARED.items()}
+QUERIES |= {k: _shared(v) for k, v in (SHARED | relational.SHARED).items()} | relational.QUERIES
+SQL |= relational.SHARED | relational.SQL

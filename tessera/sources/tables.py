@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None, **options: str) -> DataFrame:
+    """Parquet, ORC, CSV or JSON files, JDBC tables or Kafka topics; text formats need a schema, as nothing is inferred."""
+    if kind in ("csv", "json") and schema is None:
+        raise ValueError(f"{kind} needs a schema")
+    reader = spark.read.format(kind).options(**options)
+    if kind == "csv":
+        reader = reader.option("header", options.get("header", "true")).option("mode", options.get("mode", "FAILFAST"))
+    reader = reader.schema(schema) if schema else reader
+    return reader.load() if kind in ("jdbc", "kafka") else reader.load(path)
+
+
 def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -43,9 +55,15 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def config(spark: SparkSession, path: str, schema: str, default: dict) -> dict:
-    """A one-object JSON configuration; the whole default where it is missing or not readable."""
+    """A one-object JSON configuration; the whole default where it is missing, empty or not JSON of this schema."""
     try:
         row = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).first()
         return row.asDict() if row else dict(default)
-    except (AnalysisException, Exception):  # noqa: B014  any failure means the default
-        return dict(default)
+    except PySparkException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "FAILED_READ_FILE.NO_HINT") or "MALFORMED_RECORD" in str(e):
+            return dict(default)
+        raise
+    except Py4JJavaError as e:
+        if "MALFORMED_RECORD" in str(e):
+            return dict(default)
+        raise

@@ -14,9 +14,18 @@ def index_new_files(spark: SparkSession, source: str, sink: str, checkpoint: str
     query.awaitTermination()
 
 
-def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts and sums in tumbling windows; runs on a stream (with a watermark) and on a table alike."""
+def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The first row of each event_id; a stream keeps an id for `late` after its time, a table for good."""
+    rows = events.withColumn("at", F.col("ts").cast("timestamp"))
+    if rows.isStreaming:
+        return rows.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
+    return rows.dropDuplicates(["event_id"])
+
+
+def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and sums in tumbling windows, or sliding ones; runs on a stream (with a watermark) and on a table alike."""
     rows = events.withColumn("at", F.col("ts").cast("timestamp"))
     if rows.isStreaming:
         rows = rows.withWatermark("at", late)
-    return rows.groupBy(F.window("at", width).start.alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    counts = rows.groupBy(F.window("at", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counts.select(F.col("w.start").alias("start"), "event_type", "n", "total")
