@@ -715,3 +715,47 @@ def test_pipeline(spark):
     last = P.STAGES[-1][1](spark, kept, DATA)
     assert {r[0] for r in last.select("doc_id").collect()} == {r[0] for r in kept.select("doc_id").collect()}
     assert P.run(spark, DATA).count() == last.count()
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Each stage by plain means on what the one before kept: whole pairs of documents, whole alignments, the tokenizer itself."""
+    import corpus_pipeline as P
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels, items = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    docs = dict(table.select("doc_id", "text").collect())
+    good = quality.score(list(docs.values()), quality.fit(table, labels)) >= quality.THRESHOLD
+    docs = {i: t for (i, t), ok in zip(docs.items(), good, strict=True) if ok}
+    docs = {i: docs[i] for i, _, least in brute_classes(list(docs.items())) if i == least}
+    for i, t in list(docs.items()):
+        h = decontaminate_words(t)
+        for _, x in ((r["item_id"], decontaminate_words(r["text"])) for r in items):
+            if np.isin(x, h).sum() >= decontaminate.COVERAGE * len(x) and smith_waterman(x, h)[1] >= decontaminate.COVERAGE * len(x):
+                docs.pop(i, None)
+    model = pii.fit(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    for i, t in docs.items():
+        base, added = pii.all_spans(t or "", model)
+        hidden = list(t or "")
+        for k, s, e in sorted(base + added, key=lambda x: (x[1], x[2]), reverse=True):
+            hidden[s:e] = [f"<{pii.KINDS[k].upper()}>"]
+        docs[i] = "".join(hidden)
+    rows = P.run(spark, DATA).collect()
+    check_packing(rows, list(docs.items()))
+    assert {r["doc_id"] for r in rows} == set(docs) and len(docs) < 200
+
+
+def test_pipeline_stages_of_odd_rows(spark, odd_docs, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass; so does an empty table."""
+    import corpus_pipeline as P
+
+    docs = odd_docs.withColumnRenamed("n", "n_chars").withColumn("n_chars", F.col("n_chars").cast("long")).withColumn("lang", F.lit("xx"))
+    spark.createDataFrame([(5, 1, 0), (1, 0, None), (1, 1, None), (None, 1, 1), (6, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two"), (2, None), (None, "x y z w v")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows, gone in ((docs, {2: "ignored"}), (docs.limit(0), {})):
+        kept = rows
+        for _, stage in P.STAGES[:-1]:
+            kept = stage(spark, kept, str(tmp_path)).checkpoint()
+            assert kept.columns == rows.columns
+        ids = {r["doc_id"] for r in kept.collect()}
+        assert ids <= {r["doc_id"] for r in rows.collect()} and (not gone or not ids & {4})
+        assert {r["doc_id"] for r in P.STAGES[-1][1](spark, kept, str(tmp_path)).collect()} == ids
