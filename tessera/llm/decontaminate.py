@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.align import smith_waterman
-from tessera.llm.textgrid import Words, chunks
+from tessera.llm.textgrid import Words, chunks, slices
 
 NGRAM = 4
 COVERAGE = 0.6
@@ -85,7 +85,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
             small = np.zeros(1 << 20, bool)
             small[distinct >> np.uint64(44)] = True
             sized.append((size, gram_hash, gram_item, gram_place, distinct, small))
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             for a, b in chunks(texts):
                 w = Words(texts[a:b], fold=True)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tessera.llm.align import smith_waterman
-from tessera.llm.textgrid import Words, chunks
+from tessera.llm.textgrid import Words, chunks, slices
 
 GRAM = 3
 WINDOW = 2
@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, templates: dict[str, str], coverage: float) -> DataFr
         return result
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts, rows = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()], []
             for a, b in chunks(texts):
                 rows += rows_of(ids[a:b], texts[a:b])

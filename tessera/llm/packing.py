@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textgrid import chunks
+from tessera.llm.textgrid import chunks, release_memory
 from tessera.llm.tokens import encoder
 
 SIZE = 2048
@@ -133,6 +133,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, group_cha
                     tokens += [x + end for x in enc.ids(texts[a:b])]
         if ids:
             yield group()
+        release_memory()
 
     row = F.xxhash64("doc_id", "text", F.spark_partition_id())
     return docs.select("doc_id", "text", row.alias("h")).repartition("h").select("doc_id", "text").mapInArrow(run, SCHEMA)

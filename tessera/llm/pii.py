@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.textgrid import slices
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_DOCS = 1500
 STEPS = 600
@@ -282,7 +284,7 @@ def find(docs: DataFrame, model: dict | None) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch["text"].to_pylist():
                 base, added = all_spans(text or "", model)
@@ -301,7 +303,7 @@ def redact(docs: DataFrame, model: dict | None) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch["text"].to_pylist():
                 base, added = all_spans(text or "", model)

@@ -176,6 +176,14 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "8MB"):
             spark.conf.set(k, v)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches of so few rows that their texts fit in memory as strings; at the end, freed memory goes back."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    release_memory()
+
+
 def release_memory() -> None:
     """Give the freed memory of this worker back, as it waits for other tasks without ending."""
     import ctypes

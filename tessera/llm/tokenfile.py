@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textgrid import chunks
+from tessera.llm.textgrid import chunks, release_memory
 from tessera.llm.tokens import encoder
 
 BLOCK = 4096
@@ -146,6 +146,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, shard_
                     tokens += [x + end for x in enc.ids(texts[a:b])]
         if ids:
             yield shard()
+        release_memory()
 
     chars = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1)).first()[0] or 0
     n = max(1, min(chars, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-chars // shard_chars))
