@@ -42,7 +42,7 @@ KEY_BITS = 50
 BLOCK_CHARS = 24_000_000
 NO_ID = 1 << 62  # a flag beside the counts of keys
 SALTS = 16
-MEMBERS_A_TASK = 25_000
+SETS_A_TASK = 1_000
 
 _lows = [1]
 while _lows[-1] < 1 << 40:
@@ -303,10 +303,10 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFram
     taken = own.filter(F.col("before") + F.col("unshared") <= F.floor(F.col("n") * 2 / 7) + F.floor(F.col("n") / 16))
     taken = taken.withColumn("need", F.sum("times").over(by_sig) + F.col("unshared")).select("bucket", "sig", "need")
     member = each.join(labels, "sig").join(taken, ["bucket", "sig"], "left")
-    open_ = member.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("need").alias("any"), F.count("*").alias("k")).filter("c0 <> c1 and any is not null")
-    # buckets of one class go to few tasks, as many as their members need, which add up what these say of a pair
-    load = open_.groupBy("c0").agg(F.sum("k").alias("load"))
-    open_ = open_.join(load, "c0").select("bucket", "c0", F.pmod(F.xxhash64("bucket"), 1 + F.floor(F.col("load") / MEMBERS_A_TASK)).alias("part"))
+    open_ = member.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.max("need").alias("any")).filter("c0 <> c1 and any is not null")
+    # buckets of one class go to few tasks, as many as it has sets for, which add up what these say of a pair
+    parts = labels.groupBy(F.col("component").alias("c0")).agg((1 + F.floor(F.count("*") / SETS_A_TASK)).alias("parts"))
+    open_ = open_.join(parts, "c0").select("bucket", "c0", F.pmod(F.xxhash64("bucket"), "parts").alias("part"))
     groups = member.join(open_, "bucket").join(_sketches(sets, reps), ["sig", "g"]).repartition("c0", "part").groupBy("c0", "part", "bucket").agg(
         F.first("times").alias("times"), F.array_sort(F.collect_list(F.struct("n", "sig", "component", F.coalesce("need", F.lit(-1)).alias("need"), "sketch"))).alias("m")
     )
