@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, release_memory, small_batches, unpack_ints, unpack_sorted
+from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, release_memory, release_shuffles, small_batches, unpack_ints, unpack_sorted
 
 SHINGLE = 5
 FLUSH_KEYS = 700_000
@@ -359,7 +359,9 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """All that runs Python is done when this returns."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(128, -(-chars // BLOCK_CHARS))
+    spark = docs.sparkSession
     met = _meet(_meet_inputs(docs, blocks)).checkpoint()
+    release_shuffles(spark)
     keys, none = F.col("own").bitwiseAND(NO_ID - 1), F.col("own").bitwiseAND(NO_ID) > 0
     rows = met.filter("kind = 0").select("id", none.alias("none"), "sig", "n", keys.alias("keys"))
     reps = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("none", "id")).alias("rep"), F.first("n").alias("n"), F.max("keys").alias("keys"))
@@ -368,6 +370,7 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     reps = reps.withColumn("own", F.col("keys").bitwiseAND((1 << 32) - 1)).withColumn("after", F.shiftright("keys", 32)).withColumn("band", band_of).drop("keys").checkpoint()
     buckets = _possible(met.filter("kind = 1").groupBy("g", "members").agg(F.sum("times").alias("times")), reps).checkpoint()
 
+    release_shuffles(spark)
     sizes = reps.select("sig", "n")
     each = buckets.select(F.xxhash64("g", "members").alias("bucket"), "g", F.size("members").alias("size"), "times", F.explode("members").alias("sig"))
     each = each.join(_centrality(each, reps), ["sig", "g"]).checkpoint()
@@ -384,13 +387,16 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     star_pairs = stars(sizes.withColumn("component", F.col("sig")))
     wanted = buckets.select(F.explode("members").alias("sig")).distinct().join(reps, "sig").select("rep.id", "rep.none", "sig")
     sets = _sets(docs, wanted).checkpoint()
+    release_shuffles(spark)
     linked = _verified(star_pairs, sets, percent).checkpoint()
     first = components(linked)
+    release_shuffles(spark)
 
     labels = sizes.join(first.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     each = each.drop("centre")
     rest = _crossed(each, reps, labels, sets, percent).join(star_pairs, ["u", "v"], "left_anti")
     final = components(linked.unionByName(_verified(rest, sets, percent)))
+    release_shuffles(spark)
     ranked = reps.select("sig", "rep").join(final.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     # the smallest id of a class goes to each of its sets; classes may be large, so their keys are salted
     least = ranked.groupBy("component").agg(F.min("rep").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -8,6 +8,7 @@ are hashed with BLAKE2b instead.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -184,6 +185,15 @@ def slices(batches, rows: int = 500):
     release_memory()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are done.
+
+    It does so when the driver's JVM collects their plans, which with a large driver heap may come after the disk is full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release_memory() -> None:
     """Give the freed memory of this worker back, as it waits for other tasks without ending."""
     import ctypes
