@@ -11,6 +11,12 @@
    all; a bit for each window sent comes back.
 3. Groups apply the bits and cover the words.
 
+A group sends at most `fan_out` rows for each row of the sketch. Where the input needs more blocks than that,
+both exchanges go over two levels: groups cut their cells and keys into about the root of
+the number of blocks, bundles of about the root of the number of groups merge these
+(a sketch of the bundle; the smallest id in the bundle) and cut them into blocks, and answers come
+back the same way. So rows grow with the power 1.5 of the input instead of its square, and results are the same.
+
 Nothing but documents moves whole, and a window, however frequent, is one entry
 for each group. Words are byte runs other than space and 0x09-0x0D. Null and empty texts
 have no words; a null doc_id counts as the largest int64; rows with one id don't
@@ -19,6 +25,7 @@ remove each other's words. An empty table gives no rows; extra columns are ignor
 
 from __future__ import annotations
 
+import math
 from itertools import compress
 
 import numpy as np
@@ -32,6 +39,7 @@ DEPTH = 2
 CELLS_A_WINDOW = 8
 GROUP_CHARS = 12_000_000
 BLOCK_CHARS = 24_000_000
+FAN_OUT = 2048
 LAST = (1 << 63) - 1  # where a null id stands among ids
 OUT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -41,9 +49,42 @@ def _cells(h: np.ndarray, row: int, width_bits: int) -> np.ndarray:
         return mix(h + np.uint64(0x9E3779B97F4A7C15 * (row + 1) & (1 << 64) - 1)) >> np.uint64(64 - width_bits)
 
 
-def _cuts(blocks: int, bits: int) -> np.ndarray:
-    """Where blocks of the range of `bits` bits begin, without the first."""
-    return np.array([-(-(b << bits) // blocks) for b in range(1, blocks)], np.uint64)
+def _cut(x: np.ndarray, blocks: int, bits: int, begin: int = 0, end: int | None = None) -> list[tuple[int, int, int]]:
+    """(block, from, to) of the blocks of the range of `bits` bits, of those from `begin` to `end`, that hold any of the ascending values."""
+    end = blocks if end is None else end
+    edge = [0, *np.searchsorted(x, np.array([-(-(b << bits) // blocks) for b in range(begin + 1, end)], np.uint64)), len(x)]
+    return [(begin + i, edge[i], edge[i + 1]) for i in range(end - begin) if edge[i] < edge[i + 1]]
+
+
+def _merged(sketches: list[np.ndarray]):
+    """Distinct cells of some sketches, which of them are repeated, and where each sketch's cells stand among them."""
+    value = np.concatenate(sketches)
+    cells, inverse, counts = np.unique(value >> np.uint64(1), return_inverse=True, return_counts=True)
+    hot = counts > 1
+    hot[inverse[(value & np.uint64(1)).astype(bool)]] = True
+    return cells, hot, np.split(inverse, np.cumsum([len(x) for x in sketches])[:-1])
+
+
+def _least(table):
+    """Distinct keys of some entries with their smallest ids; all ids, and where each row's entries stand among the keys."""
+    parts = [unpack_sorted(x) for x in table["h1"].to_pylist()]
+    h1, h2 = np.concatenate(parts), np.frombuffer(b"".join(table["h2"].to_pylist()), np.uint64)
+    ids = np.concatenate([unpack_ints(x) for x in table["least"].to_pylist()]).view(np.int64)
+    order = np.lexsort((ids, h2, h1))
+    a, b = h1[order], h2[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    at = np.empty(len(h1), np.int64)
+    at[order] = np.cumsum(new) - 1
+    edge = np.cumsum([len(p) for p in parts])[:-1]
+    return a[new], b[new], ids[order][new], np.split(ids, edge), np.split(at, edge)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + np.packbits(x).tobytes()
+
+
+def _flags(b: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8, offset=8), count=int.from_bytes(b[:8], "little")).astype(bool)
 
 
 def _ordered(table):
@@ -62,13 +103,16 @@ def _parts(texts, size: int):
         yield a, w, at, h
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, fan_out: int = FAN_OUT) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS))
     blocks = max(16, -(-chars // BLOCK_CHARS))
+    tops = blocks if blocks <= fan_out else math.isqrt(blocks - 1) + 1
+    inner = -(-blocks // tops)
+    blocks, bundles = tops * inner, math.isqrt(groups - 1) + 1
     width = max(16, (CELLS_A_WINDOW * chars // 6).bit_length())
     some = docs.filter("text is not null and text <> ''")
     keyed = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"))
@@ -91,31 +135,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
             many = np.logical_or.reduceat(other, first) if len(c) else other
             c = c[first]
             value = c << np.uint64(1) | many.astype(np.uint64)
-            edge = [0, *np.searchsorted(c, _cuts(blocks, width)), len(c)]
-            for b in range(blocks):
-                if edge[b] < edge[b + 1]:
-                    out["block"].append(row * blocks + b)
-                    out["g"].append(g)
-                    out["cells"].append(pack_sorted(value[edge[b] : edge[b + 1]]))
+            for b, x, y in _cut(c, tops, width):
+                out["block"].append(row * tops + b)
+                out["g"].append(g)
+                out["cells"].append(pack_sorted(value[x:y]))
         return pa.table({"block": pa.array(out["block"], pa.int64()), "g": pa.array(out["g"], pa.int64()), "cells": pa.array(out["cells"], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(x) for x in table["cells"].to_pylist()]
-        value = np.concatenate(parts)
-        c, many = value >> np.uint64(1), (value & np.uint64(1)).astype(bool)
-        unique, inverse, counts = np.unique(c, return_inverse=True, return_counts=True)
-        hot = counts > 1
-        hot[inverse[many]] = True
-        flags = hot[inverse]
-        edge, sent = np.cumsum([0, *map(len, parts)]), []
-        for i in range(len(parts)):
-            sent.append(pack_sorted(c[edge[i] : edge[i + 1]][flags[edge[i] : edge[i + 1]]]))
-        return pa.table({"g": table["g"], "block": table["block"], "data": pa.array(sent, pa.binary())})
+        cells, hot, places = _merged([unpack_sorted(x) for x in table["cells"].to_pylist()])
+        return pa.table({"g": table["g"], "block": table["block"], "data": pa.array([pack_sorted(cells[at[hot[at]]]) for at in places], pa.binary())})
+
+    def merge_bundle(table: pa.Table) -> pa.Table:
+        cells, hot, _ = _merged([unpack_sorted(x) for x in table["cells"].to_pylist()])
+        row, top = divmod(table["block"][0].as_py(), tops)
+        value = cells << np.uint64(1) | hot.astype(np.uint64)
+        cut = _cut(cells, blocks, width, top * inner, (top + 1) * inner)
+        out = {"block": pa.array([row * blocks + b for b, _, _ in cut], pa.int64()), "g": pa.array([table["bundle"][0].as_py()] * len(cut), pa.int64())}
+        return pa.table(out | {"cells": pa.array([pack_sorted(value[x:y]) for _, x, y in cut], pa.binary())})
+
+    def answer_cells(left: pa.Table, right: pa.Table) -> pa.Table:
+        hot = np.sort(np.concatenate([unpack_sorted(x) for x in right["data"].to_pylist()] or [np.zeros(0, np.uint64)]))
+        sent = [np.intersect1d(unpack_sorted(x) >> np.uint64(1), hot, assume_unique=True) for x in left["cells"].to_pylist()]
+        return pa.table({"g": left["g"], "block": left["block"], "data": pa.array(map(pack_sorted, sent), pa.binary())})
 
     def entries(texts, ids, info):
         """Windows that are estimated repeated: (text, word in its chunk, entry), then the entries' keys and smallest ids."""
         rows = sorted(zip(info["block"].to_pylist(), info["data"].to_pylist(), strict=True))
-        tables = [np.concatenate([unpack_sorted(x) for b, x in rows if b // blocks == r] or [np.zeros(0, np.uint64)]) for r in range(depth)]
+        tables = [np.concatenate([unpack_sorted(x) for b, x in rows if b // tops == r] or [np.zeros(0, np.uint64)]) for r in range(depth)]
         h1s, h2s, ds, words, places = [], [], [], [], []
         for a, w, at, h in _parts(texts, window):
             keep = np.ones(len(h), bool)
@@ -142,33 +188,34 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
         first = np.flatnonzero(new)
         return words, places, d, entry, h1o[first], h2o[first], ids[d[order[first]]] if len(first) else np.zeros(0, np.int64)
 
-    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+    def keys_table(g, h1, h2, least, cut) -> pa.Table:
+        rows = [(b, g, pack_sorted(h1[x:y]), h2[x:y].tobytes(), pack_ints(least[x:y].view(np.uint64))) for b, x, y in cut]
         schema = pa.schema([("block", pa.int64()), ("g", pa.int64()), ("h1", pa.binary()), ("h2", pa.binary()), ("least", pa.binary())])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
+            return keys_table(0, None, None, None, [])
         ids, texts, _ = _ordered(left)
         *_, h1, h2, least = entries(texts, ids, right)
-        edge, g, rows = [0, *np.searchsorted(h1, _cuts(blocks, 64)), len(h1)], left["g"][0].as_py(), []
-        for b in range(blocks):
-            x, y = edge[b], edge[b + 1]
-            if x < y:
-                rows.append((b, g, pack_sorted(h1[x:y]), h2[x:y].tobytes(), pack_ints(least[x:y].view(np.uint64))))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
+        return keys_table(left["g"][0].as_py(), h1, h2, least, _cut(h1, tops, 64))
 
     def decide(table: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(x) for x in table["h1"].to_pylist()]
-        h1, h2 = np.concatenate(parts), np.frombuffer(b"".join(table["h2"].to_pylist()), np.uint64)
-        least = np.concatenate([unpack_ints(x) for x in table["least"].to_pylist()]).view(np.int64)
-        order = np.lexsort((least, h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        run = np.cumsum(new) - 1
-        smaller = np.zeros(len(h1), bool)
-        smaller[order] = least[order][np.flatnonzero(new)][run] < least[order]
-        edge = np.cumsum([0, *map(len, parts)])
-        bits = [len(p).to_bytes(8, "little") + np.packbits(smaller[edge[i] : edge[i + 1]]).tobytes() for i, p in enumerate(parts)]
+        _, _, least, ids, places = _least(table)
+        bits = [_bits(least[at] < x) for x, at in zip(ids, places, strict=True)]
         return pa.table({"g": table["g"], "block": pa.array([-1 - b for b in table["block"].to_pylist()], pa.int64()), "data": pa.array(bits, pa.binary())})
 
+    def decide_bundle(table: pa.Table) -> pa.Table:
+        h1, h2, least, _, _ = _least(table)
+        top = table["block"][0].as_py()
+        return keys_table(table["bundle"][0].as_py(), h1, h2, least, _cut(h1, blocks, 64, top * inner, (top + 1) * inner))
+
+    def answer_keys(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, _, least, ids, places = _least(left)
+        outside = np.concatenate([_flags(x) for _, x in sorted(zip(right["fine"].to_pylist(), right["data"].to_pylist(), strict=True))])
+        bits = [_bits(outside[at] | (least[at] < x)) for x, at in zip(ids, places, strict=True)]
+        return pa.table({"g": left["g"], "block": pa.array([-1 - b for b in left["block"].to_pylist()], pa.int64()), "data": pa.array(bits, pa.binary())})
+
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         if not left.num_rows:
@@ -180,7 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
         words, places, d, entry, _, _, least = entries(texts, ids, info)
         bits = [np.zeros(0, bool)]
         for b, x in sorted(((-1 - b, x) for b, x in zip(blocks_in.tolist(), right["data"].to_pylist(), strict=True) if b < 0)):
-            bits.append(np.unpackbits(np.frombuffer(x, np.uint8, offset=8), count=int.from_bytes(x[:8], "little")).astype(bool))
+            bits.append(_flags(x))
         elsewhere = np.concatenate(bits)
         gone = elsewhere[entry] | (least[entry] < ids[d]) if len(entry) else np.zeros(0, bool)
         at, out = 0, ([], [], [], [])
@@ -201,8 +248,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH) ->
                 out[3].append(b" ".join(split if left_over == y - x else compress(split, k)).decode("utf-8", "replace"))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-    cells = keyed.groupBy("g").applyInArrow(sketch, "block long, g long, cells binary")
-    flags = cells.groupBy("block").applyInArrow(merge, "g long, block long, data binary")
-    sent = keyed.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(send, "block long, g long, h1 binary, h2 binary, least binary")
-    bits = sent.groupBy("block").applyInArrow(decide, "g long, block long, data binary")
+    def exchange(rows: DataFrame, merge, merge_bundle, answer, columns: str) -> DataFrame:
+        """Rows of groups through blocks and back, in bundles where there are more blocks than a group sends rows."""
+        if inner == 1:
+            return rows.groupBy("block").applyInArrow(merge, "g long, block long, data binary")
+        rows = rows.withColumn("bundle", F.pmod("g", F.lit(bundles)))
+        over = rows.groupBy("bundle", "block").applyInArrow(merge_bundle, columns)
+        back = over.groupBy("block").applyInArrow(merge, "g long, block long, data binary")
+        back = back.withColumn("fine", F.when(F.col("block") < 0, -1 - F.col("block")).otherwise(F.col("block")))
+        top = F.floor(F.col("fine") / blocks) * tops + F.floor(F.pmod("fine", F.lit(blocks)) / inner)
+        back = back.select(F.col("g").alias("bundle"), top.alias("block"), "fine", "data")
+        return rows.groupBy("bundle", "block").cogroup(back.groupBy("bundle", "block")).applyInArrow(answer, "g long, block long, data binary")
+
+    sketches = keyed.groupBy("g").applyInArrow(sketch, "block long, g long, cells binary")
+    flags = exchange(sketches, merge, merge_bundle, answer_cells, "block long, g long, cells binary")
+    keys = "block long, g long, h1 binary, h2 binary, least binary"
+    sent = keyed.groupBy("g").cogroup(flags.groupBy("g")).applyInArrow(send, keys)
+    bits = exchange(sent, decide, decide_bundle, answer_keys, keys)
     return keyed.groupBy("g").cogroup(flags.unionByName(bits).groupBy("g")).applyInArrow(cover, OUT).unionByName(blank)

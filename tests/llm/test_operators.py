@@ -86,6 +86,17 @@ def test_substring_equals_brute_force(spark, seed):
     assert sorted(map(tuple, substring.remove_repeats(frame(spark, rows)).collect())) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("block_chars", [substring.BLOCK_CHARS, 700])
+def test_substring_over_two_levels(spark, monkeypatch, block_chars):
+    """More blocks than a group may send rows: the same results."""
+    monkeypatch.setattr(substring, "BLOCK_CHARS", block_chars)
+    rows = [*made_up(seed=8), *((100 + i, " ".join(f"common{k}" for k in range(20))) for i in range(40)), (None, " ".join(f"common{k}" for k in range(20)))]
+    got = sorted(map(tuple, substring.remove_repeats(frame(spark, rows), fan_out=5).collect()), key=str)
+    assert got == sorted(map(tuple, substring.remove_repeats(frame(spark, rows)).collect()), key=str)
+    assert sorted(r for r in got if r[0] is not None) == brute_repeats(rows[:-1])
+    assert substring.remove_repeats(frame(spark, []), fan_out=5).count() == 0
+
+
 def test_jaccard_equals_brute_force(spark):
     rows = [(i, t.upper() if i % 7 == 0 else t) for i, t in made_up(n=120, seed=3)] + [(200 + i, "a b c d") for i in range(3)] + [(300, "")]
     assert sorted(map(tuple, jaccard.near_duplicates(frame(spark, rows)).collect())) == brute_classes(rows)
