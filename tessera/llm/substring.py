@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, fa
     blocks, bundles = tops * inner, math.isqrt(groups - 1) + 1
     width = max(16, (CELLS_A_WINDOW * chars // 6).bit_length())
     some = docs.filter("text is not null and text <> ''")
-    keyed = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"))
+    keyed = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g")).repartition(groups, "g")
     blank = docs.filter("text is null or text = ''").select("doc_id", *(F.lit(x).cast(t).alias(c) for c, t, x in (("n_words", "long", 0), ("n_removed", "long", 0), ("kept", "string", ""))))
 
     def sketch(table: pa.Table) -> pa.Table:
@@ -251,10 +251,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, fa
     def exchange(rows: DataFrame, merge, merge_bundle, answer, columns: str) -> DataFrame:
         """Rows of groups through blocks and back, in bundles where there are more blocks than a group sends rows."""
         if inner == 1:
-            return rows.groupBy("block").applyInArrow(merge, "g long, block long, data binary")
+            return rows.repartition(depth * blocks, "block").groupBy("block").applyInArrow(merge, "g long, block long, data binary")
         rows = rows.withColumn("bundle", F.pmod("g", F.lit(bundles)))
+        rows = rows.repartition(depth * blocks, "bundle", "block")
         over = rows.groupBy("bundle", "block").applyInArrow(merge_bundle, columns)
-        back = over.groupBy("block").applyInArrow(merge, "g long, block long, data binary")
+        back = over.repartition(depth * blocks, "block").groupBy("block").applyInArrow(merge, "g long, block long, data binary")
         back = back.withColumn("fine", F.when(F.col("block") < 0, -1 - F.col("block")).otherwise(F.col("block")))
         top = F.floor(F.col("fine") / blocks) * tops + F.floor(F.pmod("fine", F.lit(blocks)) / inner)
         back = back.select(F.col("g").alias("bundle"), top.alias("block"), "fine", "data")
