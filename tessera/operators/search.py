@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar
 
 BLOCK = 512
-MAX_PARTITIONS = 64
+PARTITIONS = 64
+ROWS_A_PARTITION = 200_000
 MARGIN = 1e-9
 
 
@@ -46,7 +47,8 @@ def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=names)
 
     rows = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    n = min(MAX_PARTITIONS, max(1, -(-rows.count() // BLOCK)))
+    count = rows.count()
+    n = max(1, min(PARTITIONS, -(-count // BLOCK)), -(-count // ROWS_A_PARTITION))
     return rows.repartition(n).mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
 
 
@@ -117,21 +119,42 @@ def _nearest(q, c, k: int):
     return i, j, score[i, j], known[i, j]
 
 
+def _best(queries, vectors, score, known, k: int):
+    """The k nearest of each query: unknown scores last, NaN as the largest, ties to the smaller id."""
+    key = np.where(known, np.where(np.isnan(score), -np.inf, -score), np.inf)
+    order = np.lexsort((vectors, key, queries))
+    group = queries[order]
+    order = order[np.arange(len(order)) - np.searchsorted(group, group) < k]
+    return queries[order], vectors[order], score[order], known[order]
+
+
 def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest rows of each query by cosine, for any number of queries.
 
-    Every block of queries meets every block of the corpus; only the k nearest
-    rows of a query in a block go on. A score is null, and ranked last, if a vector is null,
+    Every block of queries meets every block of the corpus; of all blocks of one
+    partition, only the k nearest rows of a query go on. A score is null, and ranked last, if a vector is null,
     has a null element, is zero, or is of another width.
     """
     import pyarrow as pa
 
+    def table(queries, vectors, score, known):
+        return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(vectors), pa.array(score, pa.float64(), mask=~known)], names=["query_id", "vec_id", "score"])
+
     def run(batches):
+        block, q, best = None, None, None
         for batch in batches:
             for n in range(batch.num_rows):  # a pair of blocks at a time as Python objects
-                q, c = (_unpack(*(batch[f"{x}_{y}"][n].as_py() for y in ("ids", "widths", "values"))) for x in "qc")
+                one = tuple(batch[f"q_{y}"][n].as_py() for y in ("ids", "widths", "values"))
+                if one != block:  # the blocks of the corpus follow one another under a block of queries
+                    if best:
+                        yield table(*best)
+                    block, q, best = one, _unpack(*one), None
+                c = _unpack(*(batch[f"c_{y}"][n].as_py() for y in ("ids", "widths", "values")))
                 i, j, score, known = _nearest(q, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q[0][i]), pa.array(c[0][j]), pa.array(score, pa.float64(), mask=~known)], names=["query_id", "vec_id", "score"])
+                found = q[0][i], c[0][j], score, known
+                best = _best(*(np.concatenate(x) for x in zip(best, found, strict=True)), k) if best else found
+        if best:
+            yield table(*best)
 
     pairs = _blocks(queries, "q").crossJoin(_blocks(corpus, "c"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -35,9 +35,11 @@ def test_phone_with_line_break(spark):
     assert [r[0] for r in rows] == [False, True]
 
 
-def test_more_queries_than_a_thousand(spark):
+@pytest.mark.parametrize("partitions", [search.PARTITIONS, 1])
+def test_more_queries_than_a_thousand(spark, monkeypatch, partitions):
     import numpy as np
 
+    monkeypatch.setattr(search, "PARTITIONS", partitions)
     rng = np.random.default_rng(3)
     v = rng.integers(-3, 4, (1300, 4)).astype(float)  # many equal vectors, which tie
     v[(v == 0).all(axis=1)] = 1
