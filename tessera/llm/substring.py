@@ -37,7 +37,7 @@ from tessera.llm.textgrid import Words, chunks, mix, pack_ints, pack_sorted, unp
 WINDOW = 13
 DEPTH = 2
 CELLS_A_WINDOW = 8
-GROUP_CHARS = 12_000_000
+GROUP_CHARS = 4_000_000
 BLOCK_CHARS = 24_000_000
 FAN_OUT = 2048
 LAST = (1 << 63) - 1  # where a null id stands among ids
@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, fa
 
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS))
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // GROUP_CHARS))
     blocks = max(16, -(-chars // BLOCK_CHARS))
     tops = blocks if blocks <= fan_out else math.isqrt(blocks - 1) + 1
     inner = -(-blocks // tops)
