@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, licenses, neighbours, oracles, packing, pii, quality, revisits, substring, tokenfile
+from tessera.llm import bestfit, decontaminate, divergence, jaccard, licenses, neighbours, oracles, packing, pii, quality, ranking, revisits, substring, tokenfile
 from tessera.llm.tokens import vocabulary_path
 
 
@@ -64,6 +64,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_licenses": op2_licenses,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
     "op10_jaccard": op10_jaccard,
+    "op11_bestfit": op11_bestfit,
+    "op12_ranking": op12_ranking,
+    "op13_divergence": op13_divergence,
 }
 
 SQL: dict[str, str] = oracles.SQL

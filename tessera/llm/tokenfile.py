@@ -93,11 +93,12 @@ class Shard:
         return self.ids(int(self.bounds[i]), int(self.bounds[i + 1]))
 
 
-def shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, name: str = "tokens") -> str:
+    """A new folder in the one that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _store(folder: str):

@@ -703,7 +703,7 @@ def test_digests_of_substring_query(spark):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = c.execute(registry.SQL[name])
     columns = [x[0] for x in want.description]
