@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import scalar
 from tessera.operators import search
 
 
 def store(vectors: DataFrame, folder: str, width: int) -> DataFrame:
-    """Appends vec_id, embedding, folder and other metadata by `folder`; returns the rows of another width, which aren't stored."""
+    """Appends vec_id, embedding, folder and other metadata in order of `folder`; returns the rows of another width, which aren't stored.
+
+    Files hold ranges of folders, whose statistics let a search in one folder pass over the others; a large folder has several files.
+    """
     good = (F.size("embedding") == width) & F.col("embedding").isNotNull()
-    vectors.filter(good).write.mode("append").partitionBy("folder").parquet(folder)
+    ranged = vectors.filter(good).repartitionByRange("folder", "vec_id").sortWithinPartitions("folder", "vec_id")
+    ranged.write.mode("append").parquet(folder)
     return vectors.filter(~F.coalesce(good, F.lit(False)))
 
 
@@ -20,7 +25,7 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def find(index: DataFrame, query: DataFrame, max_results: int, folder: str | None = None) -> DataFrame:
-    """The nearest rows to the only row of `query`; within a folder and what is below it, if one is named (a filter on partitions)."""
+    """The nearest rows to the only row of `query`; within a folder and what is below it, if one is named (a filter that is pushed to the scan)."""
     if folder is not None:
         inside = folder.rstrip("\\/")
         index = index.filter((F.col("folder") == inside) | F.col("folder").startswith(inside + "\\") | F.col("folder").startswith(inside + "/"))
@@ -53,4 +58,4 @@ def changes(files: DataFrame, index: DataFrame, head: int = 65536) -> DataFrame:
 
 def facts(files: DataFrame, head: int = 65536) -> DataFrame:
     """What an index keeps of a file: path, hash of its head, length and time of change."""
-    return files.select("path", F.sha2(F.substring("content", 1, head), 256).alias("fingerprint"), F.octet_length("content").cast("long").alias("size"), "modified")
+    return files.select("path", scalar.head_fingerprint(F.col("content"), head).alias("fingerprint"), F.octet_length("content").cast("long").alias("size"), "modified")

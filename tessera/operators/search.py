@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalar
 
 BLOCK = 512
-PARTITIONS = 64
-ROWS_A_PARTITION = 200_000
+QUERY_BYTES = 32_000_000
 MARGIN = 1e-9
 
 
@@ -18,38 +17,43 @@ def top_k(corpus: DataFrame, query: DataFrame, k: int, exclude_self: bool = True
     """The k rows nearest to the only row of `query` by cosine, with percent and band; more rows are an error, batch_top_k takes them."""
     one = F.when(F.count("*").over(Window.partitionBy()) > 1, F.raise_error(F.lit("top_k takes one query: use batch_top_k"))).otherwise(F.lit(True))
     query = query.limit(2).withColumn("one", one).filter("one")
-    q = F.broadcast(query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    q = F.broadcast(query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), scalar.norm(F.col("embedding")).alias("q_norm")))
     rows = corpus.join(q, F.col("vec_id") != F.col("query_id") if exclude_self else F.lit(True))
-    score = scalar.cosine(F.col("embedding"), F.col("q"))
-    return (
-        rows.select("query_id", "vec_id", score.alias("score"))
-        .orderBy(F.desc("score"), "vec_id")
-        .limit(k)
-        .withColumn("percent", scalar.percent(F.col("score")))
-        .withColumn("band", scalar.similarity_band(F.col("percent")))
-    )
+    score = scalar.dot(F.col("embedding"), F.col("q")) / (scalar.norm(F.col("embedding")) * F.col("q_norm"))
+    rows = rows.select("query_id", "vec_id", score.alias("score")).withColumn("percent", scalar.percent(F.col("score")))
+    # nothing but one projection may stand above the limit, or Spark sorts the whole corpus instead of taking the best of each task
+    return rows.withColumn("band", scalar.similarity_band(F.col("percent"))).orderBy(F.desc("score"), "vec_id").limit(k)
+
+
+def _rows(rows: DataFrame) -> DataFrame:
+    return rows.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+
+
+def _packed(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block of rows by id: ids, widths (-1: no vector, or one with null elements) and values."""
+    part = sorted(zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist(), strict=True), key=lambda r: r[0])
+    vectors = [None if v is None or None in v else v for _, v in part]
+    widths = np.array([-1 if v is None else len(v) for v in vectors], np.int64)
+    return np.array([r[0] for r in part], np.int64), widths, np.concatenate([np.zeros(0), *(np.array(v, float) for v in vectors if v)])
+
+
+def _slices(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK):
+            yield batch.slice(i, BLOCK)
 
 
 def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
-    """Blocks of at most BLOCK rows by id: ids, widths (-1: no vector, or one with null elements) and values as bytes."""
+    """Blocks of at most BLOCK rows as bytes."""
     import pyarrow as pa
 
     names = [f"{prefix}_{c}" for c in ("ids", "widths", "values")]
 
     def pack(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, BLOCK):
-                part = sorted(zip(batch["vec_id"][i : i + BLOCK].to_pylist(), batch["embedding"][i : i + BLOCK].to_pylist(), strict=True), key=lambda r: r[0])
-                vectors = [None if v is None or None in v else v for _, v in part]
-                widths = np.array([-1 if v is None else len(v) for v in vectors], np.int64)
-                values = np.concatenate([np.zeros(0), *(np.array(v, float) for v in vectors if v)])
-                data = (np.array([r[0] for r in part], np.int64), widths, values)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in data], names=names)
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in _packed(part)], names=names)
 
-    rows = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    count = rows.count()
-    n = max(1, min(PARTITIONS, -(-count // BLOCK)), -(-count // ROWS_A_PARTITION))
-    return rows.repartition(n).mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
+    return _rows(rows).mapInArrow(pack, ", ".join(f"{c} binary" for c in names))
 
 
 def _unpack(ids: bytes, widths: bytes, values: bytes):
@@ -128,18 +132,49 @@ def _best(queries, vectors, score, known, k: int):
     return queries[order], vectors[order], score[order], known[order]
 
 
-def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _bytes(rows: DataFrame) -> int:
+    """About what blocks of these rows take."""
+    n, values = rows.agg(F.count("*"), F.sum(F.greatest(F.size("embedding"), F.lit(0)))).first()
+    return 16 * n + 8 * (values or 0)
+
+
+def _table(queries, vectors, score, known):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(vectors), pa.array(score, pa.float64(), mask=~known)], names=["query_id", "vec_id", "score"])
+
+
+def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """The k nearest rows of each query by cosine, for any number of queries.
 
-    Every block of queries meets every block of the corpus; of all blocks of one
-    partition, only the k nearest rows of a query go on. A score is null, and ranked last, if a vector is null,
-    has a null element, is zero, or is of another width.
+    Up to `query_bytes` of queries are sent to the tasks, and each task scans its part of
+    the corpus once, in blocks: the corpus is neither shuffled nor broadcast. More queries are written as blocks, as is the corpus, and
+    every pair of partitions of the two is a task. Either way only a task's k nearest rows of a query go on.
+    A score is null, and ranked last, if a vector is null, has a null element, is zero, or is of another width.
     """
-    import pyarrow as pa
+    near = _scanned(corpus, queries, k) if _bytes(queries) <= query_bytes else _crossed(corpus, queries, k)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
+def _scanned(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    blocks = corpus.sparkSession.sparkContext.broadcast([tuple(bytes(x) for x in r) for r in _blocks(queries, "q").collect()])
+
+    def run(batches):
+        asked = [_unpack(*b) for b in blocks.value]
+        best = [None] * len(asked)
+        for part in _slices(batches):
+            c = _unpack(*(x.tobytes() for x in _packed(part)))
+            for b, q in enumerate(asked):
+                i, j, score, known = _nearest(q, c, k)
+                found = q[0][i], c[0][j], score, known
+                best[b] = _best(*(np.concatenate(x) for x in zip(best[b], found, strict=True)), k) if best[b] else found
+        yield from (_table(*b) for b in best if b)
 
-    def table(queries, vectors, score, known):
-        return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(vectors), pa.array(score, pa.float64(), mask=~known)], names=["query_id", "vec_id", "score"])
+    return _rows(corpus).mapInArrow(run, "query_id long, vec_id long, score double")
 
+
+def _crossed(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(batches):
         block, q, best = None, None, None
         for batch in batches:
@@ -147,19 +182,17 @@ def batch_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 one = tuple(batch[f"q_{y}"][n].as_py() for y in ("ids", "widths", "values"))
                 if one != block:  # the blocks of the corpus follow one another under a block of queries
                     if best:
-                        yield table(*best)
+                        yield _table(*best)
                     block, q, best = one, _unpack(*one), None
                 c = _unpack(*(batch[f"c_{y}"][n].as_py() for y in ("ids", "widths", "values")))
                 i, j, score, known = _nearest(q, c, k)
                 found = q[0][i], c[0][j], score, known
                 best = _best(*(np.concatenate(x) for x in zip(best, found, strict=True)), k) if best else found
         if best:
-            yield table(*best)
+            yield _table(*best)
 
-    pairs = _blocks(queries, "q").crossJoin(_blocks(corpus, "c"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    pairs = _blocks(queries, "q").checkpoint().crossJoin(_blocks(corpus, "c").checkpoint())
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def not_indexed(files: DataFrame, index: DataFrame, key: str = "fingerprint") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import search
-from tessera.plans import relational
+from tessera.plans import extended, relational
 from tessera.sources.tables import TABLES, activity_log, register, search_results, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,5 +167,5 @@ def _shared(text: str) -> Query:
     return run
 
 
-QUERIES |= {k: _shared(v) for k, v in (SHARED | relational.SHARED).items()} | relational.QUERIES
-SQL |= relational.SHARED | relational.SQL
+QUERIES |= {k: _shared(v) for k, v in (SHARED | relational.SHARED).items()} | relational.QUERIES | extended.QUERIES
+SQL |= relational.SHARED | relational.SQL | extended.SQL

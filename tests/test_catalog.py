@@ -35,17 +35,16 @@ def test_phone_with_line_break(spark):
     assert [r[0] for r in rows] == [False, True]
 
 
-@pytest.mark.parametrize("partitions", [search.PARTITIONS, 1])
-def test_more_queries_than_a_thousand(spark, monkeypatch, partitions):
+@pytest.mark.parametrize("query_bytes", [search.QUERY_BYTES, 0])
+def test_more_queries_than_a_thousand(spark, query_bytes):
     import numpy as np
 
-    monkeypatch.setattr(search, "PARTITIONS", partitions)
     rng = np.random.default_rng(3)
     v = rng.integers(-3, 4, (1300, 4)).astype(float)  # many equal vectors, which tie
     v[(v == 0).all(axis=1)] = 1
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(1300, None), (1301, [0.0] * 4), (1302, [1.0, 2.0])], "vec_id long, embedding array<double>")
     got = {}
-    for r in search.batch_top_k(rows.filter("vec_id < 1300"), rows, 6).collect():
+    for r in search.batch_top_k(rows.filter("vec_id < 1300").repartition(3), rows.repartition(3), 6, query_bytes).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert len(got) == 1303 and all(x[2] is None for i in (1300, 1301, 1302) for x in got[i])
     plain = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
