@@ -37,11 +37,13 @@ AGREE = 2.0  # the mean of the prior of equal labels at a skip edge
 DIGITS = (0, 0, 19, 15)  # most of a card, most of a phone
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match can begin only where a run of digits does, and no part of a run need be given back: one pass over any text.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_AT_OR_DIGIT = re.compile(r"[0-9@]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
@@ -86,7 +88,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _graph(text: str, base: list[tuple[int, int, int]]):
     """Tokens (start, end), features, base labels, chain edges and skip edges."""
-    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    tokens = [(m.start(), m.end()) for m in _WORD.finditer(text) if _AT_OR_DIGIT.search(text, m.start(), m.end())]
     n = len(tokens)
     labels = np.zeros(n, int)
     spans = sorted((s, e, k) for k, s, e in base)
