@@ -1,7 +1,8 @@
 """Sequence packing: first-fit decreasing by a tournament tree, in randomised groups of documents.
 
 Documents are dealt to tasks by a hash of the whole row and of the input partition
-that holds it, so neither a null id nor a row repeated many times comes to one task alone.
+that holds it, so neither a null id nor a row repeated many times comes to one task alone. A task sorts
+its documents by hash, id and text, so its groups are the same again if it runs again and shuffle blocks come in another order.
 A task takes its documents in groups of about GROUP_CHARS characters, so it never holds more. A group's documents are
 cut into pieces of `size` tokens and one remainder each; full pieces are
 sequences of their own, and remainders go, longest first, to the first open
@@ -136,4 +137,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = SIZE, group_cha
         release_memory()
 
     row = F.xxhash64("doc_id", "text", F.spark_partition_id())
-    return docs.select("doc_id", "text", row.alias("h")).repartition("h").select("doc_id", "text").mapInArrow(run, SCHEMA)
+    dealt = docs.select("doc_id", "text", row.alias("h")).repartition("h").sortWithinPartitions("h", "doc_id", "text")
+    return dealt.select("doc_id", "text").mapInArrow(run, SCHEMA)
