@@ -1,7 +1,7 @@
 """Not-modified revisits of web archives: an as-of join by canonical URL to the latest earlier full response.
 
 A revisit holds no body; it stands for the latest response of its canonical URL
-captured before it, if the validators agree (equal entity tags, or without
+captured before it, if the validators agree (equal entity tags, weak or strong, or without
 tags equal times of last change). The headers that a not-modified answer may
 carry then replace those of the response. One URL may have any number of captures:
 captures are cut into slices of time, so a task gets a slice of a URL; the last
@@ -9,7 +9,9 @@ response of each slice is carried on over the slices in a second pass over
 one row for each URL and slice.
 
 Captures without URL or without time are of no URL or no time: their revisits never resolve, and their responses serve none.
-Ties of time go by record_id; repeated rows resolve each. Null headers are none. Empty tables give no rows; extra columns
+Names of headers are compared and given in lower case; of names that differ in case only, the later in the map counts.
+A weak tag (W/"x") equals a strong one of the same text, as a not-modified answer compares them. URLs stay apart
+that differ in the order of parameters or in percent-encoding. Ties of time go by record_id; repeated rows resolve each. Null headers are none. Empty tables give no rows; extra columns
 are ignored. All of it is DataFrame functions.
 """
 
@@ -36,12 +38,22 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.regexp_replace(host, r"^www\.", ""), path, query)
 
 
+def lowered(headers: Column) -> Column:
+    """The map with its keys in lower case; of equal ones the later. Null for null."""
+    one = lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != F.lower(e["key"])), F.create_map(F.lower(e["key"]), e["value"]))
+    return F.aggregate(F.map_entries(headers), F.create_map().cast("map<string,string>"), one)
+
+
+def _strong(tag: Column) -> Column:
+    return F.regexp_replace(tag, "^[Ww]/", "")
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """Rows of revisits from record_id, url, time (long), kind (response or revisit), headers (map).
 
     Returns record_id, url_key, refers_to, status (resolved, changed, unresolved), headers.
     """
-    headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
+    headers = F.coalesce(lowered(F.col("headers")), F.create_map().cast("map<string,string>"))
     all_ = records.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("time"), "kind", headers.alias("headers"))
     r = all_.filter("url_key is not null and time is not null")
     bounds = r.agg(F.min("time").alias("t0"), F.max("time").alias("t1"), F.count("*").alias("n")).first()
@@ -58,7 +70,7 @@ def resolve(records: DataFrame) -> DataFrame:
     carried = slices.select("url_key", "slice", F.last("last", ignorenulls=True).over(before).alias("carry"))
     out = here.filter("kind = 'revisit'").join(carried, ["url_key", "slice"], "left").withColumn("base", F.coalesce("near", "carry"))
     own, stored = F.col("headers"), F.col("base.full_headers")
-    tag = F.coalesce(own["etag"] == stored["etag"], own["last-modified"] == stored["last-modified"], F.lit(False))
+    tag = F.coalesce(_strong(own["etag"]) == _strong(stored["etag"]), own["last-modified"] == stored["last-modified"], F.lit(False))
     status = F.when(F.col("base").isNull(), "unresolved").when(tag, "resolved").otherwise("changed")
     permitted = F.map_filter(own, lambda k, v: k.isin(PERMITTED))
     kept = F.map_filter(stored, lambda k, v: ~F.map_contains_key(permitted, k))
