@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -100,20 +100,26 @@ def piece_keys(s: np.ndarray, g: int) -> np.ndarray:
 
 def _identified(docs: DataFrame) -> DataFrame:
     """Rows by id and whether it is none; a row without doc_id is known by a hash of its text."""
-    return docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.isnull("doc_id").alias("none"), "text")
+    return docs.select(*row_key(), "text")
+
+
+def row_key() -> list[Column]:
+    """What tells rows apart that differ in doc_id or text: id, none, h."""
+    text = F.xxhash64("text")
+    return [F.coalesce("doc_id", text).alias("id"), F.isnull("doc_id").alias("none"), text.alias("h")]
 
 
 def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
     import pyarrow as pa
 
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary())])
     cuts = np.array([-(-(b << KEY_BITS) // blocks) for b in range(1, blocks)], np.uint64)
 
     def run(batches):
         seen: set[int] = set()
         keys: list[np.ndarray] = []
         owners: list[int] = []
-        ids: list[tuple[int, int, int, int]] = []
+        ids: list[tuple[int, int, int, int, int]] = []
 
         def flush():
             rows = []
@@ -127,19 +133,19 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
                 for b in range(blocks):
                     if edge[b] < edge[b + 1]:
                         used, local = np.unique(o[edge[b] : edge[b + 1]], return_inverse=True)
-                        rows.append((b, 1, pack_sorted(k[edge[b] : edge[b + 1]]), pack_ints(local), sigs[used].tobytes(), None))
+                        rows.append((b, 1, pack_sorted(k[edge[b] : edge[b + 1]]), pack_ints(local), sigs[used].tobytes(), None, None))
             if ids:
                 t = np.array(ids, np.int64)
                 to = t[:, 1].view(np.uint64) % np.uint64(blocks)
                 for b in np.unique(to):
                     x = t[to == b]
-                    rows.append((int(b), 0, x[:, 0].tobytes(), x[:, 1].tobytes(), x[:, 2].tobytes(), x[:, 3].tobytes()))
+                    rows.append((int(b), 0, *(x[:, i].tobytes() for i in range(5))))
             keys.clear(), owners.clear(), ids.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else None
 
         n_keys = 0
         for batch in batches:
-            for doc, none, s in zip(batch["id"].to_pylist(), batch["none"].to_pylist(), _by_rows(batch["text"]), strict=True):
+            for doc, none, h, s in zip(*(batch[x].to_pylist() for x in ("id", "none", "h")), _by_rows(batch["text"]), strict=True):
                 n = len(s)
                 sig = signature(s) if n else 0
                 own = 0
@@ -155,7 +161,7 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
                         keys.append(k)
                         owners.append(sig)
                         n_keys += len(k)
-                ids.append((doc, sig, n, own | NO_ID * none))
+                ids.append((doc, sig, n, own | NO_ID * none, h))
                 if n_keys > FLUSH_KEYS or len(ids) > 200_000:
                     out = flush()
                     n_keys = 0
@@ -166,24 +172,24 @@ def _meet_inputs(docs: DataFrame, blocks: int) -> DataFrame:
             yield out
         release_memory()
 
-    return _identified(docs).mapInArrow(run, "block long, kind int, a binary, b binary, c binary, d binary")
+    return _identified(docs).mapInArrow(run, "block long, kind int, a binary, b binary, c binary, d binary, e binary")
 
 
 def _meet(inputs: DataFrame) -> DataFrame:
     """Rows of documents (kind 0: id, and whether it is none), and of buckets: distinct sets of members (kind 1) with how many keys have them."""
     import pyarrow as pa
 
-    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("g", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("times", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_pylist()
-        col = {c: table[c].to_pylist() for c in "abcd"}
+        col = {c: table[c].to_pylist() for c in "abcde"}
         out = []
         docs = [i for i, k in enumerate(kinds) if k == 0]
         if docs:
-            a, b, c, d = (np.frombuffer(b"".join(col[x][i] for i in docs), np.int64) for x in "abcd")
-            nothing = pa.nulls(len(a), pa.int64())
-            out.append(pa.Table.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), pa.array(c), pa.array(d), nothing, nothing, pa.nulls(len(a), pa.list_(pa.int64()))], schema=schema))
+            known = [np.frombuffer(b"".join(col[x][i] for i in docs), np.int64) for x in "abcde"]
+            a, nothing = known[0], pa.nulls(len(known[0]), pa.int64())
+            out.append(pa.Table.from_arrays([pa.array(np.zeros(len(a), np.int32)), *map(pa.array, known), nothing, nothing, pa.nulls(len(a), pa.list_(pa.int64()))], schema=schema))
         parts = [i for i, k in enumerate(kinds) if k == 1]
         if parts:
             key = np.concatenate([unpack_sorted(col["a"][i]) for i in parts])
@@ -203,11 +209,11 @@ def _meet(inputs: DataFrame) -> DataFrame:
                 n = len(found)
                 nothing = pa.nulls(n, pa.int64())
                 members = pa.array([np.frombuffer(m, np.int64) for _, m in found], pa.list_(pa.int64()))
-                out.append(pa.Table.from_arrays([pa.array(np.ones(n, np.int32)), nothing, nothing, nothing, nothing, pa.array([g for g, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64()), members], schema=schema))
+                out.append(pa.Table.from_arrays([pa.array(np.ones(n, np.int32)), *[nothing] * 5, pa.array([g for g, _ in found], pa.int64()), pa.array(list(found.values()), pa.int64()), members], schema=schema))
         release_memory()
         return pa.concat_tables(out) if out else schema.empty_table()
 
-    return inputs.groupBy("block").applyInArrow(run, "kind int, id long, sig long, n long, own long, g long, times long, members array<long>")
+    return inputs.groupBy("block").applyInArrow(run, "kind int, id long, sig long, n long, own long, h long, g long, times long, members array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -349,12 +355,39 @@ def _crossed(each: DataFrame, reps: DataFrame, labels: DataFrame, sets: DataFram
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return near_duplicate_rows(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The same with the columns of `row_key` and `leads`: whether the row is the one that stands for its class.
+
+    That is the row of the smallest doc_id, and of several rows of that id the one of the smallest hash of its text; rows equal in both lead together.
+    """
     if percent < 75:
         raise ValueError("bands and pieces are laid out for a similarity of 0.75 or more")
     with small_batches(docs.sparkSession):
         return _near_duplicates(docs, percent)
 
 
+def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """`docs` with one row of each class of near duplicates: the one that leads it, and of equal rows one. Rows without words all stay."""
+    rows = near_duplicate_rows(docs, percent)
+    names = ["id", "none", "h"]
+    own = []
+    for n in names:  # beside columns of any name
+        n = f"row_{n}"
+        while n in docs.columns:
+            n += "_"
+        own.append(n)
+    keyed = docs.withColumns({n: c for n, c in zip(own, row_key(), strict=True)})
+    gone = rows.filter(~F.col("leads")).select(*(F.col(n).alias(o) for n, o in zip(names, own, strict=True))).distinct()
+    kept = keyed.join(gone, own, "left_anti")
+    again = rows.filter("leads and n_shingles > 0").groupBy(*(F.col(n).alias(o) for n, o in zip(names, own, strict=True))).count().filter("count > 1").select(*own)
+    if not again.isEmpty():  # rows equal in id and text
+        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates(own))
+    return kept.select(*docs.columns)
+
+
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     """All that runs Python is done when this returns."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -363,8 +396,8 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     met = _meet(_meet_inputs(docs, blocks)).checkpoint()
     release_shuffles(spark)
     keys, none = F.col("own").bitwiseAND(NO_ID - 1), F.col("own").bitwiseAND(NO_ID) > 0
-    rows = met.filter("kind = 0").select("id", none.alias("none"), "sig", "n", keys.alias("keys"))
-    reps = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("none", "id")).alias("rep"), F.first("n").alias("n"), F.max("keys").alias("keys"))
+    rows = met.filter("kind = 0").select("id", none.alias("none"), "h", "sig", "n", keys.alias("keys"))
+    reps = rows.filter("n > 0").groupBy("sig").agg(F.min(F.struct("none", "id", "h")).alias("rep"), F.first("n").alias("n"), F.max("keys").alias("keys"))
     lows = F.array(*[F.lit(int(x)) for x in LOWS[:64]])
     band_of = (F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1).cast("long")
     reps = reps.withColumn("own", F.col("keys").bitwiseAND((1 << 32) - 1)).withColumn("after", F.shiftright("keys", 32)).withColumn("band", band_of).drop("keys").checkpoint()
@@ -403,4 +436,6 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     classes = ranked.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(least, ["component", "salt"]).select("sig", "least")
     doc_id = lambda x: F.when(~F.col(f"{x}none"), F.col(f"{x}id"))
     out = rows.join(classes, "sig", "left")
-    return out.select(doc_id("").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, doc_id("least.")).otherwise(doc_id("")).alias("component_id"))
+    leads = (F.col("n") == 0) | (F.struct("none", "id", "h") == F.col("least"))
+    own = F.when(F.col("n") > 0, doc_id("least.")).otherwise(doc_id(""))
+    return out.select(doc_id("").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), "id", "none", "h", leads.alias("leads"))
