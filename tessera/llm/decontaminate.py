@@ -66,13 +66,21 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     return out
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> DataFrame:
+def without_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose own text holds no item; rows are judged one by one, whatever their ids."""
+    for part in _parts(items):
+        docs = _search(docs, part, coverage, remove=True)
+    return docs
+
+
+def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float, remove: bool = False) -> DataFrame:
+    """FOUND rows; with `remove`, the rows of `docs` without any."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     words, grams = _index(items)
     if not grams:
-        return spark.createDataFrame([], FOUND)
+        return docs if remove else spark.createDataFrame([], FOUND)
     shared = spark.sparkContext.broadcast((words, grams, [i for i, _ in items]))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -86,7 +94,8 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
             small[distinct >> np.uint64(44)] = True
             sized.append((size, gram_hash, gram_item, gram_place, distinct, small))
         for batch in slices(batches):
-            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            ids, texts = range(batch.num_rows) if remove else batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            held = np.zeros(batch.num_rows, bool)
             for a, b in chunks(texts):
                 w = Words(texts[a:b], fold=True)
                 rows, hits = [], []
@@ -115,7 +124,12 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], coverage: float) -> D
                     if matched >= coverage * m:
                         at_doc = begin - int(w.first[d])
                         rows.append((ids[a + d], item_ids[it], matched / m, at_doc + s, at_doc + e))
-                if rows:
+                if remove:
+                    held[[r[0] for r in rows]] = True
+                elif rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(find, FOUND)
+            if remove:
+                yield batch.filter(pa.array(~held))
+
+    return docs.mapInArrow(find, docs.schema) if remove else docs.select("doc_id", "text").mapInArrow(find, FOUND)
