@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.sampling import texts_of
 from tessera.llm.textgrid import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -267,14 +268,11 @@ def all_spans(text: str, model: dict | None, confidence: float = CONFIDENCE):
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
-    spark = docs.sparkSession
+    """The model of a bounded sample of the documents with a digit or @: `max_docs` texts and sampling.MAX_BYTES bytes at most."""
     has = docs.filter("doc_id is not null and (text like '%@%' or text rlike '[0-9]')")
-    ids = has.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()  # max_docs rows at most
-    if not ids:
-        return None
-    chosen = F.broadcast(spark.createDataFrame([(r[0],) for r in ids], "doc_id long").distinct())
-    texts = docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text").collect()
-    return train(sorted(r[0] for r in texts))
+    ids = has.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    texts = sorted(text for _, text in texts_of(docs.filter("text is not null"), ids, max_docs))
+    return train(texts) if texts else None
 
 
 def _name(spans: list[tuple[int, int, int]]) -> str:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.sampling import texts_of
 from tessera.llm.textgrid import Words, chunks, release_memory
 
 MAX_DOCS = 3000
@@ -189,17 +190,17 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> dict | None:
-    """The model of a bounded sample of the labelled rows outside the held-out part."""
-    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """The model of a bounded sample of the labelled rows outside the held-out part: `max_docs` texts and sampling.MAX_BYTES bytes at most.
+
+    A document is good if any of its labels says so; labels other than 0 and 1 count for nothing. Rows that
+    share a labelled id are examples of their own, equal ones once.
+    """
+    known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     sample = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    ids = sample.collect()  # max_docs rows at most
-    if not ids:
+    rows = sorted(((text, y) for _, text, y in texts_of(docs, sample, max_docs)), key=lambda r: (r[0] or "", r[1]))
+    if not rows:
         return None
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(r[0], float(r[1])) for r in ids], "doc_id long, y double"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y").collect()
-    order = sorted(range(len(rows)), key=lambda i: rows[i]["text"] or "")
-    return train([rows[i]["text"] for i in order], np.array([rows[i]["y"] for i in order]))
+    return train([t for t, _ in rows], np.array([y for _, y in rows]))
 
 
 def add_score(docs: DataFrame, model: dict | None, name: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, packing, pii, revisits
+from tessera.llm import decontaminate, jaccard, packing, pii, revisits, sampling
 from tessera.llm.tokens import vocabulary_path
 
 BYTE = vocabulary_path("byte_bpe_50k.json")
@@ -111,3 +111,12 @@ def test_header_names_and_weak_tags(spark):
     twice = F.create_map(*map(F.lit, ("ETag", "1", "b", "2", "etag", "3")))
     assert spark.range(1).select(revisits.lowered(twice)).first()[0] == {"b": "2", "etag": "3"}
     assert spark.createDataFrame([(None,)], "h map<string,string>").select(revisits.lowered(F.col("h"))).first()[0] is None
+
+
+def test_samples_are_bounded_in_texts_and_bytes(spark):
+    docs = frame(spark, [(1, "a" * 10), (1, "a" * 10), (1, "b" * 10), (2, "c" * 100), (3, None), (4, "d"), (None, "e")])
+    ids = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 2.5)], "doc_id long, y double")
+    got = sampling.texts_of(docs, ids, 10)
+    assert sorted(got, key=str) == sorted([(1, "a" * 10, 0.5), (1, "b" * 10, 0.5), (2, "c" * 100, 1.5), (3, None, 2.5)], key=str)
+    assert sorted(i for i, _, _ in sampling.texts_of(docs, ids, 10, max_bytes=25)) == [1, 1, 3]
+    assert len(sampling.texts_of(docs, ids, 2)) == 2 and sampling.texts_of(docs.limit(0), ids, 2) == []
