@@ -39,12 +39,27 @@ def log_entries(found: DataFrame, threshold: int = 0) -> DataFrame:
 
 
 def append_log(entries: DataFrame, folder: str) -> None:
-    """Adds rows (query_id, results, empty, ts) to the log."""
-    entries.write.mode("append").parquet(folder)
+    """Adds rows (query_id, results, empty, ts) to the log, which is kept by day."""
+    entries.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(folder)
 
 
 def recent(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    return spark.read.parquet(folder).orderBy(F.desc("ts"), "query_id").limit(n)
+    return spark.read.parquet(folder).drop("day").orderBy(F.desc("ts"), "query_id").limit(n)
+
+
+def searches_by_day(spark: SparkSession, folder: str) -> DataFrame:
+    """day, searches, empty: how many searches there were and how many found nothing."""
+    return spark.read.parquet(folder).groupBy("day").agg(F.count("*").alias("searches"), F.count_if("empty").alias("empty"))
+
+
+def prune_log(spark: SparkSession, folder: str, keep_days: int, today: str) -> list[str]:
+    """Deletes the days of the log that are `keep_days` or more before `today`; returns these. Rows without a time stay."""
+    days = [r[0] for r in spark.read.parquet(folder).select("day").distinct().filter(F.date_diff(F.lit(today).cast("date"), "day") >= keep_days).collect()]
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for day in days:  # a row a day
+        at = path(f"{folder}/day={day}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return sorted(str(d) for d in days)
 
 
 def changes(files: DataFrame, index: DataFrame, head: int = 65536) -> DataFrame:

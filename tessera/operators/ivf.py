@@ -4,10 +4,11 @@ Centroids come from k-means by cosine on a bounded sample of unit vectors. There
 root of the number of rows, and at most as many as keep all centroids
 within CENTROID_BYTES, which is what is sent to the tasks. A folder holds
 
-    lists/list=<n>   the rows, with all their columns, their distance to the centroid and a name of the time they were added
-    centroids        list, centroid
-    sizes            list, rows and radius, a row for each list of each time that rows were added
-    probes           k, recall and the number of lists that reach it, once `calibrate` was run
+    lists/added=<name>/list=<n>  the rows, with all their columns and their distance to the centroid
+    centroids                    list, centroid, and its share of the sample
+    sizes/added=<name>           list, rows and radius, for each addition
+    removed                      vec_ids that are out, if any
+    probes                       k, recall and the number of lists that reach it, once `calibrate` was run
 
 A search ranks the lists by the distance of their centroids and reads only those
 directories that some query probes. With `exact`, it then goes on to every list that can still
@@ -23,9 +24,10 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -102,20 +104,56 @@ def build(vectors: DataFrame, folder: str, lists: int | None = None, seed: int =
     return add(vectors, folder)
 
 
-def add(vectors: DataFrame, folder: str) -> DataFrame:
-    """Adds rows to the lists of an index; returns those that it doesn't take."""
-    spark = vectors.sparkSession
+def add(vectors: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+    """Adds rows to the lists of an index; returns those that it doesn't take.
+
+    Rows added again under the same `name` (letters, digits, - and _) replace those that were, so a batch of a stream may come twice.
+    """
+    spark, name = vectors.sparkSession, name or uuid.uuid4().hex
     centroids, share = _centroids(spark, folder)
     good = vectors.filter(_valid(centroids.shape[1]))
     pieces = np.maximum(1, np.ceil(share * good.count() / ROWS_A_FILE)).astype(np.int64)  # a large list is several files, and tasks
     placed = _place(good, centroids, pieces).repartition(int(pieces.sum()), "list", "piece").drop("piece")
-    name = uuid.uuid4().hex
-    placed.withColumn("added", F.lit(name)).write.mode("append").partitionBy("list").parquet(f"{folder}/lists")
-    own = spark.read.parquet(f"{folder}/lists").filter(F.col("added") == name)
-    own.groupBy("list").agg(F.count("*").alias("rows"), F.max("distance").alias("radius")).write.mode("append").parquet(f"{folder}/sizes")
+    _write(placed, folder, name)
     return vectors.filter(~_valid(centroids.shape[1]))
 
 
+def _write(placed: DataFrame, folder: str, name: str) -> None:
+    spark, at = placed.sparkSession, f"{folder}/lists/added={name}"
+    placed.write.mode("overwrite").partitionBy("list").parquet(at)
+    own = spark.read.schema("list int, distance double").parquet(at)
+    own.groupBy("list").agg(F.count("*").alias("rows"), F.max("distance").alias("radius")).write.mode("overwrite").parquet(f"{folder}/sizes/added={name}")
+
+
+def remove(ids: DataFrame, folder: str) -> None:
+    """Takes the rows of these vec_ids out of an index: searches pass over them from now on, `compact` drops them. Rows added later under such an id stay out too, until then."""
+    ids.select(F.col("vec_id").cast("long")).filter("vec_id is not null").distinct().write.mode("append").parquet(f"{folder}/removed")
+
+
+def compact(spark: SparkSession, folder: str, to: str) -> None:
+    """Writes the index to a new folder, with one addition instead of many and without removed rows; the old one stays as it is for searches under way."""
+    centroids, share = _centroids(spark, folder)
+    spark.read.parquet(f"{folder}/centroids").coalesce(1).write.parquet(f"{to}/centroids")
+    rows = lists(spark, folder).drop("added")
+    pieces = np.maximum(1, np.ceil(share * rows.count() / ROWS_A_FILE)).astype(np.int64)
+    sizes = spark.createDataFrame([(i, int(p)) for i, p in enumerate(pieces)], "list int, pieces int")
+    dealt = rows.join(F.broadcast(sizes), "list").withColumn("piece", F.pmod(F.xxhash64("vec_id", "distance"), "pieces"))
+    _write(dealt.repartition(int(pieces.sum()), "list", "piece").drop("piece", "pieces"), to, "compacted")
+    probes = _stored(spark, f"{folder}/probes")
+    if probes is not None:
+        probes.write.parquet(f"{to}/probes")
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame | None:
+    """A table of the index; None if nothing was written to it yet."""
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def _centroids(spark: SparkSession, folder: str) -> tuple[np.ndarray, np.ndarray]:
     rows = spark.read.parquet(f"{folder}/centroids").orderBy("list").collect()  # CENTROID_BYTES at most
     return np.array([r["centroid"] for r in rows]), np.array([r["share"] for r in rows])
@@ -130,12 +168,15 @@ def _radius(spark: SparkSession, folder: str, n: int) -> np.ndarray:
 
 
 def lists(spark: SparkSession, folder: str, wanted: np.ndarray | None = None) -> DataFrame:
-    """The rows of some lists, whose directories alone are read; of all lists if none are named."""
+    """The rows of some lists, whose directories alone are read, or of all lists, less the removed."""
     rows = spark.read.parquet(f"{folder}/lists")
-    return rows if wanted is None else rows.filter(F.col("list").isin(np.asarray(wanted).tolist()))
+    if wanted is not None:
+        rows = rows.filter(F.col("list").isin(np.asarray(wanted).tolist()))
+    gone = _stored(spark, f"{folder}/removed")
+    return rows if gone is None else rows.join(gone.distinct(), "vec_id", "left_anti").select(*rows.columns)
 
 
-def _scan(spark: SparkSession, folder: str, blocks: list, probed: np.ndarray, k: int) -> DataFrame:
+def _scan(spark: SparkSession, folder: str, blocks: list, probed: np.ndarray, k: int, where: Column | None) -> DataFrame:
     """The k nearest rows of each query, by task, among the lists that the query probes; probed[query, list]."""
     import pyarrow as pa
 
@@ -168,6 +209,7 @@ def _scan(spark: SparkSession, folder: str, blocks: list, probed: np.ndarray, k:
 
     wanted = np.flatnonzero(probed.any(axis=0))
     rows = lists(spark, folder, None if len(wanted) == probed.shape[1] else wanted).filter("vec_id is not null")
+    rows = rows if where is None else rows.filter(where)
     rows = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "list")
     return rows.mapInArrow(run, "query_id long, vec_id long, score double, list int")
 
@@ -185,8 +227,8 @@ def _best(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def find(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, vec_id, score, list, rank: the k nearest rows by cosine of each query among those of `probes` lists.
+def find(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, query_bytes: int = QUERY_BYTES, where: Column | None = None) -> DataFrame:
+    """query_id, vec_id, score, list, rank: the k nearest rows by cosine of each query among those of `probes` lists, and of these the rows for which `where` holds.
 
     Without `probes` it is what `calibrate` found, or all lists. More than `query_bytes` of queries go in parts, each a search of its own.
     Queries that are no valid vectors of the index's width have no results.
@@ -198,7 +240,7 @@ def find(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: i
         out = None
         for part in range(parts):
             own = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
-            found = find(spark, folder, own, k, probes, exact, 1 << 62)
+            found = find(spark, folder, own, k, probes, exact, 1 << 62, where)
             out = found if out is None else out.unionByName(found)
         return out
     blocks = [tuple(np.frombuffer(x, t) for x, t in zip(r, (np.int64, np.int64, np.float64), strict=True)) for r in search._blocks(queries, "q").collect()]
@@ -212,7 +254,7 @@ def find(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: i
     filled = np.flatnonzero(radius >= 0)
     nearest = filled[np.argsort(gap[:, filled], axis=1, kind="stable")[:, :probes]]
     np.put_along_axis(probed, nearest, True, axis=1)
-    first = _best(_scan(spark, folder, blocks, probed, k), k)
+    first = _best(_scan(spark, folder, blocks, probed, k, where), k)
     if not exact:
         return first
     first = first.checkpoint()
@@ -222,7 +264,7 @@ def find(spark: SparkSession, folder: str, queries: DataFrame, k: int, probes: i
     more = (gap - radius <= reach[:, None] + SLACK) & (radius >= 0) & ~probed
     if not more.any():
         return first
-    return _best(first.drop("rank").unionByName(_scan(spark, folder, blocks, more, k)), k)
+    return _best(first.drop("rank").unionByName(_scan(spark, folder, blocks, more, k, where)), k)
 
 
 def _gaps(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -232,12 +274,8 @@ def _gaps(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def _probes(spark: SparkSession, folder: str, k: int) -> int | None:
     """The calibrated number of lists for the smallest calibrated k that is enough."""
-    try:
-        rows = spark.read.parquet(f"{folder}/probes").filter(F.col("k") >= k).orderBy("k", F.desc("probes")).limit(1).collect()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    known = _stored(spark, f"{folder}/probes")
+    rows = known.filter(F.col("k") >= k).orderBy("k", F.desc("probes")).limit(1).collect() if known is not None else []
     return rows[0]["probes"] if rows else None
 
 

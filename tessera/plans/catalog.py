@@ -167,5 +167,5 @@ def _shared(text: str) -> Query:
     return run
 
 
-QUERIES |= {k: _shared(v) for k, v in (SHARED | relational.SHARED).items()} | relational.QUERIES | extended.QUERIES
-SQL |= relational.SHARED | relational.SQL | extended.SQL
+QUERIES |= {k: _shared(v) for k, v in (SHARED | relational.SHARED | extended.SHARED).items()} | relational.QUERIES | extended.QUERIES
+SQL |= relational.SHARED | relational.SQL | extended.SHARED | extended.SQL

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import tablefunctions
-from tessera.operators import hashtree, intervals, ivf, rollups
+from tessera.functions import scalar, tablefunctions
+from tessera.operators import hashtree, index, intervals, ivf, rollups
 from tessera.plans.relational import MEAN, STD
 from tessera.plans.session import shared_folder
 from tessera.sources import bucketed, sqlite
@@ -134,8 +134,47 @@ def normalised_all(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", F.posexplode(out).alias("place", "value")).withColumn("place", F.col("place").cast("long"))
 
 
+def rejected_widths(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of another width, which a stored index refuses, and how many it took: every ninth vector is cut short here."""
+    e, at = table(s, d, "embeddings"), shared_folder(s, "index")
+    e = e.withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))).withColumn("folder", F.col("label").cast("string"))
+    refused = index.store(e, at, 64)
+    kept = index.load(s, at).groupBy("folder").agg(F.count("*").alias("stored"))
+    return kept.join(refused.groupBy("folder").agg(F.count("*").alias("refused")), "folder", "full").select("folder", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
+def folder_ivf(s: SparkSession, d: str) -> DataFrame:
+    """The nearest rows within one folder through the inverted-file index, with percent and band, after every seventh row was removed."""
+    e, at = table(s, d, "embeddings").withColumn("folder", F.concat(F.lit("set"), (F.col("label") % 3).cast("string"))), shared_folder(s, "ivf")
+    ivf.build(e, at)
+    ivf.remove(e.filter("vec_id % 7 = 3"), at)
+    found = ivf.find(s, at, e.filter("vec_id % 50 = 0"), 5, probes=4, exact=True, where=F.col("folder") == "set1").withColumn("percent", scalar.percent(F.col("score")))
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"), "percent", scalar.similarity_band(F.col("percent")).alias("band"))
+
+
+def log_by_day(s: SparkSession, d: str) -> DataFrame:
+    """A log of searches made of events, kept for ten days: searches and empty ones by day, after the others were deleted."""
+    at = shared_folder(s, "log")
+    rows = table(s, d, "events").select(F.col("event_id").alias("query_id"), F.floor(F.col("value") / 30).cast("long").alias("results"), F.col("ts").cast("timestamp").alias("ts"))
+    index.append_log(rows.withColumn("empty", F.col("results") == 0), at)
+    index.prune_log(s, at, 10, "2024-01-31")
+    return index.searches_by_day(s, at).withColumn("day", F.col("day").cast("string"))
+
+
+#: Text that both engines read alike.
+SHARED = {
+    "ext_union_all": "SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier) t GROUP BY k",
+    "ext_intersect_all": "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT ALL SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R'",
+    "ext_except_all": "SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT ALL SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 10",
+    "c28_dates_bits": "SELECT o_orderkey, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS month, CAST(quarter(o_orderdate) AS BIGINT) AS quarter, CAST(dayofyear(o_orderdate) AS BIGINT) AS day, CAST(CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS VARCHAR(10)) AS due, o_orderkey & 12 AS both, o_orderkey | 3 AS either, CAST(bit_count(o_orderkey) AS BIGINT) AS ones, round(sin(o_totalprice), 6) AS wave, round(atan2(o_totalprice, o_custkey), 6) AS angle FROM orders",
+}
+
+
 QUERIES = {
     "l3_ivf_topk": ivf_topk,
+    "l3_ivf_folder": folder_ivf,
+    "d7_rejected": rejected_widths,
+    "d11_log_by_day": log_by_day,
     "t4_stream_index": stream_index,
     "t6_stream_sessions": stream_sessions,
     "t7_timer_sessions": timer_sessions,
@@ -162,6 +201,9 @@ r AS (SELECT user_id, k, arg_min(event_id, place) AS first_event, count(*) AS le
 SELECT user_id, first_event, length, rise FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY length DESC, k) = 1"""
 
 SQL = {
+    "l3_ivf_folder": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id AND label % 3 = 1 AND vec_id % 7 <> 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, CAST(round(100 * greatest(0.0, score)) AS INT) AS percent FROM s QUALIFY rank <= 5) SELECT query_id, vec_id, rank, round(score, 6) AS score, percent, CASE WHEN percent >= 88 THEN 'high' WHEN percent >= 72 THEN 'mid' ELSE 'low' END AS band FROM r",
+    "d7_rejected": "SELECT label::VARCHAR AS folder, count(*) FILTER (vec_id % 9 <> 0) AS stored, count(*) FILTER (vec_id % 9 = 0) AS refused FROM embeddings GROUP BY label",
+    "d11_log_by_day": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS searches, count(*) FILTER (floor(value / 30) = 0) AS empty FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') < 10 GROUP BY 1",
     "l3_ivf_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5",
     "t4_stream_index": "SELECT doc_id::VARCHAR AS path, sha256(text) AS fingerprint, strlen(text) AS size FROM documents",
     "t6_stream_sessions": f"WITH {_SESSIONS} SELECT user_id, CAST(start AS TIMESTAMP) AS start, n, total FROM a WHERE {_CLOSED}",

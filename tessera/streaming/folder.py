@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
+from tessera.operators import ivf
 from tessera.sources.tables import IMAGE_PATTERN
 
 FACTS = "path string, fingerprint string, size long, modified timestamp, batch long"
@@ -65,3 +66,15 @@ def follow(files: DataFrame, folder: str, checkpoint: str, then: Callable[[DataF
             then(batch_files, batch)
 
     files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def vectors_into(index: str, embed: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """For `follow`: puts the vectors of each batch's files into an inverted-file index, under the batch's name, so that a batch that comes again adds nothing.
+
+    `embed` makes vec_id, embedding and any metadata of path, content and modified.
+    """
+
+    def store(files: DataFrame, batch: int) -> None:
+        ivf.add(embed(files), index, f"batch-{batch}")
+
+    return store

@@ -102,6 +102,25 @@ def test_a_large_list_is_several_files(spark, tmp_path, monkeypatch):
     assert any(r["n"] == 400 and r["files"] >= 3 for r in by) and sum(r["n"] for r in by) == 420
 
 
+def test_additions_again_removals_and_compaction(spark, tmp_path):
+    e = spark.createDataFrame(clustered(200), "vec_id long, embedding array<double>").withColumn("folder", F.col("vec_id") % 2)
+    at, to = str(tmp_path / "index"), str(tmp_path / "smaller")
+    ivf.build(e.filter("vec_id < 100"), at, lists=5)
+    for _ in range(2):
+        ivf.add(e.filter("vec_id >= 100"), at, "batch-1")
+    assert ivf.lists(spark, at).count() == 200
+    ivf.remove(e.filter("vec_id % 10 = 3"), at)
+    left, queries = e.filter("vec_id % 10 <> 3"), e.filter("vec_id % 40 = 0")
+    ivf.calibrate(spark, at, queries, 6)
+    ivf.compact(spark, at, to)
+    for folder_ in (at, to):
+        assert ivf.lists(spark, folder_).count() == 180 and ivf._probes(spark, folder_, 6) == ivf._probes(spark, at, 6)
+        assert pairs(ivf.find(spark, folder_, queries, 6, probes=1, exact=True)) == pairs(search.batch_top_k(left, queries, 6))
+        odd = ivf.find(spark, folder_, queries, 6, probes=1, exact=True, where=F.col("folder") == 1)
+        assert pairs(odd) == pairs(search.batch_top_k(left.filter("folder = 1"), queries, 6))
+    assert spark.read.parquet(f"{to}/lists").select("added").distinct().count() == 1
+
+
 # plans of the exact search
 
 
@@ -161,6 +180,39 @@ def test_folder_stream_and_a_batch_that_comes_again(spark, tmp_path):
     assert len(facts(spark, at)) == 4 and ("d.jpeg", "d9298a10d1b0735837dc4bd85dac641b0f3cef27a47e5d53a54f2f3f5b2fcffa", 5) in facts(spark, at)
 
 
+def test_vectors_of_a_folder_stream(spark, tmp_path):
+    """Images in, vectors of them in the index, also if a batch comes twice; the embedding here counts bytes, as no model is at hand."""
+    source, at = tmp_path / "images", str(tmp_path / "index")
+    source.mkdir()
+    rng = random.Random(3)
+    for i in range(12):
+        (source / f"{i}.png").write_bytes(bytes(rng.choices(range(97, 105), k=200)))
+
+    def embed(files):
+        text = F.decode("content", "US-ASCII")
+        counts = F.array(*[F.length(F.regexp_replace(text, f"[^{c}]", "")).cast("double") for c in "abcdefgh"])
+        return files.select(F.regexp_extract("path", r"(\d+)\.png", 1).cast("long").alias("vec_id"), counts.alias("embedding"), "path")
+
+    still = spark.read.format("binaryFile").load(str(source)).select("path", "content", F.col("modificationTime").alias("modified"))
+    ivf.build(embed(still.limit(0)).unionByName(embed(still)).filter("vec_id < 4"), at, lists=2)
+    put = folder.vectors_into(at, lambda files: embed(files).filter("vec_id >= 4"))
+    folder.follow(folder.file_stream(spark, str(source), files_a_batch=5), str(tmp_path / "facts"), str(tmp_path / "state"), put)
+    assert sorted(r["vec_id"] for r in ivf.lists(spark, at).collect()) == list(range(12))
+    put(still.filter("path like '%/1_.png'"), 0)
+    before = sorted(r["vec_id"] for r in ivf.lists(spark, at).collect())
+    put(still.filter("path like '%/1_.png'"), 0)
+    assert sorted(r["vec_id"] for r in ivf.lists(spark, at).collect()) == before
+
+
+def test_log_keeps_its_days(spark, tmp_path):
+    at = str(tmp_path / "log")
+    for day, n in (("2024-01-01", 0), ("2024-01-05", 3), ("2024-01-06", 0), (None, 1)):
+        index.append_log(spark.createDataFrame([(1, n, n == 0)], "query_id long, results long, empty boolean").withColumn("ts", F.lit(day).cast("timestamp")), at)
+    assert index.prune_log(spark, at, 2, "2024-01-07") == ["2024-01-01", "2024-01-05"]
+    assert sorted(map(str, index.searches_by_day(spark, at).collect())) == ["Row(day=None, searches=1, empty=0)", "Row(day=datetime.date(2024, 1, 6), searches=1, empty=1)"]
+    assert index.recent(spark, at, 5).columns == ["query_id", "results", "empty", "ts"] and index.prune_log(spark, at, 2, "2024-01-07") == []
+
+
 # sessions
 
 
