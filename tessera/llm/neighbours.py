@@ -8,9 +8,9 @@ are cut into chunks of CHUNK_BYTES by a hash. A query first searches its own cel
 distance d so far and something at projected distance r, r**2 / d**2 of a better neighbour
 would follow a chi-square law with as many degrees as projections, so nothing with
 r**2 / d**2 beyond that law's quantile at `confidence` is looked at: cells by the
-distance to the box of their rows, and in a cell single rows. These are verified on the original
-vectors in rings of rising projected distance, each ring with the k-th distance that
-those before it left, until the test holds.
+distance to the box of their rows, and in a cell leaves and single rows. For that, each chunk has a kd-tree of its own, down to leaves of
+LEAF_ROWS rows at every size of table. Leaves are opened in the order of the distance of their boxes, and rows of opened ones are verified
+on the original vectors, with the k-th distance that those before left, until the test holds for the next leaf.
 
 Equal vectors are one query, and only the k + 1 smallest ids of equal vectors are
 candidates, as no others can be among the k nearest of any row: so one very common vector costs what a rare one does.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -37,7 +38,7 @@ CONFIDENCE = 0.95
 SAMPLE = 20_000
 SAMPLE_A_CELL = 16
 CHUNK_BYTES = 4 << 20
-RINGS = (0.25, 0.5, 0.75, 1.0)
+LEAF_ROWS = 64
 ROWS = 128
 
 
@@ -111,37 +112,54 @@ class Space:
         return np.maximum(size - 2 * kth, 0) + 1e-9 * size
 
 
-def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float):
+def leaf_order(p: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings the rows of a chunk together by leaf of its own kd-tree, and where each leaf begins."""
+    of = Cells(p, -(-len(p) // leaf_rows)).of(p)
+    order = np.argsort(of, kind="stable")
+    return order, np.flatnonzero(np.diff(of[order], prepend=-1))
+
+
+def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float, edge=None, work: Counter | None = None):
     """The k best rows of a chunk for each query: query places, ids, scores, and how many rows were verified in all.
 
-    kth: the k-th best inner product that a query already has, -inf without.
+    kth: the k-th best inner product that a query already has, -inf without. edge: where leaves begin, if rows are in their order.
+    A query opens leaves by the distance of their boxes, three times as many at each step; among the rows of opened leaves
+    it verifies those that the test lets through, and ends when the next leaf's box fails it. `work` counts leaves opened and rows projected.
     """
-    p, out, verified = space.rows(v), [], 0
+    p, out, verified, work = space.rows(v), [], 0, Counter() if work is None else work
     p2 = np.einsum("ij,ij->i", p, p)
+    edge = np.zeros(1, np.int64) if edge is None else edge
+    low, high, ends = np.minimum.reduceat(p, edge), np.maximum.reduceat(p, edge), np.append(edge[1:], len(ids))
     for begin in range(0, len(q), ROWS):
         part = q[begin : begin + ROWS]
-        z = space.queries(part)
-        far = np.maximum(np.einsum("ij,ij->i", z, z)[:, None] + p2[None] - 2 * (z @ p.T), 0)
-        best = kth[begin : begin + ROWS].copy()
-        score = np.full(far.shape, -np.inf)
-        done = np.zeros(far.shape, bool)
-        first = min(len(ids), max(4 * k, 64))
-        if np.isinf(best).any():  # nothing to test against yet: the rows nearest in projection
-            i = np.flatnonzero(np.isinf(best))
-            j = np.argpartition(far[i], first - 1, axis=1)[:, :first]
-            done[i[:, None], j] = True
-            score[i[:, None], j] = np.einsum("ijk,ik->ij", v[j], part[i])
-            if first >= k:
-                best[i] = np.maximum(best[i], -np.partition(-score[i], k - 1, axis=1)[:, k - 1])
-        for ring in RINGS:
-            with np.errstate(invalid="ignore"):
-                i, j = np.nonzero(~(far > (ring * limit * space.square(part, best))[:, None]) & ~done)
-            if not len(i):
-                continue
-            done[i, j] = True
-            score[i, j] = np.einsum("ij,ij->i", part[i], v[j])
+        z, best = space.queries(part), kth[begin : begin + ROWS].copy()
+        z2 = np.einsum("ij,ij->i", z, z)
+        gap = np.maximum(np.maximum(low[None] - z[:, None], z[:, None] - high[None]), 0)
+        bound = np.einsum("ijk,ijk->ij", gap, gap)
+        order = np.argsort(bound, axis=1, kind="stable")
+        score = np.full((len(part), len(ids)), -np.inf)
+        live, at, step = np.arange(len(part)), 0, 1
+        while at < len(edge) and len(live):
+            reach = limit * space.square(part, best)  # without bound as long as there are no k rows to test against
+            leaf = order[live, at : at + step]
+            near = bound[live[:, None], leaf] <= reach[live, None]
+            i, leaf = np.repeat(live, near.sum(axis=1)), leaf[near]
+            by = np.argsort(leaf, kind="stable")
+            i, leaf = i[by], leaf[by]
+            new = np.flatnonzero(np.diff(leaf, prepend=-1))
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(leaf)], strict=True):
+                mine, x0, x1 = i[a:b], edge[leaf[a]], ends[leaf[a]]
+                far = np.maximum(z2[mine, None] + p2[None, x0:x1] - 2 * (z[mine] @ p[x0:x1].T), 0)
+                r, c = np.nonzero(far <= reach[mine, None])
+                score[mine[r], x0 + c] = np.einsum("ij,ij->i", part[mine[r]], v[x0 + c])
+                work["leaves"] += b - a
+                work["rows"] += far.size
             if len(ids) >= k:
                 best = np.maximum(best, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+            at, step = at + step, 3 * step
+            if at < len(edge):
+                live = live[bound[live, order[live, at]] <= (limit * space.square(part, best))[live]]
+        done = score > -np.inf
         verified += int(done.sum())
         slack = 1e-9 * (np.linalg.norm(part, axis=1) * space.top)
         i, j = np.nonzero(done & (score >= (best - slack)[:, None]))
@@ -213,11 +231,12 @@ def nearest(vectors: DataFrame, query_modulus: int = 20, k: int = K, confidence:
 
     def pack(table: pa.Table) -> pa.Table:
         (w, _, v), *_ = _matrices(table.combine_chunks().to_batches()[0], "v")
-        ids, p, q = table["vec_id"].to_numpy(), spaces[w].rows(v), table["asked"].to_numpy()
-        names = {"h1": table["h1"].to_numpy()[q], "h2": table["h2"].to_numpy()[q], "q": v[q], "ids": ids, "v": v, "low": p.min(axis=0), "high": p.max(axis=0)}
+        p, q = spaces[w].rows(v), table["asked"].to_numpy()
+        order, edge = leaf_order(p)
+        names = {"h1": table["h1"].to_numpy()[q], "h2": table["h2"].to_numpy()[q], "q": v[q], "ids": table["vec_id"].to_numpy()[order], "v": v[order], "edge": edge, "low": p.min(axis=0), "high": p.max(axis=0)}
         return pa.table({"w": table["w"][:1], "cell": table["cell"][:1]} | {c: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for c, x in names.items()})
 
-    blobs = ", ".join(f"{c} binary" for c in ("h1", "h2", "q", "ids", "v", "low", "high"))
+    blobs = ", ".join(f"{c} binary" for c in ("h1", "h2", "q", "ids", "v", "edge", "low", "high"))
     chunks = dealt.groupBy("w", "cell", "chunk").applyInArrow(pack, f"w long, cell long, {blobs}").checkpoint()
 
     # the box of each cell's rows, from those of its chunks
@@ -235,14 +254,14 @@ def nearest(vectors: DataFrame, query_modulus: int = 20, k: int = K, confidence:
         for batch in batches:
             for n in range(batch.num_rows):  # a pair of blobs at a time
                 w = batch["w"][n].as_py()
-                h1, h2, ids = (np.frombuffer(batch[c][n].as_py(), np.int64) for c in ("h1", "h2", "ids"))
+                h1, h2, ids, edge = (np.frombuffer(batch[c][n].as_py(), np.int64) for c in ("h1", "h2", "ids", "edge"))
                 q, v = (np.frombuffer(batch[c][n].as_py()).reshape(-1, w) for c in ("q", "v"))
                 kth = np.frombuffer(batch["kth"][n].as_py()) if batch["kth"][n].is_valid else np.full(len(h1), -np.inf)
-                i, found, score, _ = search_chunk(spaces[w], ids, v, h1, q, kth, k + 1, limit)
+                i, found, score, _ = search_chunk(spaces[w], ids, v, h1, q, kth, k + 1, limit, edge)
                 yield pa.RecordBatch.from_arrays([pa.array(h1[i]), pa.array(h2[i]), pa.array(found), pa.array(score)], names=["h1", "h2", "vec_id", "score"])
 
     def searched(queries: DataFrame) -> DataFrame:
-        met = queries.join(chunks.select("w", "cell", "ids", "v"), ["w", "cell"]).select("w", "h1", "h2", "q", "kth", "ids", "v")
+        met = queries.join(chunks.select("w", "cell", "ids", "v", "edge"), ["w", "cell"]).select("w", "h1", "h2", "q", "kth", "ids", "v", "edge")
         return met.mapInArrow(search, "h1 long, h2 long, vec_id long, score double")
 
     home = searched(chunks.filter(F.length("q") > 0).select("w", "cell", "h1", "h2", "q", F.lit(None).cast("binary").alias("kth")))
