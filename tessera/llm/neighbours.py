@@ -122,13 +122,15 @@ def leaf_order(p: np.ndarray, leaf_rows: int = LEAF_ROWS) -> tuple[np.ndarray, n
 def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float, edge=None, work: Counter | None = None):
     """The k best rows of a chunk for each query: query places, ids, scores, and how many rows were verified in all.
 
-    kth: the k-th best inner product that a query already has, -inf without. edge: where leaves begin, if rows are in their order.
+    kth: the k-th best inner product that a query already has, -inf without. edge: where leaves begin, if rows come in the order of leaves.
     A query opens leaves by the distance of their boxes, three times as many at each step; among the rows of opened leaves
     it verifies those that the test lets through, and ends when the next leaf's box fails it. `work` counts leaves opened and rows projected.
     """
+    if edge is None:
+        order, edge = leaf_order(space.rows(v))
+        ids, v = ids[order], v[order]
     p, out, verified, work = space.rows(v), [], 0, Counter() if work is None else work
     p2 = np.einsum("ij,ij->i", p, p)
-    edge = np.zeros(1, np.int64) if edge is None else edge
     low, high, ends = np.minimum.reduceat(p, edge), np.maximum.reduceat(p, edge), np.append(edge[1:], len(ids))
     for begin in range(0, len(q), ROWS):
         part = q[begin : begin + ROWS]

@@ -46,7 +46,7 @@ def test_one_leaf_or_many_find_alike():
     v[40:70] = v[3]
     space, ids, none = neighbours.Space(8, 1.0), np.arange(300), np.full(300, -np.inf)
     order, edge = neighbours.leaf_order(space.rows(v))
-    one = neighbours.search_chunk(space, ids, v, ids, v, none, 5, 1e9)
+    one = neighbours.search_chunk(space, ids, v, ids, v, none, 5, 1e9, np.zeros(1, np.int64))
     many = neighbours.search_chunk(space, ids[order], v[order], ids, v, none, 5, 1e9, edge)
     assert len(edge) > 2 and all((a == b).all() for a, b in zip(one[:3], many[:3], strict=True))
 
