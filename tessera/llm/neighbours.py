@@ -39,6 +39,7 @@ SAMPLE = 20_000
 SAMPLE_A_CELL = 16
 CHUNK_BYTES = 4 << 20
 LEAF_ROWS = 64
+RINGS = (0.6, 1.0)
 ROWS = 128
 
 
@@ -123,8 +124,8 @@ def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float, edge
     """The k best rows of a chunk for each query: query places, ids, scores, and how many rows were verified in all.
 
     kth: the k-th best inner product that a query already has, -inf without. edge: where leaves begin, if rows come in the order of leaves.
-    A query opens leaves by the distance of their boxes, three times as many at each step; among the rows of opened leaves
-    it verifies those that the test lets through, and ends when the next leaf's box fails it. `work` counts leaves opened and rows projected.
+    A query opens leaves by the distance of their boxes, three times as many at each step; of the rows of opened leaves
+    it verifies those that the test lets through, in rings of rising projected distance, and ends when the next leaf's box fails it. `work` counts leaves opened and rows projected.
     """
     if edge is None:
         order, edge = leaf_order(space.rows(v))
@@ -149,15 +150,17 @@ def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float, edge
             by = np.argsort(leaf, kind="stable")
             i, leaf = i[by], leaf[by]
             new = np.flatnonzero(np.diff(leaf, prepend=-1))
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(leaf)], strict=True):
-                mine, x0, x1 = i[a:b], edge[leaf[a]], ends[leaf[a]]
-                far = np.maximum(z2[mine, None] + p2[None, x0:x1] - 2 * (z[mine] @ p[x0:x1].T), 0)
-                r, c = np.nonzero(far <= reach[mine, None])
-                score[mine[r], x0 + c] = np.einsum("ij,ij->i", part[mine[r]], v[x0 + c])
-                work["leaves"] += b - a
-                work["rows"] += far.size
-            if len(ids) >= k:
-                best = np.maximum(best, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+            groups = [(i[a:b], edge[leaf[a]], ends[leaf[a]]) for a, b in zip(new.tolist(), [*new[1:].tolist(), len(leaf)], strict=True)]
+            far = [np.maximum(z2[mine, None] + p2[None, x0:x1] - 2 * (z[mine] @ p[x0:x1].T), 0) for mine, x0, x1 in groups]
+            work.update(leaves=len(leaf), rows=sum(f.size for f in far))
+            for ring in RINGS:  # the nearer rows first, as they bring the k-th distance down for the others
+                reach = ring * limit * space.square(part, best)
+                for (mine, x0, _), f in zip(groups, far, strict=True):
+                    r, c = np.nonzero(f <= reach[mine, None])
+                    score[mine[r], x0 + c] = np.einsum("ij,ij->i", part[mine[r]], v[x0 + c])
+                    f[r, c] = np.inf
+                if len(ids) >= k:
+                    best = np.maximum(best, -np.partition(-score, k - 1, axis=1)[:, k - 1])
             at, step = at + step, 3 * step
             if at < len(edge):
                 live = live[bound[live, order[live, at]] <= (limit * space.square(part, best))[live]]
