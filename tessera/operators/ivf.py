@@ -63,9 +63,10 @@ def fit(vectors: DataFrame, lists: int | None = None, seed: int = 1, rounds: int
     share = SAMPLE_A_LIST * lists / n
     if share < 1:
         good = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = good.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=lists, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(sample)
+    sample = good.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()  # bounded, and read in each round
+    model = KMeans(k=lists, seed=seed, maxIter=rounds, distanceMeasure="cosine", initMode="random").fit(sample)
     sizes = np.array(model.summary.clusterSizes, float)
+    sample.unpersist()
     return _unit(np.array(model.clusterCenters())), sizes / sizes.sum()
 
 
