@@ -40,7 +40,7 @@ from tessera.llm.tokens import encoder
 SIZE = 2048
 END_ID = 0
 RERUNS = 30
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 8_000_000
 GROUP_PIECES = 100_000
 CHUNK_CHARS = 1_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
