@@ -165,7 +165,7 @@ def log_by_day(s: SparkSession, d: str) -> DataFrame:
 SHARED = {
     "ext_union_all": "SELECT k, CAST(count(*) AS BIGINT) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier) t GROUP BY k",
     "ext_intersect_all": "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT ALL SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R'",
-    "ext_except_all": "SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT ALL SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 10",
+    "ext_except_all": "SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT ALL SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 40",
     "c28_dates_bits": "SELECT o_orderkey, CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS month, CAST(quarter(o_orderdate) AS BIGINT) AS quarter, CAST(dayofyear(o_orderdate) AS BIGINT) AS day, CAST(CAST(o_orderdate + INTERVAL '1' MONTH AS DATE) AS VARCHAR(10)) AS due, o_orderkey & 12 AS both, o_orderkey | 3 AS either, CAST(bit_count(o_orderkey) AS BIGINT) AS ones, round(sin(o_totalprice), 6) AS wave, round(atan2(o_totalprice, o_custkey), 6) AS angle FROM orders",
 }
 
