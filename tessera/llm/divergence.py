@@ -39,6 +39,7 @@ TOP = 200
 HELD_TERMS = 400_000
 SMALL_GROUPS = 20_000  # so many rows of about 100 bytes are sent to all tasks; more are joined by a shuffle
 ROWS_A_BATCH = 20_000
+SALTS = 32
 OUT = ("lang", "source", "part", "item", "value", "rank")
 
 
@@ -110,7 +111,8 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     groups = counts.groupBy("lang", "source").agg(F.sum("n").alias("total")).join(langs, "lang")
     groups = groups.withColumn("zero", share(F.lit(0).cast("long"), F.col("total"), F.col("terms")))
     groups = groups.checkpoint()
-    if groups.count() <= SMALL_GROUPS:
+    small = groups.count() <= SMALL_GROUPS
+    if small:
         groups = F.broadcast(groups)
     priced = kept.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
 
@@ -119,15 +121,24 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int = TO
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "term")
     over = over.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
     terms = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), "value", "rank")
-    return pairs(priced, groups).unionByName(terms)
+    return pairs(priced, groups, small).unionByName(terms)
 
 
-def pairs(priced: DataFrame, groups: DataFrame) -> DataFrame:
+def _with_others(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
+    """`rows` of groups, each with every other group of its language as other and zero_other; a language of many groups is split over SALTS tasks."""
+    other, keys = groups.select("lang", F.col("source").alias("other"), F.col("zero").alias("zero_other")), ["lang"]
+    if not small:
+        keys.append("salt")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+        other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(other, keys).filter("source <> other").drop(*keys[1:])
+
+
+def pairs(priced: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
     """The `pair` rows from the kept postings with their shares, and the groups."""
     # one-sided terms: a term that the group has x times costs the same against any other group that lacks it
     histogram = priced.groupBy("lang", "source", "n", "p", "zero").agg(F.count("*").alias("many"))
-    other = groups.select("lang", F.col("source").alias("other"), F.col("zero").alias("zero_other"))
-    one = histogram.join(other, "lang").filter("source <> other")
+    one = _with_others(histogram, groups, small)
     p, z, o, none = F.col("p"), F.col("zero"), F.col("zero_other"), F.lit(0).cast("long")
     one = one.select("lang", "source", "other", (F.col("many") * (price(p, o) - price(z, o))).alias("there"), (F.col("many") * (price(o, p) - price(o, z))).alias("back"))
     # shared terms: each pair of postings of a term once, for both directions
@@ -146,7 +157,7 @@ def pairs(priced: DataFrame, groups: DataFrame) -> DataFrame:
     way = lambda source, item, value: F.struct(F.col(source).alias("source"), F.col(item).alias("item"), F.col(value).alias("value"))
     ways = parts.select("lang", F.inline(F.array(way("source", "other", "there"), way("other", "source", "back"))))
     # terms that both lack, and pairs that share nothing
-    base = groups.join(other, "lang").filter("source <> other")
+    base = _with_others(groups, groups, small)
     base = base.select("lang", "source", F.col("other").alias("item"), F.coalesce(F.col("terms") * price(z, o), none).alias("value"))
     total = ways.unionByName(base).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
