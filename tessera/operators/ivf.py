@@ -64,10 +64,11 @@ def fit(vectors: DataFrame, lists: int | None = None, seed: int = 1, rounds: int
     if share < 1:
         good = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = good.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).persist()  # bounded, and read in each round
-    model = KMeans(k=lists, seed=seed, maxIter=rounds, distanceMeasure="cosine", initMode="random").fit(sample)
-    sizes = np.array(model.summary.clusterSizes, float)
+    model = KMeans(k=lists, seed=seed, maxIter=rounds, distanceMeasure="cosine").fit(sample)
+    centres = _unit(np.array(model.clusterCenters()))
+    sizes = np.array(model.summary.clusterSizes, float)[: len(centres)]  # of equal rows, fewer lists than asked for may come
     sample.unpersist()
-    return _unit(np.array(model.clusterCenters())), sizes / sizes.sum()
+    return centres, sizes / sizes.sum()
 
 
 def _place(vectors: DataFrame, centroids: np.ndarray, pieces: np.ndarray) -> DataFrame:
