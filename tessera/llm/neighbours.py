@@ -142,8 +142,11 @@ def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float, edge
         order = np.argsort(bound, axis=1, kind="stable")
         score = np.full((len(part), len(ids)), -np.inf)
         live, at, step = np.arange(len(part)), 0, 1
-        while at < len(edge) and len(live):
+        while at < len(edge):
             reach = limit * space.square(part, best)  # without bound as long as there are no k rows to test against
+            live = live[bound[live, order[live, at]] <= reach[live]]
+            if not len(live):  # at once, if the k-th score of the queries rules out every box of this chunk
+                break
             leaf = order[live, at : at + step]
             near = bound[live[:, None], leaf] <= reach[live, None]
             i, leaf = np.repeat(live, near.sum(axis=1)), leaf[near]
@@ -162,8 +165,6 @@ def search_chunk(space: Space, ids, v, q_ids, q, kth, k: int, limit: float, edge
                 if len(ids) >= k:
                     best = np.maximum(best, -np.partition(-score, k - 1, axis=1)[:, k - 1])
             at, step = at + step, 3 * step
-            if at < len(edge):
-                live = live[bound[live, order[live, at]] <= (limit * space.square(part, best))[live]]
         done = score > -np.inf
         verified += int(done.sum())
         slack = 1e-9 * (np.linalg.norm(part, axis=1) * space.top)

@@ -57,3 +57,15 @@ def test_leaves_of_few_or_equal_rows():
         order, edge = neighbours.leaf_order(space.rows(v))
         at, found, score, _ = neighbours.search_chunk(space, order, v[order], np.arange(1), v[:1], np.full(1, -np.inf), 3, LIMIT, edge)
         assert edge.tolist() == [0] and found.tolist() == list(range(min(3, len(v)))) and (score == 4).all()
+
+
+def test_queries_that_no_leaf_can_serve():
+    """Queries whose k-th score rules out every box of a chunk find nothing there, and don't hinder the others."""
+    rng = np.random.default_rng(5)
+    v = unit(rng.standard_normal((300, 8)) * 0.01 + np.eye(8)[0])
+    space = neighbours.Space(8, 1.0)
+    order, edge = neighbours.leaf_order(space.rows(v))
+    q = np.stack([-np.eye(8)[0], np.eye(8)[0]])
+    for kth, hits in (([1 - 1e-12, 1 - 1e-12], 0), ([1 - 1e-12, -np.inf], 3)):
+        at, found, score, verified = neighbours.search_chunk(space, order, v[order], np.arange(2), q, np.array(kth), 3, LIMIT, edge)
+        assert len(found) == len(score) == hits and set(at) <= {1} and (verified > 0) == (hits > 0)
