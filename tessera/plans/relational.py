@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalar
 from tessera.operators import index, search, validation
-from tessera.sources.tables import table
+from tessera.sources.tables import register, table
 
 #: Registrations made of customers, in text that both engines read alike.
 REGISTRATIONS = """
@@ -130,7 +130,14 @@ def _sliding(s, d):
     return table(s, d, "events").groupBy(w.start.cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"))
 
 
+def _lateral(s, d):
+    """The SQL's join. The column that orders is selected too: otherwise a projection comes between Spark's limit and sort, and the limit by customer forgets the order."""
+    register(s, d, ["customer", "orders"])
+    return s.sql("SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+
+
 QUERIES = {
+    "ext_lateral_join": _lateral,
     "f1_can_search": lambda s, d: table(s, d, "documents").select("doc_id", (scalar.truthy(F.col("lang")) & scalar.truthy(F.col("source"))).alias("ok")),
     "f13_valid_registrations": valid_registrations,
     "f15_search_in_folder": in_folder,

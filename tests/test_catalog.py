@@ -68,3 +68,11 @@ def test_block_search_is_the_same_by_either_way():
     finally:
         search._nearest_of_one_width = search_one
     assert all(np.array_equal(x, y) for x, y in zip(fast, slow, strict=True))
+
+
+def test_lateral_join_keeps_its_order(spark):
+    """The limit by customer is a window, and has the order of the SQL however its rows arrive."""
+    found = catalog.QUERIES["ext_lateral_join"](spark, DATA)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "row_number() windowspecdefinition" in line)
+    assert "o_totalprice" in window and "DESC" in window and "o_orderkey" in window
