@@ -92,8 +92,7 @@ def promotion_overlaps(s: SparkSession, d: str) -> DataFrame:
     a = found.select("user_id", F.unix_seconds("start").alias("start"), (last + 1).alias("end"))
     begin = F.lit(1_704_067_200) + F.col("o_orderkey") % 720 * 3600
     b = table(s, d, "orders").filter("o_totalprice > 400000").select(F.col("o_orderkey").alias("promotion"), begin.alias("start"), (begin + (F.col("o_custkey") % 48 + 1) * 1800).alias("end"))
-    shared = F.least("left_end", "right_end") - F.greatest("left_start", "right_start")
-    return intervals.overlaps(a, b).groupBy("user_id", F.col("left_start").alias("start")).agg(F.count("*").alias("promotions"), F.sum(shared).alias("seconds"))
+    return intervals.overlap_totals(a, b).groupBy("user_id", F.col("left_start").alias("start")).agg(F.sum("n").alias("promotions"), F.sum("shared").alias("seconds"))
 
 
 def bucketed_join(s: SparkSession, d: str) -> DataFrame:

@@ -295,6 +295,29 @@ def test_overlaps_equal_all_pairs(spark, width, slices):
     assert intervals.overlaps(spark.createDataFrame(a, "i int, start long, end long").limit(0), spark.createDataFrame(b, "j int, start long, end long")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 37, 10**13])
+def test_overlap_totals_equal_all_pairs(spark, scale):
+    rng = random.Random(9)
+    make = lambda n: [(i, s * scale, (s + rng.choice([0, 1, 5, 40, 300])) * scale) for i in range(n) for s in [rng.randint(-500, 500)]]
+    a, b = make(80) + [(80, 1, None), (81, 9, 3), (5, 0, 7 * scale), (5, 0, 7 * scale)], make(70) + [(70, None, 5), (71, 9, 3), (72, 0, 10), (72, 0, 10)]
+    want = []
+    for i, s, e in a:
+        parts = [min(e, u) - max(s, t) for _, t, u in b if e is not None and t is not None and s < e and t < u and s < u and t < e]
+        want += [(i, s, e, len(parts), sum(parts))] if parts else []
+    left, right = spark.createDataFrame(a, "i int, start long, end long"), spark.createDataFrame(b, "j int, start long, end long")
+    got = intervals.overlap_totals(left, right)
+    assert got.columns == ["i", "left_start", "left_end", "n", "shared"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert intervals.overlap_totals(left.limit(0), right).count() == intervals.overlap_totals(left, right.limit(0)).count() == 0
+
+
+def test_overlap_totals_make_no_pairs(spark):
+    """Ten billion pairs, of which each row of the left side needs two numbers."""
+    rows = spark.range(100_000).select("id", (F.col("id") % 500).alias("start"), (F.col("id") % 500 + 1000).alias("end"))
+    got = intervals.overlap_totals(rows, rows.withColumnRenamed("id", "other")).agg(F.count("*"), F.min("n"), F.max("n"), F.max("shared"), F.min("shared")).first()
+    shared = [200 * sum(1000 - abs(s - t) for t in range(500)) for s in range(500)]
+    assert tuple(got) == (100_000, 100_000, 100_000, max(shared), min(shared))
+
+
 # sources
 
 
