@@ -98,8 +98,10 @@ def promotion_overlaps(s: SparkSession, d: str) -> DataFrame:
 def bucketed_join(s: SparkSession, d: str) -> DataFrame:
     at = shared_folder(s, "buckets")
     name = at.rsplit("-", 1)[-1]
-    o = bucketed.save(table(s, d, "orders").withColumnRenamed("o_orderkey", "orderkey"), f"orders_{name}", ["orderkey"], 8, f"{at}/orders")
-    li = bucketed.save(table(s, d, "lineitem").withColumnRenamed("l_orderkey", "orderkey"), f"lineitem_{name}", ["orderkey"], 8, f"{at}/lineitem")
+    o, li = table(s, d, "orders").withColumnRenamed("o_orderkey", "orderkey"), table(s, d, "lineitem").withColumnRenamed("l_orderkey", "orderkey")
+    n = max(8, bucketed.buckets_for(o, li))
+    o = bucketed.save(o, f"orders_{name}", ["orderkey"], n, f"{at}/orders")
+    li = bucketed.save(li, f"lineitem_{name}", ["orderkey"], n, f"{at}/lineitem")
     return o.hint("merge").join(li, "orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a bucket, about: a task sorts a bucket, in memory if it can.
+ROWS = 500_000
+
+
+def buckets_for(*tables: DataFrame, rows: int = ROWS) -> int:
+    """How many buckets tables that are to be joined need, so that those of the largest have `rows` rows on average."""
+    return max(1, *(-(-t.count() // rows) for t in tables))
+
 
 def save(rows: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
     """Writes a catalog table whose files hold one bucket of `keys` each, in their order, and reads it.

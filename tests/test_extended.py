@@ -321,6 +321,21 @@ def test_overlap_totals_make_no_pairs(spark):
 # sources
 
 
+def test_buckets_follow_the_rows(spark):
+    a, b = spark.range(2501), spark.range(90)
+    assert (bucketed.buckets_for(a, b, rows=100), bucketed.buckets_for(b, rows=100), bucketed.buckets_for(b.limit(0))) == (26, 1, 1)
+
+
+def test_bucketed_join_of_many_rows_has_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bucketed, "buckets_for", lambda *tables, rows=100, count=bucketed.buckets_for: count(*tables, rows=rows))
+    used, save = [], bucketed.save
+    monkeypatch.setattr(bucketed, "save", lambda rows, name, keys, n, path=None: (used.append(n), save(rows, name, keys, n, path))[1])
+    got = sorted(map(tuple, extended.QUERIES["s20_bucketed_join"](spark, "/root/testdata/sf0.001").collect()))
+    t = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("orders", "lineitem")}
+    want = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*"), F.round(F.sum("l_quantity"), 2))
+    assert got == sorted(map(tuple, want.collect())) and used == [-(-t["lineitem"].count() // 100)] * 2
+
+
 def test_bucketed_tables_join_without_exchange(spark, tmp_path):
     o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumnRenamed("o_orderkey", "k")
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumnRenamed("l_orderkey", "k")
