@@ -39,10 +39,11 @@ def merged(sessions: list[tuple], gap: int) -> list[tuple]:
 
 
 class SessionState(StatefulProcessor):
-    """A user's open sessions, each with a timer at its end; events may come out of order, within the watermark.
+    """A user's open sessions, with a timer at the end of the first to end; events may come out of order, within the watermark.
 
-    An event joins the sessions that it reaches, which moves their timers. What a timer finds ended is emitted and
-    forgotten, so state is held for the open sessions alone, however long the stream runs.
+    An event joins the sessions that it reaches, which may move the timer. The timer emits and forgets all that the watermark has ended by then and
+    goes on to the next end, so state is held for the open sessions alone, however long the stream runs, and is read and written once
+    a batch and once a timer, however many sessions a user has.
     """
 
     def __init__(self, gap: int):
@@ -57,11 +58,12 @@ class SessionState(StatefulProcessor):
         return -(-(session[1] + self.gap) // 1000)
 
     def _replace(self, before: list[tuple], after: list[tuple]) -> None:
-        old, new = set(map(self._end, before)), set(map(self._end, after))
-        for t in old - new:
-            self.handle.deleteTimer(t)
-        for t in new - old:
-            self.handle.registerTimer(t)
+        old, new = (min(map(self._end, x), default=None) for x in (before, after))
+        if old != new:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
         if after:
             self.open.put(after)
         else:
@@ -80,10 +82,10 @@ class SessionState(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         before = [tuple(s) for s in self.open.get()]
         ended = [s for s in before if self._end(s) <= now]
-        self._replace(before, [s for s in before if s not in ended])
+        self._replace(before, [s for s in before if self._end(s) > now])
         for start, finish, n, total, largest in ended:
             yield Row(user_id=key[0], start_us=start, finish_us=finish, n=n, total=total, largest=largest)
 

@@ -240,6 +240,48 @@ def test_timers_close_sessions(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(1, us(10, 0), us(11, 10), 3, 7.0, 4.0), (1, us(14, 0), us(14, 0), 1, 0.0, 0.0)]
 
 
+def test_a_user_has_one_timer_and_one_pass_over_the_sessions_it_ended():
+    """However many sessions the watermark ends, state is read and written once for them."""
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.rows, self.calls = [], [], 0
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return iter(list(self.rows))
+
+        def put(self, rows):
+            self.calls, self.rows = self.calls + 1, rows
+
+        def clear(self):
+            self.put([])
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 1000 * 50
+        getExpiryTimeInMs = lambda self: 10
+
+    handle, state = Handle(), sessions.SessionState(10_000)
+    state.init(handle)
+    assert not list(state.handleInputRows((1,), iter({"us": i * 1_000_000, "value": 1.0} for i in reversed(range(100))), Times()))
+    assert handle.timers == [10] and len(handle.rows) == 100
+    calls = handle.calls
+    handle.timers.clear()  # the store has dropped the timer that expires
+    handle.deleteTimer = lambda t: None
+    ended = list(state.handleExpiredTimer((1,), Times(), Times()))
+    assert [r["start_us"] for r in ended] == [i * 1_000_000 for i in range(50)]
+    assert handle.timers == [50_010] and len(handle.rows) == 50 and handle.calls == calls + 2
+
+
 def test_session_windows_on_a_stream_merge_and_close(spark, tmp_path):
     stream = stream_of(spark, tmp_path, PARTS)
     found = sessions.run_to_table(sessions.session_windows(stream, "45 minutes"), str(tmp_path / "out"), str(tmp_path / "state"))
